@@ -148,37 +148,33 @@ def export_results(documents: DataFrame, path: str, job: str = "job") -> None:
     documents.select(job, "value").write.mode("errorifexists").partitionBy(job).text(path)
 
 
-def metrics_documents(header: DataFrame, nodes: DataFrame, pods: DataFrame, gc: DataFrame, by: Sequence[str] = ("scenario",), rows_per_part: int = 1000) -> DataFrame:
-    """The nested metrics payload per scenario as JSON documents.
-
-    The header document holds the times and counts. The maps and the timeline follow in numbered parts of bounded
-    size (``section`` nodes, pods or gc_timeline), so a long run is never gathered in one place.
+def metrics_documents(
+    header: DataFrame, nodes: DataFrame, pods: DataFrame, gc: DataFrame, by: Sequence[str] = ("scenario",),
+    rows_per_part: int = 1000,
+) -> DataFrame:
+    """The nested metrics payload per scenario as JSON documents ``(by, section, part, value)``.
+
+    ``header`` has one row per scenario, ``nodes`` one per node, ``pods`` the sample lists of A3 with their chunk
+    numbers, ``gc`` the timeline rows with ``ts`` and ``node``. Documents of a section merge into the full payload; no
+    document is larger than a chunk, so a long run is never gathered in one place.
     """
     by = list(by)
 
-    def section(df: DataFrame, name: str, order: Sequence[str], value) -> DataFrame:
-        fields = [c for c in df.columns if c not in by]
-        packed = chunked_lists(df.withColumn("_at", F.xxhash64(*order) if name != "gc_timeline" else F.col(order[0])), by, ["_at", *order], fields, rows_per_part)
-        return packed.select(
-            *by, F.lit(name).alias("section"), F.col("chunk").alias("part"),
-            F.to_json(F.struct(*by, F.lit(name).alias("section"), F.col("chunk").alias("part"), value("items").alias(name))).alias("value"),
-        )
-
-    def keyed(key: str):
-        def build(items):
-            pairs = F.transform(items, lambda x: F.struct(x[key].alias("key"), x.dropFields(key).alias("value")))
-            return F.map_from_entries(pairs)
-        return build
-
-    head = header.select(
-        *by, F.lit("header").alias("section"), F.lit(0).cast("bigint").alias("part"), F.to_json(F.struct(*header.columns)).alias("value")
-    )
-    timeline = section(gc, "gc_timeline", [c for c in ("ts", "node") if c in gc.columns], lambda items: F.col(items))
-    return (
-        head.unionByName(section(nodes, "nodes", ["node"], keyed("node")))
-        .unionByName(section(pods, "pods", ["pod", "chunk_no"] if "chunk_no" in pods.columns else ["pod"], keyed("pod") if "chunk_no" not in pods.columns else (lambda items: F.col(items))))
-        .unionByName(timeline)
-    )
+    def document(section: str, part, body):
+        whole = F.struct(*by, F.lit(section).alias("section"), part.alias("part"), body.alias(section))
+        return [*by, F.lit(section).alias("section"), part.alias("part"), F.to_json(whole).alias("value")]
+
+    def under_key(df: DataFrame, key: str, skip: Sequence[str]):
+        return F.create_map(F.col(key), F.struct(*[c for c in df.columns if c not in (*by, key, *skip)]))
+
+    zero = F.lit(0).cast("bigint")
+    heads = header.select(*document("header", zero, F.struct(*[c for c in header.columns if c not in by])))
+    per_node = nodes.select(*document("nodes", zero, under_key(nodes, "node", ())))
+    per_pod = pods.select(*document("pods", F.col("chunk"), under_key(pods, "pod", ("chunk",))))
+    fields = [c for c in gc.columns if c not in by]
+    timeline = chunked_lists(gc, by, ["ts", "node"], fields, rows_per_part, "_items")
+    timeline = timeline.select(*document("gc_timeline", F.col("chunk"), F.col("_items")))
+    return heads.unionByName(per_node).unionByName(per_pod).unionByName(timeline)
 
 
 def write_metrics_payload(documents: DataFrame, path: str, by: Sequence[str] = ("scenario",)) -> None:
