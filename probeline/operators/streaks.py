@@ -58,23 +58,28 @@ def first_stable(
     )
 
 
+def poll_kind(state: Column) -> Column:
+    """Ready, busy (timed out) or red (any hard failure)."""
+    return F.when(state == "ready", "ready").when(state == "timeout", "busy").otherwise("red")
+
+
 def health_streaks(
     polls: DataFrame, keys: Sequence[str], order: Sequence[str], state: str = "state", red: int = RED_LIMIT,
-    busy: int = BUSY_LIMIT, slices: int | None = None,
+    busy: int = BUSY_LIMIT, slices: int | None = None, initial: DataFrame | None = None,
 ) -> DataFrame:
     """Consecutive failures per poll. ``state`` is ``ready``, ``timeout`` or anything else for a hard failure.
 
     Ready resets both counters, a timeout resets the hard failures and the reverse. ``kill`` marks polls at which a
-    counter is at its limit.
+    counter is at its limit. ``initial`` is the open run per key from earlier polls (keys, ``kind``, ``run``).
     """
-    kind = F.when(F.col(state) == "ready", "ready").when(F.col(state) == "timeout", "busy").otherwise("red")
-    runs = Timeline(polls.withColumn("_kind", kind), keys, order, slices).run_positions("_kind", "_pos").result()
-    count = lambda k: F.when(F.col("_kind") == k, F.col("_pos")).otherwise(F.lit(0).cast("bigint"))
+    line = Timeline(polls.withColumn("kind", poll_kind(F.col(state))), keys, order, slices)
+    runs = line.run_positions("kind", "run", initial).result()
+    count = lambda k: F.when(F.col("kind") == k, F.col("run")).otherwise(F.lit(0).cast("bigint"))
     return (
         runs.withColumn("red_streak", count("red"))
         .withColumn("busy_streak", count("busy"))
         .withColumn("kill", (F.col("red_streak") >= red) | (F.col("busy_streak") >= busy))
-        .drop("_kind", "_pos")
+        .drop("kind", "run")
     )
 
 

@@ -81,17 +81,26 @@ def heap_mb(used_bytes: Column) -> Column:
 
 def counter_delta(
     samples: DataFrame, keys: Sequence[str], order: Sequence[str], counters: Sequence[str], slices: int | None = None,
+    last: DataFrame | None = None,
 ) -> DataFrame:
     """``<counter>_delta`` against the previous sample of the key.
 
-    The first sample gives 0, a missing counter counts as 0, and a counter reset shows as a negative delta.
+    The first sample gives 0, a missing counter counts as 0, and a counter reset shows as a negative delta. ``last``
+    holds the last known counters of keys from earlier data (keys and counters); for those the first sample is a
+    delta as well.
     """
     line = Timeline(samples, keys, order, slices).previous({f"_p_{c}": c for c in counters}, number="_rn")
-    df = line.result()
+    df = line.result().withColumn("_first", F.col("_rn") == 1)
+    if last is not None:
+        known = last.select(*keys, F.struct(*counters).alias("_known"))
+        df = df.join(known, list(keys), "left")
+        for c in counters:
+            df = df.withColumn(f"_p_{c}", F.when(F.col("_first"), F.col("_known")[c]).otherwise(F.col(f"_p_{c}")))
+        df = df.withColumn("_first", F.col("_first") & F.col("_known").isNull()).drop("_known")
     for c in counters:
         step = F.coalesce(F.col(c), F.lit(0)) - F.coalesce(F.col(f"_p_{c}"), F.lit(0))
-        df = df.withColumn(f"{c}_delta", F.when(F.col("_rn") == 1, step - step).otherwise(step))
-    return df.drop("_rn", *[f"_p_{c}" for c in counters])
+        df = df.withColumn(f"{c}_delta", F.when(F.col("_first"), step - step).otherwise(step))
+    return df.drop("_rn", "_first", *[f"_p_{c}" for c in counters])
 
 
 def diff_snapshots(

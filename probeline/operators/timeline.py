@@ -159,13 +159,23 @@ class Timeline:
             match = match & (df[k] == renamed[f"_k{i}"])
         return df.join(renamed, match, "left").drop("_ks", *[f"_k{i}" for i in range(len(self.keys))])
 
-    def run_positions(self, value: str, position: str = "run_pos") -> Timeline:
-        """Add the 1-based position of each row inside its run of equal ``value`` (gaps and islands)."""
+    def run_positions(self, value: str, position: str = "run_pos", initial: DataFrame | None = None) -> Timeline:
+        """Add the 1-based position of each row inside its run of equal ``value`` (gaps and islands).
+
+        ``initial`` carries the run that was open when earlier data ended: keys, ``value`` and its length ``position``.
+        A key's first run here goes on from there if the value is the same.
+        """
         numbered = self.previous({"_pv": value}, number="_rn")
         same = F.col(value).eqNullSafe(F.col("_pv")) & (F.col("_rn") > 1)
         started = numbered.running({"_start": ("max", F.when(~same, F.col("_rn")))})
+        place = F.col("_rn") - F.col("_start") + 1
+        if initial is not None:
+            opened = initial.select(*self.keys, F.struct(F.col(value).alias("v"), F.col(position).alias("n")).alias("_open"))
+            started = started.map(lambda d: d.join(opened, self.keys, "left"))
+            goes_on = (F.col("_start") == 1) & F.col("_open").isNotNull() & F.col(value).eqNullSafe(F.col("_open")["v"])
+            place = place + F.when(goes_on, F.col("_open")["n"]).otherwise(F.lit(0))
         return started.map(
-            lambda d: d.withColumn(position, F.col("_rn") - F.col("_start") + 1).drop("_pv", "_rn", "_start")
+            lambda d: d.withColumn(position, place.cast("bigint")).drop("_pv", "_rn", "_start", "_open")
         )
 
     def result(self) -> DataFrame:

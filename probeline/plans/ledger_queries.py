@@ -15,6 +15,12 @@ def _micros(name):
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
+def _known(name, column=None):
+    """A number, -1 for none."""
+    column = F.col(name) if column is None else column
+    return F.coalesce(column, F.lit(-1).cast("bigint")).alias(name)
+
+
 @query(
     "latest_by_key",
     """SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id""",
@@ -27,13 +33,13 @@ def latest_by_key(spark, sf):
 @query(
     "next_queued",
     with_views("jobs", body="""
-        SELECT engine, job_id, queue_position FROM (
+        SELECT engine, job_id, coalesce(queue_position, -1) AS queue_position FROM (
             SELECT *, row_number() OVER (PARTITION BY engine ORDER BY queue_position NULLS FIRST, created_at, job_id) AS rn
             FROM jobs WHERE status = 'queued') WHERE rn = 1"""),
 )
 def next_queued(spark, sf):
     """W4."""
-    return ledger.next_queued(views.jobs(spark, sf)).select("engine", "job_id", "queue_position")
+    return ledger.next_queued(views.jobs(spark, sf)).select("engine", "job_id", _known("queue_position"))
 
 
 @query(
@@ -129,7 +135,7 @@ def batch_status(spark, sf):
        e AS (SELECT o_orderkey AS run_id, 30 AS expected_docs, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey % 40 END AS pre_count FROM orders),
        j AS (SELECT e.*, tries, last, CAST(final AS BIGINT) AS final, coalesce(pre_count >= expected_docs, false) AS skipped FROM e LEFT JOIN t ON t.run_id = e.run_id)
        SELECT run_id, CASE WHEN skipped OR coalesce(final >= expected_docs, false) THEN 'completed' WHEN last = 'cancelled' THEN 'cancelled' ELSE 'failed' END AS status,
-              CASE WHEN skipped THEN 0 ELSE coalesce(tries, 0) END AS ingest_attempts, CASE WHEN skipped THEN pre_count ELSE final END AS actual_docs,
+              CASE WHEN skipped THEN 0 ELSE coalesce(tries, 0) END AS ingest_attempts, coalesce(CASE WHEN skipped THEN pre_count ELSE final END, -1) AS actual_docs,
               skipped FROM j""",
 )
 def ingest_outcome(spark, sf):
@@ -145,7 +151,7 @@ def ingest_outcome(spark, sf):
         F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey") % 40).alias("pre_count"),
     )
     out = ledger.ingest_outcome(attempts, counts, expected)
-    return out.select("run_id", "status", "ingest_attempts", "actual_docs", "skipped")
+    return out.select("run_id", "status", "ingest_attempts", _known("actual_docs"), "skipped")
 
 
 @query(
@@ -182,11 +188,11 @@ def dataset_text(spark, sf):
 
 @query(
     "run_time",
-    with_views("jobs", body="SELECT job_id, epoch_us(try_strptime(left(run_id, 15), '%Y%m%d-%H%M%S')) AS at_us FROM jobs"),
+    with_views("jobs", body="SELECT job_id, coalesce(epoch_us(try_strptime(left(run_id, 15), '%Y%m%d-%H%M%S')), -1) AS at_us FROM jobs"),
 )
 def run_time(spark, sf):
     """P8."""
-    return views.jobs(spark, sf).select("job_id", F.unix_micros(units.run_ts("run_id")).alias("at_us"))
+    return views.jobs(spark, sf).select("job_id", _known("at_us", F.unix_micros(units.run_ts("run_id"))))
 
 
 @query(
@@ -226,29 +232,29 @@ def retain(spark, sf):
     return ledger.retain(jobs, now).select("job_id")
 
 
-@query("delete_kept", with_views("jobs", body="SELECT job_id FROM jobs WHERE NOT (o_custkey % 3 = 0 AND status <> 'running')"))
+@query("delete_kept", with_views("jobs", body="SELECT job_id FROM jobs WHERE NOT (o_orderpriority = '1-URGENT' AND status <> 'running')"))
 def delete_kept(spark, sf):
-    """M7: delete the jobs of every third customer."""
+    """M7: delete the urgent jobs."""
     jobs = views.jobs(spark, sf)
-    return ledger.delete_jobs(jobs, jobs.filter("o_custkey % 3 = 0"))[0].select("job_id")
+    return ledger.delete_jobs(jobs, jobs.filter("o_orderpriority = '1-URGENT'"))[0].select("job_id")
 
 
-@query("delete_refused", with_views("jobs", body="SELECT job_id FROM jobs WHERE o_custkey % 3 = 0 AND status = 'running'"))
+@query("delete_refused", with_views("jobs", body="SELECT job_id FROM jobs WHERE o_orderpriority = '1-URGENT' AND status = 'running'"))
 def delete_refused(spark, sf):
     """M7: running jobs are refused."""
     jobs = views.jobs(spark, sf)
-    return ledger.delete_jobs(jobs, jobs.filter("o_custkey % 3 = 0"))[1].select("job_id")
+    return ledger.delete_jobs(jobs, jobs.filter("o_orderpriority = '1-URGENT'"))[1].select("job_id")
 
 
 def _cancelled(spark, sf):
     jobs = views.jobs(spark, sf)
-    return ledger.cancel_jobs(jobs, jobs.filter("o_custkey % 3 = 0"), F.lit("2030-01-01").cast("timestamp_ntz"))
+    return ledger.cancel_jobs(jobs, jobs.filter("o_orderpriority = '1-URGENT'"), F.lit("2030-01-01").cast("timestamp_ntz"))
 
 
 _CANCEL_SQL = """
     cancelled AS (
-        SELECT job_id, status AS previous_status, o_custkey % 3 = 0 AND status IN ('queued', 'running') AS hit,
-               CASE WHEN o_custkey % 3 <> 0 THEN NULL WHEN status IN ('queued', 'running') THEN 'cancelled'
+        SELECT job_id, status AS previous_status, o_orderpriority = '1-URGENT' AND status IN ('queued', 'running') AS hit,
+               CASE WHEN o_orderpriority <> '1-URGENT' THEN NULL WHEN status IN ('queued', 'running') THEN 'cancelled'
                     ELSE 'already ' || status END AS cancel_reply, completed_at FROM jobs)"""
 
 
@@ -257,12 +263,12 @@ _CANCEL_SQL = """
     with_views("jobs", body=f"""
         WITH {_CANCEL_SQL}
         SELECT job_id, CASE WHEN hit THEN 'cancelled' ELSE previous_status END AS status, cancel_reply,
-               epoch_us(CASE WHEN hit THEN TIMESTAMP '2030-01-01' ELSE completed_at END) AS completed_us,
+               coalesce(epoch_us(CASE WHEN hit THEN TIMESTAMP '2030-01-01' ELSE completed_at END), -1) AS completed_us,
                CASE WHEN hit THEN 'Job cancelled by user' END AS error FROM cancelled"""),
 )
 def cancel_jobs(spark, sf):
     """M8 on jobs."""
-    return _cancelled(spark, sf).select("job_id", "status", "cancel_reply", _micros("completed_at").alias("completed_us"), "error")
+    return _cancelled(spark, sf).select("job_id", "status", "cancel_reply", _known("completed_us", _micros("completed_at")), "error")
 
 
 @query(
@@ -288,12 +294,12 @@ def cancel_steps(spark, sf):
     "recover_orphans",
     with_views("jobs", body="""
         SELECT job_id, CASE WHEN status = 'running' THEN 'cancelled' ELSE status END AS status,
-               epoch_us(CASE WHEN status = 'running' THEN last_heartbeat_at ELSE completed_at END) AS completed_us,
+               coalesce(epoch_us(CASE WHEN status = 'running' THEN last_heartbeat_at ELSE completed_at END), -1) AS completed_us,
                CASE WHEN status = 'running' THEN 'Job orphaned by restart' END AS error FROM jobs"""),
 )
 def recover_orphans(spark, sf):
     """M9."""
-    return ledger.recover_orphans(views.jobs(spark, sf)).select("job_id", "status", _micros("completed_at").alias("completed_us"), "error")
+    return ledger.recover_orphans(views.jobs(spark, sf)).select("job_id", "status", _known("completed_us", _micros("completed_at")), "error")
 
 
 @query("remaining_steps", with_views("jobs", body="SELECT o_custkey AS run_id, job_id AS step FROM jobs WHERE status <> 'completed'"))
@@ -305,12 +311,12 @@ def remaining_steps(spark, sf):
 
 @query(
     "uncollected_steps",
-    with_views("jobs", body="SELECT o_custkey AS run_id, job_id AS step FROM jobs WHERE status NOT IN ('queued', 'running') AND job_id % 4 <> 2"),
+    with_views("jobs", body="SELECT o_custkey AS run_id, job_id AS step FROM jobs WHERE status NOT IN ('queued', 'running') AND engine <> 'disk'"),
 )
 def uncollected_steps(spark, sf):
-    """U4: a quarter of the steps is collected."""
-    steps = views.jobs(spark, sf).select(F.col("o_custkey").alias("run_id"), F.col("job_id").alias("step"), "status")
-    return ledger.uncollected(steps, steps.filter("step % 4 = 2")).select("run_id", "step")
+    """U4: the steps of one engine are collected."""
+    steps = views.jobs(spark, sf).select(F.col("o_custkey").alias("run_id"), F.col("job_id").alias("step"), "status", "engine")
+    return ledger.uncollected(steps, steps.filter("engine = 'disk'")).select("run_id", "step")
 
 
 @query(

@@ -150,25 +150,28 @@ def attach_timings(spark, sf):
 
 @query(
     "resolve_artifacts",
-    """SELECT o_orderkey AS step_id, CASE o_orderkey % 4 WHEN 0 THEN 'recorded' WHEN 1 THEN 'engine path' WHEN 2 THEN 'direct path' ELSE 'missing' END AS source,
-              CASE o_orderkey % 4 WHEN 0 THEN o_custkey || '/step-' || o_orderkey || '/sweep-1'
-                   WHEN 1 THEN o_custkey || '/graph/step-' || o_orderkey WHEN 2 THEN o_custkey || '/step-' || o_orderkey || '/sweep-2' END AS dir FROM orders""",
+    """SELECT o_orderkey AS step_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'recorded' WHEN '2-HIGH' THEN 'engine path'
+                   WHEN '3-MEDIUM' THEN 'direct path' ELSE 'missing' END AS source,
+              CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey || '/step-' || o_orderkey || '/sweep-1'
+                   WHEN '2-HIGH' THEN o_custkey || '/graph/step-' || o_orderkey
+                   WHEN '3-MEDIUM' THEN o_custkey || '/step-' || o_orderkey || '/sweep-2' END AS dir FROM orders""",
 )
 def resolve_artifacts(spark, sf):
     """Recorded, under the engine path (also under the direct path), under the direct path only, or missing."""
     o = table(spark, sf, "orders")
-    key, run = F.col("o_orderkey"), F.col("o_custkey")
+    key, run, kind = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderpriority")
     step = F.concat(F.lit("step-"), key)
-    steps = o.select(run.alias("run_id"), F.lit("graph").alias("engine"), step.alias("step"), key.alias("step_id"))
-    recorded = o.filter(key % 4 == 0).select(run.alias("run_id"), step.alias("step"), F.lit("sweep-1").alias("sweep_name"))
+    steps = o.select(run.alias("run_id"), F.lit("graph").alias("engine"), step.alias("step"))
+    recorded = o.filter(kind == "1-URGENT").select(run.alias("run_id"), step.alias("step"), F.lit("sweep-1").alias("sweep_name"))
     path = lambda *p: F.concat_ws("/", run.cast("string"), *p).alias("dir")
+    high, medium = o.filter(kind == "2-HIGH"), o.filter(kind == "3-MEDIUM")
     dirs = (
-        o.filter(key % 4 == 1).select(path(F.lit("graph"), step))
-        .unionByName(o.filter(key % 4 == 1).select(path(step)))
-        .unionByName(o.filter(key % 4 == 2).select(path(step)))
-        .unionByName(o.filter(key % 4 == 2).select(path(step, F.lit("sweep-2"))))
+        high.select(path(F.lit("graph"), step))
+        .unionByName(high.select(path(step)))
+        .unionByName(medium.select(path(step)))
+        .unionByName(medium.select(path(step, F.lit("sweep-2"))))
     )
-    found = reports.resolve_artifacts(steps.drop("step_id"), recorded, dirs)
+    found = reports.resolve_artifacts(steps, recorded, dirs)
     return found.select(F.replace("step", F.lit("step-"), F.lit("")).cast("bigint").alias("step_id"), "source", "dir")
 
 

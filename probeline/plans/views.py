@@ -70,7 +70,7 @@ _VIEWS = {
                CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_orderdate + to_seconds(o_custkey % 900 + 10) END
                  AS last_heartbeat_at,
                CAST(NULL AS VARCHAR) AS error,
-               o_custkey
+               o_custkey, o_orderpriority
         FROM orders""",
     "sweeps": """
         SELECT l_orderkey AS run_id,
@@ -99,7 +99,7 @@ _VIEWS = {
                key || '-' || layer || '-{{corpus_size}}-' || c_nationkey AS value
         FROM customer, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS layer),
              (SELECT unnest(['engine', 'query_k', 'corpus_name', 'password', 'num_vectors']) AS key)
-        WHERE c_custkey % layer = 0 AND (key <> 'num_vectors' OR c_custkey % 2 = 1)""",
+        WHERE c_nationkey >= 4 * (layer - 1) AND (key <> 'num_vectors' OR c_acctbal > 0)""",
     "doc_lines": """
         SELECT doc_id, unnest(string_split(text, chr(10))) AS value,
                unnest(range(len(string_split(text, chr(10))))) AS line_no
@@ -192,6 +192,7 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
         F.when(cust % 7 != 0, plus(cust % 900 + 10)).alias("last_heartbeat_at"),
         F.lit(None).cast("string").alias("error"),
         "o_custkey",
+        "o_orderpriority",
     )
 
 
@@ -245,10 +246,10 @@ def param_layers(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     keys = F.array(*[F.lit(k) for k in ("engine", "query_k", "corpus_name", "password", "num_vectors")])
     rows = c.select(
-        F.col("c_custkey").alias("run_id"), "c_nationkey", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("layer")
+        F.col("c_custkey").alias("run_id"), "c_nationkey", "c_acctbal", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("layer")
     ).select("*", F.explode(keys).alias("key"))
     rows = rows.filter(
-        (F.col("run_id") % F.col("layer") == 0) & ((F.col("key") != "num_vectors") | (F.col("run_id") % 2 == 1))
+        (F.col("c_nationkey") >= 4 * (F.col("layer") - 1)) & ((F.col("key") != "num_vectors") | (F.col("c_acctbal") > 0))
     )
     value = F.concat(F.col("key"), F.lit("-"), F.col("layer"), F.lit("-{{corpus_size}}-"), F.col("c_nationkey"))
     return rows.select("run_id", "layer", "key", value.alias("value"))

@@ -7,6 +7,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb
+import pandas as pd
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -26,7 +27,7 @@ def rows_of(frame):
     frame = frame[sorted(frame.columns)]
     out = []
     for row in frame.itertuples(index=False, name=None):
-        out.append(tuple("∅" if v is None or v != v or str(v) == "NaT" else (repr(float(v)) if isinstance(v, float) else str(v)) for v in row))
+        out.append(tuple("∅" if pd.isna(v) else (repr(float(v)) if isinstance(v, float) else str(v)) for v in row))
     return sorted(out)
 
 
