@@ -65,7 +65,7 @@ def ann_search(
     """
     check_space(space_type)
     asked = probe_cells(queries, model, nprobe)
-    found = block_top(index, asked, k, space_type, None, exclude_self, block_bytes, cells=True)
+    found = block_top(index, asked, [(k, None)], space_type, exclude_self, block_bytes, cells=True)
     return top_k(found, k, HIGHER_IS_BETTER[space_type]).select("query_id", "rank", "vec_id", "score")
 
 

@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeline.functions.vectors import HIGHER_IS_BETTER, check_space
+from probeline.session import parallelism
 
 BLOCK_BYTES = 64 << 20
 _TILE = 4 << 20  # score cells held at once per task
-_FOUND = "query_id bigint, vec_id bigint, rank_score double, score double"
+_FOUND = "list int, query_id bigint, vec_id bigint, rank_score double, score double"
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray, space_type: str) -> np.ndarray:
@@ -109,13 +110,14 @@ class _TopLists:
         queries = np.broadcast_to(self.query_ids[:, None], self.ids.shape)[keep]
         return queries, self.ids[keep], self.rank[keep] * sign, self.exact[keep] * sign
 
-    def batches(self, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    def batches(self, list_no: int, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
         queries, ids, rank, exact = self.columns()
         for start in range(0, len(ids), rows):
             cut = slice(start, start + rows)
+            found = pa.array(np.full(len(ids[cut]), list_no, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(queries[cut]), pa.array(ids[cut]), pa.array(rank[cut]), pa.array(exact[cut])],
-                names=["query_id", "vec_id", "rank_score", "score"],
+                [found, pa.array(queries[cut]), pa.array(ids[cut]), pa.array(rank[cut]), pa.array(exact[cut])],
+                names=["list", "query_id", "vec_id", "rank_score", "score"],
             )
 
 
@@ -147,26 +149,38 @@ def _usable(df: DataFrame, dimension: int) -> DataFrame:
 
 
 def block_top(
-    base: DataFrame, queries: DataFrame, keep: int, space_type: str, quantise: float | None = None,
+    base: DataFrame, queries: DataFrame, lists: Sequence[tuple[int, float | None]], space_type: str,
     exclude_self: bool = False, block_bytes: int = BLOCK_BYTES, cells: bool = False,
 ) -> DataFrame:
-    """Per task and query, the ``keep`` best vectors: ``(query_id, vec_id, rank_score, score)``.
+    """Per task and query the best vectors: ``(list, query_id, vec_id, rank_score, score)``.
 
+    ``lists`` names the top lists to keep in one pass over the corpus, each as (length, quantise). With a quantise
+    value a list ranks by the scores of vectors rounded to ``1/quantise`` steps, and ``score`` is the exact score.
     With ``cells`` the corpus has a ``cell`` and the queries a ``probes`` array, and a vector only meets the queries
-    that probe its cell. ``quantise`` ranks by scores of vectors rounded to ``1/quantise`` steps.
+    that probe its cell.
     """
     check_space(space_type)
     n_queries, d = _shape(queries)
     query_cols = ["query_id", "embedding"] + (["probes"] if cells else [])
     base_cols = ["vec_id", "embedding"] + (["cell"] if cells else [])
     queries, base = _usable(queries, d).select(*query_cols), _usable(base, d).select(*base_cols)
-    query_bytes = n_queries * (16 * d + 16 * keep + 64)
+    query_bytes = n_queries * (16 * d + sum(24 * keep for keep, _ in lists) + 64)
+
+    def tops(ids, matrix):
+        return [_TopLists(ids, matrix, keep, space_type, quantise, exclude_self) for keep, quantise in lists]
+
     if query_bytes <= block_bytes:
-        return _broadcast_top(base, queries, d, keep, space_type, quantise, exclude_self, cells)
-    return _grid_top(base, queries, d, query_bytes, keep, space_type, quantise, exclude_self, block_bytes, cells)
+        return _broadcast_top(base, queries, d, tops, cells)
+    return _grid_top(base, queries, d, query_bytes, tops, block_bytes, cells)
+
 
+def _long_tasks(df: DataFrame) -> DataFrame:
+    """At most a few tasks per core. Every task puts out one list per query, so fewer and longer tasks shuffle less."""
+    spark = df.sparkSession
+    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, parallelism(spark)))
 
-def _broadcast_top(base, queries, d, keep, space_type, quantise, exclude_self, cells) -> DataFrame:
+
+def _broadcast_top(base, queries, d, make_tops, cells) -> DataFrame:
     table = queries.toArrow()  # at most block_bytes, checked by the caller
     ids = np.asarray(table["query_id"], dtype=np.int64)
     matrix = np.concatenate([_matrix(c, d) for c in table["embedding"].chunks]) if len(ids) else np.zeros((0, d))
@@ -181,23 +195,26 @@ def _broadcast_top(base, queries, d, keep, space_type, quantise, exclude_self, c
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_matrix, by_cell = shared.value
-        tops = _TopLists(query_ids, query_matrix, keep, space_type, quantise, exclude_self)
+        tops = make_tops(query_ids, query_matrix)
         for batch in batches:
             vec_ids = np.asarray(batch.column("vec_id"), dtype=np.int64)
             vectors = _matrix(batch.column("embedding"), d)
             if not cells:
-                tops.add(vec_ids, vectors)
+                for top in tops:
+                    top.add(vec_ids, vectors)
                 continue
             cell = np.asarray(batch.column("cell"), dtype=np.int64)
             for c in np.unique(cell):
                 here = cell == c
-                tops.add(vec_ids[here], vectors[here], by_cell[int(c)])
-        yield from tops.batches()
+                for top in tops:
+                    top.add(vec_ids[here], vectors[here], by_cell[int(c)])
+        for number, top in enumerate(tops):
+            yield from top.batches(number)
 
-    return base.mapInArrow(search, _FOUND)
+    return _long_tasks(base).mapInArrow(search, _FOUND)
 
 
-def _grid_top(base, queries, d, query_bytes, keep, space_type, quantise, exclude_self, block_bytes, cells) -> DataFrame:
+def _grid_top(base, queries, d, query_bytes, make_tops, block_bytes, cells) -> DataFrame:
     query_blocks = math.ceil(query_bytes / block_bytes)
     vector_bytes = 16 * d + 16
     per_block = max(1, block_bytes // vector_bytes)
@@ -220,16 +237,17 @@ def _grid_top(base, queries, d, query_bytes, keep, space_type, quantise, exclude
     base = base.withColumn("_b", F.explode(blocks))
 
     def search(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        empty = {"query_id": [], "vec_id": [], "rank_score": [], "score": []}
-        if not len(vectors) or not len(asked):
-            return pd.DataFrame(empty).astype({"query_id": "int64", "vec_id": "int64"})
-        tops = _TopLists(
-            asked["query_id"].to_numpy(np.int64), np.stack(asked["asked"]).astype(np.float64), keep, space_type,
-            quantise, exclude_self,
-        )
-        tops.add(vectors["vec_id"].to_numpy(np.int64), np.stack(vectors["embedding"]).astype(np.float64))
-        q, v, r, s = tops.columns()
-        return pd.DataFrame({"query_id": q, "vec_id": v, "rank_score": r, "score": s})
+        found = []
+        if len(vectors) and len(asked):
+            ids, matrix = vectors["vec_id"].to_numpy(np.int64), np.stack(vectors["embedding"]).astype(np.float64)
+            tops = make_tops(asked["query_id"].to_numpy(np.int64), np.stack(asked["asked"]).astype(np.float64))
+            for number, top in enumerate(tops):
+                top.add(ids, matrix)
+                q, v, r, s = top.columns()
+                found.append(pd.DataFrame({"list": np.int32(number), "query_id": q, "vec_id": v, "rank_score": r, "score": s}))
+        if not found:
+            found = [pd.DataFrame({"list": [], "query_id": [], "vec_id": [], "rank_score": [], "score": []})]
+        return pd.concat(found).astype({"list": "int32", "query_id": "int64", "vec_id": "int64"})
 
     pairs = base.select(*keys, "vec_id", "embedding").groupBy(*keys).cogroup(
         queries.select(*[F.col(k).alias(k) for k in keys], "query_id", F.col("embedding").alias("asked")).groupBy(*keys)
@@ -252,7 +270,7 @@ def exact_knn(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the k best vectors; equal scores go to the lower vec_id."""
-    found = block_top(base, queries, k, space_type, None, exclude_self, block_bytes)
+    found = block_top(base, queries, [(k, None)], space_type, exclude_self, block_bytes)
     best = top_k(found, k, HIGHER_IS_BETTER[space_type])
     return best.select("query_id", "rank", "vec_id", "score")
 
@@ -265,7 +283,7 @@ def overquery_candidates(
 
     The exact score of a candidate is taken while its vector is at hand, so reranking needs no second read.
     """
-    found = block_top(base, queries, keep, space_type, scale, exclude_self, block_bytes)
+    found = block_top(base, queries, [(keep, scale)], space_type, exclude_self, block_bytes)
     return top_k(found, keep, HIGHER_IS_BETTER[space_type], "rank_score", rank="coarse_rank").select(
         "query_id", "vec_id", "coarse_rank", "score"
     )
@@ -303,23 +321,28 @@ def quality_curve(
 ) -> DataFrame:
     """``(k, factor, recall, candidates)`` over a grid.
 
-    One pass finds the widest candidate list and one the truth for the largest k; every grid point is a cut of them.
+    The corpus is read once: a task keeps both the exact list for the largest k and the widest candidate list, and
+    every grid point is a cut of these two.
     """
     better = HIGHER_IS_BETTER[space_type]
-    truth = exact_knn(base, queries, max(ks), space_type, exclude_self, block_bytes)
-    widest = overquery_candidates(
-        base, queries, max(ks) * max(factors), space_type, scale, exclude_self, block_bytes
+    widest = max(ks) * max(factors)
+    found = block_top(base, queries, [(max(ks), None), (widest, scale)], space_type, exclude_self, block_bytes)
+    way = F.col("rank_score").desc() if better else F.col("rank_score").asc()
+    per_list = Window.partitionBy("list", "query_id").orderBy(way, "vec_id")
+    exact = F.col("list") == 0
+    ranked = found.withColumn("_r", F.row_number().over(per_list)).filter(F.col("_r") <= widest)
+    pairs = ranked.filter(~exact | (F.col("_r") <= max(ks))).groupBy("query_id", "vec_id").agg(
+        F.max(F.when(exact, F.col("_r"))).alias("true_rank"),
+        F.max(F.when(~exact, F.col("_r"))).alias("coarse_rank"),
+        F.max(F.when(~exact, F.col("score"))).alias("score"),
     )
     grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("factor")) for k in ks for f in factors])
-    cut = widest.withColumn("_p", F.explode(grid)).select(
-        F.col("_p.k").alias("k"), F.col("_p.factor").alias("factor"), "query_id", "vec_id", "coarse_rank", "score"
-    ).filter(F.col("coarse_rank") <= F.col("k") * F.col("factor"))
+    cut = pairs.filter(F.col("coarse_rank").isNotNull()).withColumn("_p", F.explode(grid)).select("*", "_p.*")
+    cut = cut.filter(F.col("coarse_rank") <= F.col("k") * F.col("factor"))
     by_score = F.col("score").desc() if better else F.col("score").asc()
     order = Window.partitionBy("k", "factor", "query_id").orderBy(by_score, "vec_id")
-    ranked = cut.withColumn("rank", F.row_number().over(order))
-    wanted = truth.select("query_id", "vec_id", F.col("rank").alias("_true_rank"))
-    scored = ranked.join(wanted, ["query_id", "vec_id"], "left")
-    hit = (F.col("rank") <= F.col("k")) & (F.col("_true_rank") <= F.col("k"))
+    scored = cut.withColumn("rank", F.row_number().over(order))
+    hit = (F.col("rank") <= F.col("k")) & (F.col("true_rank") <= F.col("k"))
     per_query = scored.groupBy("k", "factor", "query_id").agg(
         (F.count_if(hit) / F.first("k").cast("double")).alias("recall"), F.count(F.lit(1)).alias("candidates")
     )

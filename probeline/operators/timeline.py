@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from probeline.session import parallelism
 
 SLICE = "_slice"
+MAX_SLICES = 10_000
 _AT = "_slice_at"
 
 
@@ -31,12 +32,13 @@ def _sort_number(df: DataFrame, name: str) -> Column:
 
 
 def slice_bounds(df: DataFrame, order: str, slices: int) -> list[float]:
-    """Quantiles of ``order``: one column-pruned aggregate that returns ``slices - 1`` numbers."""
+    """Quantiles of ``order``: one column-pruned aggregate that returns ``slices - 1`` numbers (10,000 at most)."""
+    slices = min(slices, MAX_SLICES)
     if slices <= 1:
         return []
     shares = [i / slices for i in range(1, slices)]
     found = df.select(_sort_number(df, order).alias(_AT)).agg(
-        F.percentile_approx(_AT, shares, max(10_000, 100 * slices)).alias("q")
+        F.percentile_approx(_AT, shares, max(10_000, 10 * slices)).alias("q")
     ).first()["q"]
     return sorted(set(found or []))
 

@@ -9,6 +9,7 @@ from probeline.plans import telemetry_queries, views
 from probeline.plans.registry import query, table
 from probeline.plans.views import with_views
 from probeline.session import scratch_path
+from probeline.sources.trees import read_monthly
 from probeline.streaming import streams
 
 
@@ -174,7 +175,6 @@ def stream_samples(spark, sf):
     sink = scratch_path(spark, "monthly")
     rows = telemetry_queries._stats_documents(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "nodes")
     _replay(spark, rows, lambda s, c: streams.stream_samples(s, sink, c))
-    found = spark.read.parquet(f"{sink}/telemetry")
-    return found.groupBy(F.col("month").cast("string").alias("month"), "node_id").agg(
+    return read_monthly(spark, sink, "telemetry").groupBy("month", "node_id").agg(
         F.count(F.lit(1)).alias("samples"), F.max("gc_young_count").alias("gc_young_count")
     )

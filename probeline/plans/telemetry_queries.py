@@ -9,7 +9,9 @@ from probeline.operators import streaks, telemetry
 from probeline.plans import views
 from probeline.plans.registry import query, table
 from probeline.plans.views import POOLS_SQL, with_views
-from probeline.sources.trees import by_month, metrics_documents, read_cat as parse_cat
+from probeline.session import scratch_path
+from probeline.sources.trees import metrics_documents, read_monthly, write_monthly
+from probeline.sources.trees import read_cat as parse_cat
 
 
 def _micros(name):
@@ -440,13 +442,15 @@ def newly_failed(spark, sf):
 
 
 @query(
-    "samples_by_month",
-    """SELECT strftime(o_orderdate, '%Y.%m') AS month, count(*) AS rows FROM orders GROUP BY 1""",
+    "monthly_sink",
+    """SELECT strftime(o_orderdate, '%Y.%m') AS month, count(*) AS rows, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""",
 )
-def samples_by_month(spark, sf):
-    """The partitions a monthly sink writes."""
-    months = by_month(table(spark, sf, "orders"), "o_orderdate")
-    return months.groupBy("month").agg(F.count(F.lit(1)).alias("rows"))
+def monthly_sink(spark, sf):
+    """S10, written and read back."""
+    root = scratch_path(spark, "monthly")
+    write_monthly(table(spark, sf, "orders"), root, "results", "o_orderdate")
+    back = read_monthly(spark, root, "results")
+    return back.groupBy("month").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probeline.operators.reports import tail_text
 from probeline.operators.timeline import chunked_lists
@@ -117,7 +118,16 @@ def write_monthly(df: DataFrame, root: str, family: str, ts: str = "ts") -> None
     """Append to the family's folder, one partition per ``yyyy.MM`` month."""
     if family not in FAMILIES:
         raise ValueError(f"family is one of {FAMILIES}")
-    by_month(df, ts).write.mode("append").partitionBy("month").parquet(f"{root.rstrip('/')}/{family}")
+    rows = by_month(df, ts).hint("rebalance", "month")  # even files: small months together, large ones split
+    rows.write.mode("append").partitionBy("month").parquet(f"{root.rstrip('/')}/{family}")
+
+
+def read_monthly(spark: SparkSession, root: str, family: str) -> DataFrame:
+    """A family written by ``write_monthly``. The month stays text (``2024.10`` is not a number), so it prunes folders."""
+    path = f"{root.rstrip('/')}/{family}"
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType() if f.name == "month" else f.dataType) for f in found.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def by_month(df: DataFrame, ts: str = "ts") -> DataFrame:
