@@ -130,22 +130,20 @@ def batch_status(spark, sf):
 
 @query(
     "ingest_outcome",
-    """WITH t AS (SELECT l_orderkey AS run_id, count(*) AS tries, arg_max(CASE l_returnflag WHEN 'R' THEN 'cancelled' WHEN 'N' THEN 'failed'
-                         ELSE 'completed' END, l_partkey * 100000 + l_suppkey) AS last, arg_max(l_quantity, l_partkey * 100000 + l_suppkey) AS final FROM lineitem GROUP BY 1),
-       e AS (SELECT o_orderkey AS run_id, 30 AS expected_docs, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey % 40 END AS pre_count FROM orders),
-       j AS (SELECT e.*, tries, last, CAST(final AS BIGINT) AS final, coalesce(pre_count >= expected_docs, false) AS skipped FROM e LEFT JOIN t ON t.run_id = e.run_id)
-       SELECT run_id, CASE WHEN skipped OR coalesce(final >= expected_docs, false) THEN 'completed' WHEN last = 'cancelled' THEN 'cancelled' ELSE 'failed' END AS status,
-              CASE WHEN skipped THEN 0 ELSE coalesce(tries, 0) END AS ingest_attempts, coalesce(CASE WHEN skipped THEN pre_count ELSE final END, -1) AS actual_docs,
-              skipped FROM j""",
+    with_views("sweeps", body="""
+        WITH t AS (SELECT run_id, count(*) AS tries, arg_max(status, ord) AS last,
+                          CAST(arg_max(duration_seconds, ord) AS BIGINT) AS final FROM sweeps GROUP BY run_id),
+        e AS (SELECT o_orderkey AS run_id, 30 AS expected_docs, CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_custkey % 40 END AS pre_count FROM orders),
+        j AS (SELECT e.*, tries, last, final, coalesce(pre_count >= expected_docs, false) AS skipped FROM e LEFT JOIN t ON t.run_id = e.run_id)
+        SELECT run_id, CASE WHEN skipped OR coalesce(final >= expected_docs, false) THEN 'completed' WHEN last = 'cancelled' THEN 'cancelled' ELSE 'failed' END AS status,
+               CASE WHEN skipped THEN 0 ELSE coalesce(tries, 0) END AS ingest_attempts,
+               coalesce(CASE WHEN skipped THEN pre_count ELSE final END, -1) AS actual_docs, skipped FROM j"""),
 )
 def ingest_outcome(spark, sf):
-    """Lines of an order as ingest attempts with their counts."""
-    line = table(spark, sf, "lineitem")
-    flag = F.col("l_returnflag")
-    seq = (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("seq")
-    run = F.col("l_orderkey").alias("run_id")
-    attempts = line.select(run, seq.alias("attempt"), F.when(flag == "R", "cancelled").when(flag == "N", "failed").otherwise("completed").alias("status"))
-    counts = line.select(run, seq, F.col("l_quantity").cast("bigint").alias("count"))
+    """The sweeps of a run as ingest attempts, their durations as counts."""
+    sweeps = views.sweeps(spark, sf)
+    attempts = sweeps.select("run_id", F.col("ord").alias("attempt"), "status")
+    counts = sweeps.select("run_id", F.col("ord").alias("seq"), F.col("duration_seconds").cast("bigint").alias("count"))
     expected = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("run_id"), F.lit(30).cast("bigint").alias("expected_docs"),
         F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey") % 40).alias("pre_count"),
