@@ -128,8 +128,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     picks = np.argpartition(-scores, k - 1, axis=1)[:, :k]
     worst = np.take_along_axis(scores, picks, 1).min(1)
     tied = np.flatnonzero((scores >= worst[:, None]).sum(1) > k)
-    for row in tied:  # a tie on the border: settle it by id
-        picks[row] = np.lexsort((ids[row], -scores[row]))[:k]
+    if len(tied):  # a tie on the border: settle it by id
+        picks[tied] = np.lexsort((ids[tied], -scores[tied]), axis=1)[:, :k]
     return picks
 
 

@@ -9,6 +9,7 @@ that is joined back. The large side is shuffled once, by ``(key, slice)``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -20,6 +21,7 @@ from probeline.session import parallelism
 
 SLICE = "_slice"
 MAX_SLICES = 10_000
+ROWS_PER_SLICE = 1_000_000
 _AT = "_slice_at"
 
 
@@ -31,23 +33,32 @@ def _sort_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def slice_bounds(df: DataFrame, order: str, slices: int) -> list[float]:
-    """Quantiles of ``order``: one column-pruned aggregate that returns ``slices - 1`` numbers (10,000 at most)."""
+def slice_bounds(df: DataFrame, order: str, slices: int, rows_per_slice: int = 0) -> list[float]:
+    """Quantiles of ``order``: one column-pruned aggregate that returns at most ``slices - 1`` numbers.
+
+    With ``rows_per_slice`` the counted rows decide how many of the slices are needed.
+    """
     slices = min(slices, MAX_SLICES)
     if slices <= 1:
         return []
     shares = [i / slices for i in range(1, slices)]
     found = df.select(_sort_number(df, order).alias(_AT)).agg(
-        F.percentile_approx(_AT, shares, max(10_000, 10 * slices)).alias("q")
-    ).first()["q"]
-    return sorted(set(found or []))
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(_AT, shares, max(10_000, 10 * slices)).alias("q")
+    ).first()
+    cuts = found["q"] or []
+    if rows_per_slice:
+        needed = min(slices, math.ceil(found["n"] / rows_per_slice))
+        cuts = [cuts[i * slices // needed - 1] for i in range(1, needed)]
+    return sorted(set(cuts))
 
 
 class Timeline:
     """Rows of ``df`` ordered by ``order`` within ``keys``.
 
-    ``order[0]`` must be a number or a timestamp; the remaining columns break ties. ``slices`` defaults to the
-    shuffle partition count; ``bounds`` takes known cut points and saves the quantile pass. A null key is an error.
+    ``order[0]`` must be a number or a timestamp of many values; the remaining columns break ties. By default there
+    are as many slices as a slice of ``ROWS_PER_SLICE`` rows asks for, up to the shuffle partition count, and a table
+    below that size is one slice, which is a plain window. ``slices`` sets the number, ``bounds`` the cut points. A
+    null key is an error.
     """
 
     def __init__(
@@ -57,33 +68,38 @@ class Timeline:
         order: Sequence[str],
         slices: int | None = None,
         bounds: Sequence[float] | None = None,
-        _sliced: bool = False,
     ):
         self.keys, self.order = list(keys), list(order)
-        if _sliced:
-            self.df = df
+        if bounds is None and slices is not None:
+            bounds = slice_bounds(df, self.order[0], slices)
+        elif bounds is None:
+            bounds = slice_bounds(df, self.order[0], parallelism(df.sparkSession), ROWS_PER_SLICE)
+        self.cut = bool(bounds)
+        present = {
+            k: F.when(F.col(k).isNull(), F.raise_error(F.lit(f"timeline key {k} is null"))).otherwise(F.col(k))
+            for k in self.keys
+        }
+        if not self.cut:
+            self.df = df.withColumns(present)
             return
-        if bounds is None:
-            bounds = slice_bounds(df, self.order[0], slices or parallelism(df.sparkSession))
-        if bounds:
-            cuts = Bucketizer(
-                splits=[float("-inf"), *bounds, float("inf")], inputCol=_AT, outputCol=SLICE, handleInvalid="keep"
-            )
-            df = cuts.transform(df.withColumn(_AT, _sort_number(df, self.order[0]))).drop(_AT)
-            df = df.withColumn(SLICE, F.coalesce(F.col(SLICE).cast("int"), F.lit(-1)))
-        else:
-            df = df.withColumn(SLICE, F.lit(0))
-        for k in self.keys:
-            df = df.withColumn(k, F.when(F.col(k).isNull(), F.raise_error(F.lit(f"timeline key {k} is null")))
-                               .otherwise(F.col(k)))
-        self.df = df
+        cuts = Bucketizer(
+            splits=[float("-inf"), *bounds, float("inf")], inputCol=_AT, outputCol=SLICE, handleInvalid="keep"
+        )
+        df = cuts.transform(df.withColumn(_AT, _sort_number(df, self.order[0]))).drop(_AT)
+        self.df = df.withColumns({SLICE: F.coalesce(F.col(SLICE).cast("int"), F.lit(-1)), **present})
 
     def _with(self, df: DataFrame) -> Timeline:
-        return Timeline(df, self.keys, self.order, _sliced=True)
+        out = object.__new__(Timeline)
+        out.keys, out.order, out.cut, out.df = self.keys, self.order, self.cut, df
+        return out
+
+    @property
+    def _group(self) -> list[str]:
+        return [*self.keys, SLICE] if self.cut else self.keys
 
     @property
     def _local(self):
-        return Window.partitionBy(*self.keys, SLICE).orderBy(*self.order)
+        return Window.partitionBy(*self._group).orderBy(*self.order)
 
     @property
     def _across(self):
@@ -95,71 +111,67 @@ class Timeline:
 
     def previous(self, columns: Mapping[str, str], number: str | None = None) -> Timeline:
         """Add ``{new: source}`` columns holding the previous row's value, and optionally a 1-based row number."""
+        local = self._local
+        if not self.cut:
+            added = {name: F.lag(source).over(local) for name, source in columns.items()}
+            if number:
+                added[number] = F.row_number().over(local).cast("long")
+            return self._with(self.df.withColumns(added))
         sources = sorted(set(columns.values()))
+        across = self._across
         aggs = [F.count(F.lit(1)).alias("_n")]
+        carried = [*self.keys, SLICE]
+        added = {}
         if sources:
             aggs.append(F.max_by(F.struct(*sources), F.struct(*self.order)).alias("_tail"))
-        across = self._across
-        border = self.df.groupBy(*self.keys, SLICE).agg(*aggs)
-        carried = [*self.keys, SLICE]
+            carried.append(F.lag("_tail").over(across).alias("_carry"))
+            added["_lag"] = F.lag(F.struct(*sources)).over(local)
         if number:
             before = across.rowsBetween(Window.unboundedPreceding, -1)
-            border = border.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-            carried.append("_before")
-        if sources:
-            border = border.withColumn("_carry", F.lag("_tail").over(across))
-            carried.append("_carry")
-        local = self._local
-        df = self.df
-        if sources:
-            df = df.withColumn("_lag", F.lag(F.struct(*sources)).over(local))
-        if number:
-            df = df.withColumn("_local_rn", F.row_number().over(local))
-        df = self._rejoin(df, border.select(*carried))
-        if sources:
-            df = df.withColumn("_lag", F.coalesce("_lag", "_carry"))
-            for name, source in columns.items():
-                df = df.withColumn(name, F.col("_lag")[source])
+            carried.append(F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+            added["_rn"] = F.row_number().over(local)
+        border = self.df.groupBy(*self._group).agg(*aggs).select(*carried)
+        df = self._rejoin(self.df.withColumns(added), border)
+        final = {name: F.coalesce("_lag", "_carry")[source] for name, source in columns.items()}
         if number:
-            df = df.withColumn(number, (F.col("_before") + F.col("_local_rn")).cast("long"))
-        return self._with(df.drop("_lag", "_carry", "_local_rn", "_before"))
+            final[number] = (F.col("_before") + F.col("_rn")).cast("long")
+        working = [c for c in ("_lag", "_carry", "_before", "_rn") if c not in final]
+        return self._with(df.withColumns(final).drop(*working))
 
     def running(self, outputs: Mapping[str, tuple[str, Column]], inclusive: bool = True) -> Timeline:
         """Add running ``sum`` / ``max`` / ``min`` columns, up to the row itself or (exclusive) to the row before."""
         fold = {"sum": F.sum, "max": F.max, "min": F.min}
         local = self._local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        here = {name: fold[how](column).over(local) for name, (how, column) in outputs.items()}
+        if not self.cut:
+            return self._with(self.df.withColumns(here))
         before = self._across.rowsBetween(Window.unboundedPreceding, -1)
-        border = self.df.groupBy(*self.keys, SLICE).agg(
+        border = self.df.groupBy(*self._group).agg(
             *[fold[how](column).alias(f"_{name}_t") for name, (how, column) in outputs.items()]
         )
         border = border.select(
-            *self.keys,
-            SLICE,
+            *self._group,
             *[fold[how](f"_{name}_t").over(before).alias(f"_{name}_c") for name, (how, _) in outputs.items()],
         )
-        df = self.df
-        for name, (how, column) in outputs.items():
-            df = df.withColumn(name, fold[how](column).over(local))
-        df = self._rejoin(df, border)
+        df = self._rejoin(self.df.withColumns(here), border)
+        both = {}
         for name, (how, _) in outputs.items():
-            here, carry = F.col(name), F.col(f"_{name}_c")
+            own, carry = F.col(name), F.col(f"_{name}_c")
             if how == "sum":
-                both = F.coalesce(here + carry, here, carry)
+                both[name] = F.coalesce(own + carry, own, carry)
             else:
-                both = (F.greatest if how == "max" else F.least)(here, carry)
-            df = df.withColumn(name, both).drop(f"_{name}_c")
-        return self._with(df)
+                both[name] = (F.greatest if how == "max" else F.least)(own, carry)
+        return self._with(df.withColumns(both).drop(*[f"_{name}_c" for name in outputs]))
 
     def _rejoin(self, df: DataFrame, border: DataFrame) -> DataFrame:
         renamed = border.select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)],
-            F.col(SLICE).alias("_ks"),
-            *[c for c in border.columns if c not in (*self.keys, SLICE)],
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(self._group)],
+            *[c for c in border.columns if c not in self._group],
         )
-        match = df[SLICE] == renamed["_ks"]
-        for i, k in enumerate(self.keys):
+        match = F.lit(True)
+        for i, k in enumerate(self._group):
             match = match & (df[k] == renamed[f"_k{i}"])
-        return df.join(renamed, match, "left").drop("_ks", *[f"_k{i}" for i in range(len(self.keys))])
+        return df.join(renamed, match, "left").drop(*[f"_k{i}" for i in range(len(self._group))])
 
     def run_positions(self, value: str, position: str = "run_pos", initial: DataFrame | None = None) -> Timeline:
         """Add the 1-based position of each row inside its run of equal ``value`` (gaps and islands).
@@ -167,17 +179,17 @@ class Timeline:
         ``initial`` carries the run that was open when earlier data ended: keys, ``value`` and its length ``position``.
         A key's first run here goes on from there if the value is the same.
         """
-        numbered = self.previous({"_pv": value}, number="_rn")
-        same = F.col(value).eqNullSafe(F.col("_pv")) & (F.col("_rn") > 1)
-        started = numbered.running({"_start": ("max", F.when(~same, F.col("_rn")))})
-        place = F.col("_rn") - F.col("_start") + 1
+        numbered = self.previous({"_pv": value}, number="_no")
+        same = F.col(value).eqNullSafe(F.col("_pv")) & (F.col("_no") > 1)
+        started = numbered.running({"_start": ("max", F.when(~same, F.col("_no")))})
+        place = F.col("_no") - F.col("_start") + 1
         if initial is not None:
             opened = initial.select(*self.keys, F.struct(F.col(value).alias("v"), F.col(position).alias("n")).alias("_open"))
             started = started.map(lambda d: d.join(opened, self.keys, "left"))
             goes_on = (F.col("_start") == 1) & F.col("_open").isNotNull() & F.col(value).eqNullSafe(F.col("_open")["v"])
             place = place + F.when(goes_on, F.col("_open")["n"]).otherwise(F.lit(0))
         return started.map(
-            lambda d: d.withColumn(position, place.cast("bigint")).drop("_pv", "_rn", "_start", "_open")
+            lambda d: d.withColumn(position, place.cast("bigint")).drop("_pv", "_no", "_start", "_open")
         )
 
     def result(self) -> DataFrame:

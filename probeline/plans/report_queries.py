@@ -120,15 +120,12 @@ def rank_sweeps(spark, sf):
 
 @query(
     "order_sweeps",
-    with_views("sweeps", body="""
-        SELECT run_id, 'sweep-' || ord AS sweep_name, row_number() OVER (PARTITION BY run_id ORDER BY 'sweep-' || ord) AS position FROM sweeps"""),
+    with_views("sweeps", body="SELECT run_id, 'sweep-' || ord AS sweep_name, status FROM sweeps ORDER BY run_id, sweep_name"),
 )
 def order_sweeps(spark, sf):
-    """L3: the place of each sweep in name order, read off the sorted table."""
-    named = views.sweeps(spark, sf).select("run_id", F.concat(F.lit("sweep-"), "ord").alias("sweep_name"))
-    ordered = reports.order_sweeps(named).withColumn("at", F.monotonically_increasing_id())
-    first = ordered.groupBy("run_id").agg(F.min("at").alias("first"))
-    return ordered.join(first, "run_id").select("run_id", "sweep_name", (F.col("at") - F.col("first") + 1).alias("position"))
+    """L3."""
+    named = views.sweeps(spark, sf).select("run_id", F.concat(F.lit("sweep-"), "ord").alias("sweep_name"), "status")
+    return reports.order_sweeps(named)
 
 
 @query(

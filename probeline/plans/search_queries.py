@@ -129,14 +129,14 @@ def recall_at_k(spark, sf):
         per_query AS (SELECT f.query_id, count(t.vec_id) / 10.0::DOUBLE AS recall
                       FROM found f LEFT JOIN truth t ON t.query_id = f.query_id AND t.vec_id = f.vec_id AND t.rank <= {K}
                       GROUP BY f.query_id)
-        SELECT label, round(avg(recall), 6) AS recall, count(*) AS queries
+        SELECT label, round(avg(recall), 10) AS recall, count(*) AS queries
         FROM per_query JOIN embeddings ON vec_id = query_id GROUP BY label""",
 )
 def mean_recall(spark, sf):
     """A14 per label of the query."""
     labels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "label")
     means = search.mean_recall(recall_at_k(spark, sf).join(labels, "query_id"), ["label"])
-    return means.withColumn("recall", F.round("recall", 6))
+    return means.withColumn("recall", F.round("recall", 10))
 
 
 @query(
@@ -165,7 +165,7 @@ def overquery_search(spark, sf):
                    count(*) FILTER (WHERE c.rank <= c.k AND t.rank <= c.k) / c.k::DOUBLE AS recall
             FROM cut c LEFT JOIN truth t ON t.query_id = c.query_id AND t.vec_id = c.vec_id
             GROUP BY c.k, c.factor, c.query_id)
-        SELECT k, factor, round(avg(recall), 6) AS recall, CAST(sum(candidates) AS BIGINT) AS candidates
+        SELECT k, factor, round(avg(recall), 10) AS recall, CAST(sum(candidates) AS BIGINT) AS candidates
         FROM per_query GROUP BY k, factor""",
 )
 def quality_curve(spark, sf):
@@ -173,7 +173,7 @@ def quality_curve(spark, sf):
     base, asked = _sides(spark, sf)
     name = _ingested(spark, base)
     curve = search.quality_curve(spark.table(name), asked, [10, 64], [1, 2, 5], scale=COARSE, exclude_self=True)
-    return curve.withColumn("recall", F.round("recall", 6))
+    return curve.withColumn("recall", F.round("recall", 10))
 
 
 @query("ann_search")
@@ -186,7 +186,7 @@ def ann_search(spark, sf):
     index = spark.read.parquet(path)
     truth = search.exact_knn(base, asked, K, exclude_self=True)
     curve = cells.probe_curve(index, asked, truth, model, K, [1, 4, 16], exclude_self=True)
-    return curve.withColumn("recall", F.round("recall", 6))
+    return curve.withColumn("recall", F.round("recall", 10))
 
 
 @query(

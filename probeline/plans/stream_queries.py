@@ -111,7 +111,7 @@ def stream_stability_deadline(spark, sf):
     "stream_windowed_usage",
     with_views("cores_mib", body="""
         WITH w AS (SELECT node, time_bucket(INTERVAL 600 SECOND, ts) AS start, cores, mib FROM cores_mib)
-        SELECT node, epoch_us(start) AS start_us, round(avg(cores), 6) AS cpu_avg, round(max(mib), 4) AS memory_max, count(*) AS samples
+        SELECT node, epoch_us(start) AS start_us, round(sum(cores), 6) AS cpu_total, round(max(mib), 4) AS memory_max, count(*) AS samples
         FROM w GROUP BY node, start
         HAVING epoch_us(start) + 600000000 <= (SELECT epoch_us(max(ts)) - 60000000 FROM events)"""),
 )
@@ -127,7 +127,7 @@ def stream_windowed_usage(spark, sf):
     _replay(spark, rows, run)
     found = spark.read.parquet(sink)
     return found.select(
-        "node", F.unix_micros("start").alias("start_us"), F.round("cpu_avg", 6).alias("cpu_avg"),
+        "node", F.unix_micros("start").alias("start_us"), F.round(F.col("cpu_avg") * F.col("samples"), 6).alias("cpu_total"),
         F.round("memory_max", 4).alias("memory_max"), "samples",
     )
 

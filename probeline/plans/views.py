@@ -74,7 +74,7 @@ _VIEWS = {
         FROM orders""",
     "sweeps": """
         SELECT l_orderkey AS run_id,
-               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
+               row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_shipdate,
                                   l_quantity, l_extendedprice) AS ord,
                CASE l_returnflag WHEN 'A' THEN 'completed' WHEN 'N' THEN 'failed' ELSE 'cancelled' END AS status,
                l_quantity AS duration_seconds,
@@ -199,7 +199,7 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
 def sweeps(spark: SparkSession, sf: str, ordered: bool = True) -> DataFrame:
     line = table(spark, sf, "lineitem")
     if ordered:
-        sort = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
+        sort = ["l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice"]
         line = numbered(line, ["l_orderkey"], sort, "ord")
     flag = F.col("l_returnflag")
     return line.select(
