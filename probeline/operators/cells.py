@@ -8,11 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeline.functions.vectors import HIGHER_IS_BETTER, check_space
-from probeline.operators.search import BLOCK_BYTES, block_top, mean_recall, recall_at_k, top_k
+from probeline.operators.search import BLOCK_BYTES, TopList, block_top, mean_recall, recall_at_k, top_k
 
 
 def train_cells(base: DataFrame, n_cells: int, seed: int = 42, iterations: int = 10) -> KMeansModel:
@@ -65,18 +65,21 @@ def ann_search(
     """
     check_space(space_type)
     asked = probe_cells(queries, model, nprobe)
-    found = block_top(index, asked, [(k, None)], space_type, exclude_self, block_bytes, cells=True)
+    found = block_top(index, asked, [TopList(k)], space_type, exclude_self, block_bytes, cells=True)
     return top_k(found, k, HIGHER_IS_BETTER[space_type]).select("query_id", "rank", "vec_id", "score")
 
 
 def probe_curve(
     index: DataFrame, queries: DataFrame, truth: DataFrame, model: KMeansModel, k: int, probes: Sequence[int],
-    space_type: str = "innerproduct", exclude_self: bool = False,
+    space_type: str = "innerproduct", exclude_self: bool = False, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """X3 over ``nprobe``: ``(nprobe, recall, queries)``. The loop is over knob values, not over data."""
-    runs = None
-    for nprobe in probes:
-        found = ann_search(index, queries, model, k, nprobe, space_type, exclude_self)
-        tagged = found.withColumn("nprobe", F.lit(nprobe))
-        runs = tagged if runs is None else runs.unionByName(tagged)
-    return mean_recall(recall_at_k(runs, truth, k, ["nprobe"]), ["nprobe"])
+    """X3 over ``nprobe``: ``(nprobe, recall, queries)`` from one pass that keeps a list per knob value."""
+    check_space(space_type)
+    asked = probe_cells(queries, model, max(probes))
+    lists = [TopList(k, nprobe=n) for n in probes]
+    found = block_top(index, asked, lists, space_type, exclude_self, block_bytes, cells=True)
+    knob = F.element_at(F.array(*[F.lit(n) for n in probes]), F.col("list") + 1)
+    way = F.col("score").desc() if HIGHER_IS_BETTER[space_type] else F.col("score").asc()
+    order = Window.partitionBy("list", "query_id").orderBy(way, "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("nprobe", knob)
+    return mean_recall(recall_at_k(best, truth, k, ["nprobe"]), ["nprobe"])

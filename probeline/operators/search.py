@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,14 @@ _TILE = 4 << 20  # score cells held at once per task
 _FOUND = "list int, query_id bigint, vec_id bigint, rank_score double, score double"
 
 
+class TopList(NamedTuple):
+    """A list to keep per query: its length, the rounding of the ranking scores, and how many probed cells count."""
+
+    keep: int
+    quantise: float | None = None
+    nprobe: int | None = None
+
+
 def _scores(queries: np.ndarray, vectors: np.ndarray, space_type: str) -> np.ndarray:
     """Scores of every query against every vector, turned so that higher is better."""
     if space_type == "l2":
@@ -56,10 +65,11 @@ def _exact_for(queries: np.ndarray, vectors: np.ndarray, picks: np.ndarray, spac
 class _TopLists:
     """The best ``keep`` vectors per query seen so far by one task; equal scores go to the lower vec_id."""
 
-    def __init__(self, query_ids, queries, keep, space_type, quantise, exclude_self):
+    def __init__(self, query_ids, queries, wanted: TopList, space_type, exclude_self):
         self.query_ids, self.queries = query_ids, queries
-        self.keep, self.space_type, self.quantise, self.exclude_self = keep, space_type, quantise, exclude_self
-        self.coarse = np.rint(queries * quantise) if quantise else queries
+        self.keep, self.quantise, self.nprobe = wanted
+        self.space_type, self.exclude_self = space_type, exclude_self
+        self.coarse = np.rint(queries * self.quantise) if self.quantise else queries
         n = len(query_ids)
         self.rank = np.full((n, 0), -np.inf)
         self.exact = np.full((n, 0), -np.inf)
@@ -67,7 +77,7 @@ class _TopLists:
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None) -> None:
         """Offer vectors to all queries, or only to the queries at positions ``rows``."""
-        if not len(ids):
+        if not len(ids) or (rows is not None and not len(rows)):
             return
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], vectors[order]
@@ -149,25 +159,25 @@ def _usable(df: DataFrame, dimension: int) -> DataFrame:
 
 
 def block_top(
-    base: DataFrame, queries: DataFrame, lists: Sequence[tuple[int, float | None]], space_type: str,
+    base: DataFrame, queries: DataFrame, lists: Sequence[TopList], space_type: str,
     exclude_self: bool = False, block_bytes: int = BLOCK_BYTES, cells: bool = False,
 ) -> DataFrame:
     """Per task and query the best vectors: ``(list, query_id, vec_id, rank_score, score)``.
 
-    ``lists`` names the top lists to keep in one pass over the corpus, each as (length, quantise). With a quantise
-    value a list ranks by the scores of vectors rounded to ``1/quantise`` steps, and ``score`` is the exact score.
-    With ``cells`` the corpus has a ``cell`` and the queries a ``probes`` array, and a vector only meets the queries
-    that probe its cell.
+    ``lists`` are kept side by side in one pass over the corpus. With a quantise value a list ranks by the scores of
+    vectors rounded to ``1/quantise`` steps, and ``score`` is the exact score. With ``cells`` the corpus has a ``cell``
+    and the queries a ``probes`` array, nearest first, and a vector only meets the queries that have its cell among
+    the first ``nprobe`` (or all) of their probes.
     """
     check_space(space_type)
     n_queries, d = _shape(queries)
     query_cols = ["query_id", "embedding"] + (["probes"] if cells else [])
     base_cols = ["vec_id", "embedding"] + (["cell"] if cells else [])
     queries, base = _usable(queries, d).select(*query_cols), _usable(base, d).select(*base_cols)
-    query_bytes = n_queries * (16 * d + sum(24 * keep for keep, _ in lists) + 64)
+    query_bytes = n_queries * (16 * d + sum(24 * t.keep for t in lists) + 64)
 
     def tops(ids, matrix):
-        return [_TopLists(ids, matrix, keep, space_type, quantise, exclude_self) for keep, quantise in lists]
+        return [_TopLists(ids, matrix, t, space_type, exclude_self) for t in lists]
 
     if query_bytes <= block_bytes:
         return _broadcast_top(base, queries, d, tops, cells)
@@ -184,12 +194,13 @@ def _broadcast_top(base, queries, d, make_tops, cells) -> DataFrame:
     table = queries.toArrow()  # at most block_bytes, checked by the caller
     ids = np.asarray(table["query_id"], dtype=np.int64)
     matrix = np.concatenate([_matrix(c, d) for c in table["embedding"].chunks]) if len(ids) else np.zeros((0, d))
-    probed: dict[int, np.ndarray] = {}
+    probed: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # cell: the queries that probe it, and at which place
     if cells:
         lists = table["probes"].to_pylist()
         flat = np.array([c for probes in lists for c in probes], dtype=np.int64)
         owner = np.repeat(np.arange(len(lists)), [len(p) for p in lists])
-        probed = {int(c): owner[flat == c] for c in np.unique(flat)}
+        place = np.array([i for probes in lists for i in range(len(probes))], dtype=np.int64)
+        probed = {int(c): (owner[flat == c], place[flat == c]) for c in np.unique(flat)}
         base = base.filter(F.col("cell").isin([int(c) for c in probed]))
     shared = base.sparkSession.sparkContext.broadcast((ids, matrix, probed))
 
@@ -206,8 +217,10 @@ def _broadcast_top(base, queries, d, make_tops, cells) -> DataFrame:
             cell = np.asarray(batch.column("cell"), dtype=np.int64)
             for c in np.unique(cell):
                 here = cell == c
+                owner, place = by_cell[int(c)]
                 for top in tops:
-                    top.add(vec_ids[here], vectors[here], by_cell[int(c)])
+                    near = owner if top.nprobe is None else owner[place < top.nprobe]
+                    top.add(vec_ids[here], vectors[here], near)
         for number, top in enumerate(tops):
             yield from top.batches(number)
 
@@ -224,13 +237,14 @@ def _grid_top(base, queries, d, query_bytes, make_tops, block_bytes, cells) -> D
             F.ceil(F.count(F.lit(1)) / F.lit(per_block)).cast("bigint").alias("_parts")
         )
         base = base.join(sizes, "cell").withColumn("_g", hashed("vec_id", F.col("_parts"))).drop("_parts")
-        queries = queries.withColumn("cell", F.explode("probes")).join(sizes, "cell")
+        queries = queries.select("*", F.posexplode("probes").alias("_place", "cell")).join(sizes, "cell")
         queries = queries.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
         keys = ["cell", "_g", "_b"]
     else:
         parts = max(1, math.ceil(base.count() / per_block))
         base = base.withColumn("_g", hashed("vec_id", F.lit(parts).cast("bigint")))
         queries = queries.withColumn("_g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+        queries = queries.withColumn("_place", F.lit(0))
         keys = ["_g", "_b"]
     queries = queries.withColumn("_b", hashed("query_id", F.lit(query_blocks).cast("bigint")))
     blocks = F.sequence(F.lit(0).cast("bigint"), F.lit(query_blocks - 1).cast("bigint"))
@@ -241,8 +255,9 @@ def _grid_top(base, queries, d, query_bytes, make_tops, block_bytes, cells) -> D
         if len(vectors) and len(asked):
             ids, matrix = vectors["vec_id"].to_numpy(np.int64), np.stack(vectors["embedding"]).astype(np.float64)
             tops = make_tops(asked["query_id"].to_numpy(np.int64), np.stack(asked["asked"]).astype(np.float64))
+            place = asked["place"].to_numpy(np.int64)
             for number, top in enumerate(tops):
-                top.add(ids, matrix)
+                top.add(ids, matrix, None if top.nprobe is None else np.flatnonzero(place < top.nprobe))
                 q, v, r, s = top.columns()
                 found.append(pd.DataFrame({"list": np.int32(number), "query_id": q, "vec_id": v, "rank_score": r, "score": s}))
         if not found:
@@ -250,7 +265,7 @@ def _grid_top(base, queries, d, query_bytes, make_tops, block_bytes, cells) -> D
         return pd.concat(found).astype({"list": "int32", "query_id": "int64", "vec_id": "int64"})
 
     pairs = base.select(*keys, "vec_id", "embedding").groupBy(*keys).cogroup(
-        queries.select(*[F.col(k).alias(k) for k in keys], "query_id", F.col("embedding").alias("asked")).groupBy(*keys)
+        queries.select(*[F.col(k).alias(k) for k in keys], "query_id", F.col("_place").alias("place"), F.col("embedding").alias("asked")).groupBy(*keys)
     )
     return pairs.applyInPandas(search, _FOUND)
 
@@ -270,7 +285,7 @@ def exact_knn(
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the k best vectors; equal scores go to the lower vec_id."""
-    found = block_top(base, queries, [(k, None)], space_type, exclude_self, block_bytes)
+    found = block_top(base, queries, [TopList(k)], space_type, exclude_self, block_bytes)
     best = top_k(found, k, HIGHER_IS_BETTER[space_type])
     return best.select("query_id", "rank", "vec_id", "score")
 
@@ -283,7 +298,7 @@ def overquery_candidates(
 
     The exact score of a candidate is taken while its vector is at hand, so reranking needs no second read.
     """
-    found = block_top(base, queries, [(keep, scale)], space_type, exclude_self, block_bytes)
+    found = block_top(base, queries, [TopList(keep, scale)], space_type, exclude_self, block_bytes)
     return top_k(found, keep, HIGHER_IS_BETTER[space_type], "rank_score", rank="coarse_rank").select(
         "query_id", "vec_id", "coarse_rank", "score"
     )
@@ -326,7 +341,7 @@ def quality_curve(
     """
     better = HIGHER_IS_BETTER[space_type]
     widest = max(ks) * max(factors)
-    found = block_top(base, queries, [(max(ks), None), (widest, scale)], space_type, exclude_self, block_bytes)
+    found = block_top(base, queries, [TopList(max(ks)), TopList(widest, scale)], space_type, exclude_self, block_bytes)
     way = F.col("rank_score").desc() if better else F.col("rank_score").asc()
     per_list = Window.partitionBy("list", "query_id").orderBy(way, "vec_id")
     exact = F.col("list") == 0

@@ -58,7 +58,12 @@ if __name__ == "__main__":
 
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     sf_dir = f"/root/testdata/sf{sf}"
-    spark = local_session(8)
+    if os.environ.get("PLAIN_SESSION"):  # no settings at all, as a foreign driver might have it
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = local_session(8)
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     qs, sqls = queries(), oracle_sql()

@@ -10,7 +10,7 @@ from probeline.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, shuffle_partitions=8, app="probeline-tests")
+    session = local_session(8, shuffle_partitions=8, app="probeline-tests", **{"spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()

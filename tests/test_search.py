@@ -112,6 +112,9 @@ def test_cells(spark, tmp_path):
     assert found_ids(one) == found_ids(cells.ann_search(index, asked, model, 5, 1, "l2", block_bytes=4000))
     recall = search.mean_recall(search.recall_at_k(one, truth, 5)).first()["recall"]
     assert 0.8 <= recall <= 1.0
+    for block in (search.BLOCK_BYTES, 4000):
+        curve = {r["nprobe"]: r["recall"] for r in cells.probe_curve(index, asked, truth, model, 5, [1, 5], "l2", block_bytes=block).collect()}
+        assert curve == {1: pytest.approx(recall), 5: 1.0}
 
 
 def test_synthetic_vectors_do_not_depend_on_partitions(spark):
