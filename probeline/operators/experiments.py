@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from probeline.functions.text import COUNTED_PROCEDURES, step_label
 from probeline.functions.units import corpus_to_count, count_to_corpus, range_bytes
-from probeline.operators.timeline import numbered
+from probeline.operators.timeline import Timeline, numbered
 
 # The parameter layers from weakest to strongest, template variables in the order they are applied,
 # internal and secret keys, the source files with their capacities, and the defaults of a run.
@@ -162,9 +162,7 @@ def label_versions(
     version: str = "version", slices: int | None = None,
 ) -> DataFrame:
     """``version_label`` is ``<version>_run<n>`` for versions that occur more than once, else the version."""
-    group = [*keys, version]
-    uses = versions.groupBy(*group).agg(F.count(F.lit(1)).alias("_uses"))
-    rows = numbered(versions, group, order, "_n", slices).join(uses, group)
+    rows = Timeline(versions, [*keys, version], order, slices).previous({}, number="_n", total="_uses").result()
     repeated = F.concat(F.col(version), F.lit("_run"), F.col("_n").cast("string"))
     return rows.withColumn("version_label", F.when(F.col("_uses") > 1, repeated).otherwise(F.col(version))).drop("_n", "_uses")
 

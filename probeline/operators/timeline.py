@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(key).orderBy(ts)`` sorts a key in a single task, so
 sets the run time of the job. A timeline cuts the order column at quantiles of *all* rows. A ``(key, slice)`` group
 then holds at most about ``1/slices`` of the table, however the keys or the bursts are spread. Window functions run
 inside the slices; what crosses a slice border (the last row, a running total) is one small row per ``(key, slice)``
-that is joined back. The large side is shuffled once, by ``(key, slice)``.
+that is joined back. The large side is shuffled once, by ``(key, slice)``. That shuffle is asked for explicitly:
+rows that arrive partitioned by the key alone would satisfy the window as they are, hot key included.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ class Timeline:
             bounds = slice_bounds(df, self.order[0], slices)
         elif bounds is None:
             bounds = slice_bounds(df, self.order[0], parallelism(df.sparkSession), ROWS_PER_SLICE)
-        self.cut = bool(bounds)
+        self.cut, self.placed = bool(bounds), False
         present = {
             k: F.when(F.col(k).isNull(), F.raise_error(F.lit(f"timeline key {k} is null"))).otherwise(F.col(k))
             for k in self.keys
@@ -90,9 +91,13 @@ class Timeline:
 
     def _with(self, df: DataFrame) -> Timeline:
         out = object.__new__(Timeline)
-        out.keys, out.order, out.cut, out.df = self.keys, self.order, self.cut, df
+        out.keys, out.order, out.cut, out.placed, out.df = self.keys, self.order, self.cut, self.placed, df
         return out
 
+    def _place(self) -> DataFrame:
+        """The rows partitioned by (key, slice)."""
+        return self.df if self.placed else self.df.repartition(*self._group)
+
     @property
     def _group(self) -> list[str]:
         return [*self.keys, SLICE] if self.cut else self.keys
@@ -109,13 +114,18 @@ class Timeline:
         """Apply a row-wise DataFrame function (``withColumn`` and the like)."""
         return self._with(fn(self.df))
 
-    def previous(self, columns: Mapping[str, str], number: str | None = None) -> Timeline:
-        """Add ``{new: source}`` columns holding the previous row's value, and optionally a 1-based row number."""
+    def previous(self, columns: Mapping[str, str], number: str | None = None, total: str | None = None) -> Timeline:
+        """Add ``{new: source}`` columns holding the previous row's value.
+
+        ``number`` names a column for the 1-based row number, ``total`` one for the row count of the key.
+        """
         local = self._local
         if not self.cut:
             added = {name: F.lag(source).over(local) for name, source in columns.items()}
             if number:
                 added[number] = F.row_number().over(local).cast("long")
+            if total:
+                added[total] = F.count(F.lit(1)).over(Window.partitionBy(*self.keys))
             return self._with(self.df.withColumns(added))
         sources = sorted(set(columns.values()))
         across = self._across
@@ -130,13 +140,17 @@ class Timeline:
             before = across.rowsBetween(Window.unboundedPreceding, -1)
             carried.append(F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
             added["_rn"] = F.row_number().over(local)
+        if total:
+            carried.append(F.sum("_n").over(Window.partitionBy(*self.keys)).alias("_total"))
         border = self.df.groupBy(*self._group).agg(*aggs).select(*carried)
-        df = self._rejoin(self.df.withColumns(added), border)
+        df = self._rejoin(self._place().withColumns(added), border)
         final = {name: F.coalesce("_lag", "_carry")[source] for name, source in columns.items()}
         if number:
             final[number] = (F.col("_before") + F.col("_rn")).cast("long")
-        working = [c for c in ("_lag", "_carry", "_before", "_rn") if c not in final]
-        return self._with(df.withColumns(final).drop(*working))
+        if total:
+            final[total] = F.col("_total")
+        working = [c for c in ("_lag", "_carry", "_before", "_rn", "_total") if c not in final]
+        return self._placed(df.withColumns(final).drop(*working))
 
     def running(self, outputs: Mapping[str, tuple[str, Column]], inclusive: bool = True) -> Timeline:
         """Add running ``sum`` / ``max`` / ``min`` columns, up to the row itself or (exclusive) to the row before."""
@@ -153,7 +167,7 @@ class Timeline:
             *self._group,
             *[fold[how](f"_{name}_t").over(before).alias(f"_{name}_c") for name, (how, _) in outputs.items()],
         )
-        df = self._rejoin(self.df.withColumns(here), border)
+        df = self._rejoin(self._place().withColumns(here), border)
         both = {}
         for name, (how, _) in outputs.items():
             own, carry = F.col(name), F.col(f"_{name}_c")
@@ -161,7 +175,12 @@ class Timeline:
                 both[name] = F.coalesce(own + carry, own, carry)
             else:
                 both[name] = (F.greatest if how == "max" else F.least)(own, carry)
-        return self._with(df.withColumns(both).drop(*[f"_{name}_c" for name in outputs]))
+        return self._placed(df.withColumns(both).drop(*[f"_{name}_c" for name in outputs]))
+
+    def _placed(self, df: DataFrame) -> Timeline:
+        out = self._with(df)
+        out.placed = True
+        return out
 
     def _rejoin(self, df: DataFrame, border: DataFrame) -> DataFrame:
         renamed = border.select(

@@ -9,6 +9,7 @@ from probeline.operators import reports
 from probeline.plans import views
 from probeline.plans.registry import query, table
 from probeline.plans.views import with_views
+from probeline.session import scratch_path
 from probeline.sources import trees
 
 
@@ -188,3 +189,43 @@ def results_documents(spark, sf):
     return documents.select(
         "job", "part", F.size(back["sweeps"]).cast("bigint").alias("sweeps"), back["job"].isNotNull().alias("has_job")
     )
+
+
+@query(
+    "log_tail",
+    with_views("doc_lines", body="""
+        WITH l AS (SELECT doc_id // 250 AS bucket, doc_id, line_no, doc_id || '|' || line_no || '|' || md5(value) AS line FROM doc_lines),
+        n AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id DESC, line_no DESC) AS rn FROM l)
+        SELECT bucket, string_agg(line, chr(10) ORDER BY doc_id, line_no) AS tail FROM n WHERE rn <= 20 GROUP BY bucket"""),
+)
+def log_tail(spark, sf):
+    """S7 on log files written from the document lines, 250 documents per file."""
+    root = scratch_path(spark, "logs")
+    bucket = F.floor(F.col("doc_id") / 250).cast("bigint")
+    line = F.concat_ws("|", "doc_id", "line_no", F.md5("value"))
+    lines = views.doc_lines(spark, sf).select(bucket.alias("bucket"), "doc_id", "line_no", line.alias("line"))
+    ordered = lines.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "line_no")
+    ordered.select("bucket", F.col("line").alias("value")).write.partitionBy("bucket").text(root)
+    tails = trees.log_tail(spark, root, 20, "*.txt")
+    return tails.select(F.regexp_extract("path", r"bucket=(\d+)", 1).cast("bigint").alias("bucket"), "tail")
+
+
+@query(
+    "read_node_samples",
+    """SELECT event_id AS gc_young_count, 'n' || user_id AS node, epoch_us(date_trunc('second', ts)) AS at_us, round(value, 6) AS heap_used_pct,
+              CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END AS has_load FROM events""",
+)
+def read_node_samples(spark, sf):
+    """Samples written as one JSON object per line; columns that are not in a line are null."""
+    path = scratch_path(spark, "samples")
+    second = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    e = table(spark, sf, "events").select(
+        second.alias("ts"), F.concat(F.lit("n"), "user_id").alias("node"), F.col("value").alias("heap_used_pct"),
+        F.col("event_id").alias("gc_young_count"), F.when(F.col("event_type") != "error", F.col("value")).alias("load_1m"),
+    )
+    e.write.json(path)
+    found = trees.read_node_samples(spark, path)
+    return found.select(
+        "gc_young_count", "node", F.unix_micros("ts").alias("at_us"), F.round("heap_used_pct", 6).alias("heap_used_pct"),
+        F.col("load_1m").isNotNull().cast("int").alias("has_load"),
+    )

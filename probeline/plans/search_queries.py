@@ -11,6 +11,7 @@ from probeline.operators import cells, search, tables
 from probeline.plans.registry import query, table
 from probeline.session import scratch_path
 from probeline.sources.binary import clustered
+from probeline.sources.trees import file_inventory as file_list
 
 K = 10
 COARSE = 1.0  # one step per unit: a three-level quantiser, so that recall differs visibly between factors
@@ -286,3 +287,15 @@ def synthetic_vectors(spark, sf):
     made = clustered(ids, 32, 8)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return made.groupBy("cell").agg(F.count(F.lit(1)).alias("vectors"), F.round(F.avg(norm), 4).alias("mean_norm"))
+
+
+@query("file_inventory", "SELECT 'parquet' AS type, CAST(3 AS BIGINT) AS shards, count(*) AS docs, true AS sized FROM embeddings")
+def file_inventory(spark, sf):
+    """The files of an ingested table, shard by shard, with the vectors they hold."""
+    name = _ingested(spark, table(spark, sf, "embeddings"))
+    below = lambda c: F.regexp_extract(c, r"(shard=.*)$", 1).alias("file")
+    listed = file_list(spark, tables.table_location(spark, name)).filter("type = 'parquet'").select(below("path"), "type", "bytes")
+    held = spark.table(name).groupBy("shard", below("_metadata.file_path")).agg(F.count(F.lit(1)).alias("docs"))
+    return listed.join(held, "file").groupBy("type").agg(
+        F.countDistinct("shard").alias("shards"), F.sum("docs").alias("docs"), F.min(F.col("bytes") > 0).alias("sized")
+    )
