@@ -342,6 +342,8 @@ def quality_curve(
     better = HIGHER_IS_BETTER[space_type]
     widest = max(ks) * max(factors)
     found = block_top(base, queries, [TopList(max(ks)), TopList(widest, scale)], space_type, exclude_self, block_bytes)
+    # Every query has equally many candidates, so one shuffle by query serves all steps below.
+    found = found.repartition("query_id")
     way = F.col("rank_score").desc() if better else F.col("rank_score").asc()
     per_list = Window.partitionBy("list", "query_id").orderBy(way, "vec_id")
     exact = F.col("list") == 0
@@ -352,8 +354,8 @@ def quality_curve(
         F.max(F.when(~exact, F.col("score"))).alias("score"),
     )
     grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("factor")) for k in ks for f in factors])
-    cut = pairs.filter(F.col("coarse_rank").isNotNull()).withColumn("_p", F.explode(grid)).select("*", "_p.*")
-    cut = cut.filter(F.col("coarse_rank") <= F.col("k") * F.col("factor"))
+    inside = F.filter(grid, lambda p: F.col("coarse_rank") <= p["k"] * p["factor"])
+    cut = pairs.filter(F.col("coarse_rank").isNotNull()).withColumn("_p", F.explode(inside)).select("*", "_p.*")
     by_score = F.col("score").desc() if better else F.col("score").asc()
     order = Window.partitionBy("k", "factor", "query_id").orderBy(by_score, "vec_id")
     scored = cut.withColumn("rank", F.row_number().over(order))
