@@ -111,8 +111,10 @@ def retry_shards(vectors: DataFrame, name: str, failing: DataFrame) -> DataFrame
     spark = vectors.sparkSession
     shards = int(table_properties(spark, name)["shards"])
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards).cast("bigint")).cast("int")
-    wanted = vectors.withColumn("shard", shard).join(failing.select("shard"), "shard", "left_semi")
-    return wanted.join(spark.table(name).select("vec_id"), "vec_id", "left_anti").drop("shard")
+    failing = failing.select("shard").distinct()
+    wanted = vectors.withColumn("shard", shard).join(failing, "shard", "left_semi")
+    held = spark.table(name).select("shard", "vec_id").join(failing, "shard", "left_semi")  # prunes whole shards
+    return wanted.join(held, ["shard", "vec_id"], "left_anti").drop("shard")
 
 
 def compact(spark: SparkSession, name: str, max_files: int = 1) -> str:

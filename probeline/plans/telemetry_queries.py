@@ -465,9 +465,18 @@ def read_cat(spark, sf):
     return found.select("event_id", "name", "active", F.col("more").startswith("{").alias("has_more"))
 
 
-@query("metrics_payload")
+@query(
+    "metrics_payload",
+    with_views("node_samples", body="""
+        WITH series AS (SELECT event_type, user_id, count(DISTINCT ts) AS n FROM node_samples GROUP BY ALL),
+        timeline AS (SELECT event_type, count(*) AS n FROM node_samples GROUP BY ALL)
+        SELECT event_type AS scenario, 'header' AS section, count(*) AS documents, CAST(0 AS BIGINT) AS last_part FROM timeline GROUP BY 1
+        UNION ALL SELECT event_type, 'nodes', count(DISTINCT node), 0 FROM node_samples GROUP BY 1
+        UNION ALL SELECT event_type, 'pods', CAST(sum((n + 49) // 50) AS BIGINT), max((n + 49) // 50) - 1 FROM series GROUP BY 1
+        UNION ALL SELECT event_type, 'gc_timeline', (n + 499) // 500, (n + 499) // 500 - 1 FROM timeline"""),
+)
 def metrics_payload(spark, sf):
-    """Documents per section with their size in samples."""
+    """The number of documents per section."""
     usage = views.usage_text(spark, sf)
     scenario = F.col("event_type").alias("scenario")
     header = telemetry.payload_header(usage.select(scenario, F.lit("bench").alias("namespace"), "ts"), ["scenario", "namespace"])
