@@ -47,7 +47,7 @@ def slice_bounds(df: DataFrame, order: str, slices: int, rows_per_slice: int = 0
         F.count(F.lit(1)).alias("n"), F.percentile_approx(_AT, shares, max(10_000, 10 * slices)).alias("q")
     ).first()
     cuts = found["q"] or []
-    if rows_per_slice:
+    if rows_per_slice and cuts:
         needed = min(slices, math.ceil(found["n"] / rows_per_slice))
         cuts = [cuts[i * slices // needed - 1] for i in range(1, needed)]
     return sorted(set(cuts))
