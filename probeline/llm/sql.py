@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probeline.llm import quality
+from probeline.llm import quality, secrets
 
 _BREAK = r"[\x20\x09-\x0D]+"
 
@@ -54,3 +54,38 @@ def _quality(risk: float = 0.005, doubt: float = 0.05) -> str:
 
 
 QUALITY = _quality()
+
+
+def _secrets() -> str:
+    rules = secrets.BASE + secrets.MORE
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
+    hits = []
+    for rank, r in enumerate(rules):
+        pattern = r.pattern.replace("'", "''")
+        hits.append(f"""
+        SELECT doc_id, {rank} AS rank, '{r.kind}' AS kind, unnest(range(1, len(hit) + 1)) AS i, unnest(gap[1:len(hit)]) AS gap,
+               unnest(hit) AS hit, unnest(part) AS part, {r.least} AS least
+        FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS gap, regexp_extract_all(t, '{pattern}') AS hit,
+                     regexp_extract_all(t, '{pattern}', {r.group}) AS part FROM texts)""")
+    return f"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    hits AS ({" UNION ALL ".join(hits)}),
+    placed AS (
+      SELECT doc_id, rank, kind, len(part) >= least AS long, len(hit) AS size,
+             sum(len(gap) + len(hit)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop FROM hits
+    ), spans AS (
+      SELECT doc_id, rank, kind, CAST(stop - size AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM placed WHERE long
+    ), joined AS (
+      SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind IN ({base})) AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+      FROM spans GROUP BY doc_id
+    )
+    SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+           CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM texts LEFT JOIN joined USING (doc_id)
+    """
+
+
+SECRETS = _secrets()
