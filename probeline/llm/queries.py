@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeline.llm import quality, secrets, sql, tokens
+from probeline.llm import quality, secrets, sql, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[count(kind) for kind in base], F.sha2(secrets.joined(kept), 256).alias("base_sha256"),
         secrets.joined(F.col("found")).alias("spans"),
     )
+
+
+@query("op3_urls", sql.URLS)
+def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))

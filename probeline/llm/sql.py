@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probeline.llm import quality, secrets
+from probeline.llm import quality, secrets, urls
 
 _BREAK = r"[\x20\x09-\x0D]+"
 
@@ -89,3 +89,62 @@ def _secrets() -> str:
 
 
 SECRETS = _secrets()
+
+
+def _urls() -> str:
+    fits = " UNION ALL ".join(
+        f"SELECT '{verdict}' AS verdict, '{rule}' AS rule, '{rule.partition('/')[0]}' AS name, '/{rule.partition('/')[2]}' AS start"
+        for verdict, rule in urls.RULES
+    )
+    link = urls.LINK.replace("'", "''")
+    rounds = "".join(
+        f"""
+    s{i + 1} AS MATERIALIZED (
+      SELECT kind, host, CAST(sum(score) AS BIGINT) AS score FROM (
+        SELECT l.kind, l.dst AS host, s.score * {urls.DAMPING} // 100 // l.degree AS score
+        FROM s{i} s JOIN links l ON s.kind = l.kind AND s.host = l.src
+        UNION ALL SELECT kind, host, score * {100 - urls.DAMPING} // 100 FROM s0) GROUP BY kind, host
+    ),"""
+        for i in range(urls.ROUNDS)
+    )
+    return f"""
+    WITH rest AS (
+      SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+    ), placed AS (
+      SELECT page_id, html, translate(regexp_extract(r, '^[^/?#]*'), '{urls.UPPER}', '{urls.LOWER}') AS host,
+             regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+    ), rules AS ({fits}
+    ), ruled AS (
+      SELECT page_id, html, host, path, (
+        SELECT arg_max(struct_pack(rule := rule, verdict := verdict), len(rule)) FROM rules
+        WHERE (p.host = name OR ends_with(p.host, '.' || name)) AND starts_with(p.path, start)) AS fit FROM placed p
+    ), linked AS (
+      SELECT host AS src, regexp_replace(translate(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)), '{urls.UPPER}', '{urls.LOWER}'),
+             '^[^@]*@', '') AS dst FROM placed
+    ), up AS (
+      SELECT host AS src, substr(host, strpos(host, '.') + 1) AS dst FROM (SELECT host FROM placed UNION SELECT dst FROM linked)
+      WHERE host LIKE '%.%.%'
+    ), edges AS (
+      SELECT * FROM (SELECT src, dst FROM linked UNION SELECT src, dst FROM up UNION SELECT dst, src FROM up)
+      WHERE src <> dst AND src <> '' AND dst <> ''
+    ), ways AS (
+      SELECT 'allow' AS kind, src, dst FROM edges UNION ALL SELECT 'block', dst, src FROM edges
+    ), links AS MATERIALIZED (
+      SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS degree FROM ways
+    ), seeds AS (
+      SELECT fit.verdict AS kind, host, count(*) AS weight FROM ruled WHERE fit IS NOT NULL GROUP BY ALL
+    ), s0 AS MATERIALIZED (
+      SELECT kind, host, CAST(CAST(weight AS HUGEINT) * {urls.MASS} // sum(weight) OVER (PARTITION BY kind) AS BIGINT) AS score FROM seeds
+    ),{rounds}
+    scores AS (
+      SELECT host, coalesce(sum(score) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'block'), 0) AS distrust
+      FROM s{urls.ROUNDS} GROUP BY host
+    )
+    SELECT page_id, host, path, fit.rule AS rule,
+           coalesce(fit.verdict, CASE WHEN distrust > 0 AND distrust >= trust THEN 'block' ELSE 'allow' END) AS verdict,
+           CAST(coalesce(trust, 0) AS BIGINT) AS trust, CAST(coalesce(distrust, 0) AS BIGINT) AS distrust
+    FROM ruled LEFT JOIN scores USING (host)
+    """
+
+
+URLS = _urls()
