@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeline.llm import quality, secrets, sql, tokens, urls
+from probeline.llm import near, quality, secrets, sql, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_urls", sql.URLS)
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op7_jaccard")
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(table(spark, sf_dir, "documents"))
