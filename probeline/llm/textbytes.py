@@ -33,6 +33,24 @@ def byte_values() -> np.ndarray:
     return found
 
 
+@functools.cache
+def exact_values() -> np.ndarray:
+    """A random number per byte, another for each."""
+    return np.random.default_rng(20240301).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sums(data: np.ndarray) -> np.ndarray:
+    """Running hash sums (``n + 1``) of which ``stretch`` makes the hashes of stretches of bytes."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(exact_values()[data] * powers(len(data))[: len(data)], out=total[1:])
+    return total
+
+
+def stretch(total: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the ``size`` bytes from each of ``start``; equal for equal bytes wherever they stand."""
+    return mix((total[start + size] - total[start]) * powers(len(total), True)[start])
+
+
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """At least ``n`` powers of the base (or of its inverse) modulo 2**64."""
     return _powers(max(16, int(n).bit_length()), inverse)
