@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeline.llm import near, quality, secrets, sql, suffixes, tokens, urls
+from probeline.llm import language, near, quality, secrets, sql, suffixes, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(id_col: str = "doc_id") -> Column:
+    """The fold that no model learns from."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
+
+
 @query("op2_bpe")
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = tokens.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -74,3 +79,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op6_language")
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = language.profiles(docs.filter(~held_out()))
+    return language.identify(docs, known).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
