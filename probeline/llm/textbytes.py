@@ -107,11 +107,19 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return start, end, np.searchsorted(start, at)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+@functools.cache
+def plain_values() -> np.ndarray:
+    """As ``byte_values``, but ASCII punctuation counts nothing, so ``word.`` hashes like ``word``."""
+    found = byte_values().copy()
+    found[[x for x in range(0x21, 0x7F) if not chr(x).isalnum()]] = 0
+    return found
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each word; white space counts nothing, so a sum up to the next word is the word's own."""
     if not len(start):
         return np.empty(0, np.uint64)
-    terms = byte_values()[data] * powers(len(data))[: len(data)]
+    terms = (byte_values() if values is None else values)[data] * powers(len(data))[: len(data)]
     return mix(np.add.reduceat(terms, start) * powers(len(data), True)[start])
 
 
