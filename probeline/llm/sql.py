@@ -148,3 +148,23 @@ def _urls() -> str:
 
 
 URLS = _urls()
+
+EMBEDDINGS = """
+    WITH RECURSIVE usable AS (
+      SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+      WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS MATERIALIZED (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+    ), reach AS (
+      SELECT vec_id AS a, vec_id AS b FROM embeddings
+      UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+    ), first AS (
+      SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+    ), counts AS (
+      SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+    )
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+    FROM first LEFT JOIN counts USING (vec_id)
+    """
