@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeline.llm import language, near, quality, secrets, sql, suffixes, tokens, toxicity, urls, vectors
+from probeline.llm import language, mixing, near, quality, secrets, sql, suffixes, tokens, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_embeddings", sql.EMBEDDINGS)
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
