@@ -210,8 +210,14 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with the found spans of its text replaced by ``mask``; overlapping spans are one. A null text stays null."""
+def redacted(
+    docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]",
+    size_col: str | None = None,
+) -> DataFrame:
+    """``docs`` with the found spans of its text replaced by ``mask``; overlapping spans are one. A null text stays null.
+
+    ``size_col``, if given, is set to the length of the new text.
+    """
     others = [c for c in docs.columns if c != id_col]
     found = scan(docs, rules, id_col, text_col, others)
     merged = F.aggregate(
@@ -228,5 +234,8 @@ def redacted(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, id_col: str =
     last = F.element_at("_m", -1)["end"]
     clean = F.when(F.size("_m") == 0, text).otherwise(
         F.concat(F.array_join(rest, ""), F.substring(text, last + 1, F.char_length(text))))
-    return found.withColumn("_m", merged).withColumn(text_col, clean).select(*docs.columns)
+    out = found.withColumn("_m", merged).withColumn(text_col, clean)
+    if size_col is not None:
+        out = out.withColumn(size_col, F.char_length(text_col).cast(docs.schema[size_col].dataType))
+    return out.select(*docs.columns)
 
