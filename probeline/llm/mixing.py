@@ -207,9 +207,9 @@ def mixed_documents(
         & F.col("d._source").eqNullSafe(F.col("r._s")) & (F.col("d._row") == F.col("r._row"))
     )
     out = named.alias("d").join(rounds.alias("r"), same).withColumn("_round", F.explode("_rounds"))
-    words = word_list(F.col(text_col).cast("string"))
+    words = word_list(F.col(f"d.{text_col}").cast("string"))
     some = F.array_join(F.flatten(F.transform("_round._parts", lambda x: F.slice(words, x["begin"].cast("int") + 1, (x["end"] - x["begin"]).cast("int")))), " ")
-    taken = F.when(F.col("_round._words") == F.col("size"), F.col(text_col)).otherwise(some)
+    taken = F.when(F.col("_round._words") == F.col("r.size"), F.col(f"d.{text_col}")).otherwise(some)
     columns = []
     for c in docs.columns:
         value = taken if c == text_col else F.char_length(taken).cast(docs.schema[c].dataType) if c == size_col else F.col(f"d.{c}")

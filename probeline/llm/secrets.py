@@ -183,8 +183,11 @@ def _ranked(rank: int, kind: str) -> Callable[[Column], Column]:
     return lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))
 
 
-def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """One row per input row: the id, the columns ``keep`` and ``found``, an array of structs ``start, rank, end, kind``
+def scan(
+    docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (),
+    out: str = "found",
+) -> DataFrame:
+    """One row per input row: the id, the columns ``keep`` and ``out``, an array of structs ``start, rank, end, kind``
     ordered by start and then by the order of the rules. A null or empty text has none.
 
     Repeated ids share the candidates of all their rows and are verified each by itself. A null id works like others.
@@ -202,7 +205,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, id_col: str = "do
         if rule in searched:
             here = F.when(F.array_contains("_rules", rule.kind), here).otherwise(none)
         every.append(F.transform(here, _ranked(rank, rule.kind)))
-    return base.select(id_col, *keep, F.array_sort(F.concat(*every)).alias("found"))
+    return base.select(id_col, *keep, F.array_sort(F.concat(*every)).alias(out))
 
 
 def joined(found: Column) -> Column:
@@ -219,9 +222,9 @@ def redacted(
     ``size_col``, if given, is set to the length of the new text.
     """
     others = [c for c in docs.columns if c != id_col]
-    found = scan(docs, rules, id_col, text_col, others)
+    found = scan(docs, rules, id_col, text_col, others, "_found")
     merged = F.aggregate(
-        "found", F.array().cast("array<struct<start:int,end:int>>"),
+        "_found", F.array().cast("array<struct<start:int,end:int>>"),
         lambda done, x: F.when(
             (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]),
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
