@@ -82,7 +82,16 @@ def test_linked_sets_share_a_signature(data):
     if 100 * len(a & b) >= percent * len(a | b):
         starts = near.levels(percent)
         one, two = (near.prefix(np.sort(pool[sorted(x)]), names, counts, percent, starts) for x in (a, b))
-        assert set(one.tolist()) & set(two.tolist())
+        assert {x for found in one for x in found.tolist()} & {x for found in two for x in found.tolist()}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 3000), min_size=1, max_size=400), st.sets(st.integers(0, 3000), min_size=1, max_size=400))
+def test_sketches_never_overstate_the_difference(a, b):
+    one, two = (tb.mix(np.array(sorted(x), np.uint64)) for x in (a, b))
+    x, y = near.sketch(one), near.sketch(two)
+    x, y = (near.folded(np.frombuffer(z, np.uint8)[None], min(len(x), len(y))) for z in (x, y))
+    assert np.bitwise_count(x ^ y).sum() <= len(a ^ b)
 
 
 def test_levels_keep_partners_close():
@@ -92,11 +101,12 @@ def test_levels_keep_partners_close():
         assert all(level(n * 100 // percent) - level(n) <= 1 for n in range(1, 2000))
 
 
-@pytest.mark.parametrize("rare", [1, 16])
-def test_groups_are_those_of_all_pairs(spark, monkeypatch, rare):
+@pytest.mark.parametrize(("rare", "block"), [(1, 512), (16, 512), (16, 3), (1, 2)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, rare, block):
     texts = [*texts_with_copies(), (900, None), (901, ""), (902, " \n "), (903, "same words"), (904, "SAME  words")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, cls string").repartition(5)
     monkeypatch.setattr(near.frequent, "__defaults__", (rare, near.HEAVY))
+    monkeypatch.setattr(near.crossing, "__defaults__", (block,))
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.groups(docs).collect()}
     assert found == brute(texts)
     assert len(set(found.values())) < len(texts)
