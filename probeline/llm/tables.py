@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probeline.session import parallelism as partitions
 from probeline.session import scratch_path, shared_dir
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -12,14 +13,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, which goes when the session's JVM ends."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    """``df`` as a Parquet table in the shared folder."""
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,5 +35,4 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["LOWER", "UPPER", "WORD_BREAK", "cut", "partitions", "text_of", "word_list", "written"]
