@@ -118,8 +118,12 @@ def mem_kib(c: Column | str) -> Column:
 
 
 def run_ts(c: Column | str) -> Column:
-    """The first 15 characters of a run id as a UTC time, null when they are not one."""
-    return F.try_to_timestamp(F.substring(_column(c), 1, 15), F.lit("yyyyMMdd-HHmmss"))
+    """The first 15 characters of a run id as a UTC time in any session, null when they are not one."""
+    text = F.substring(_column(c), 1, 15)
+    part = lambda start, size: F.substring(text, start, size).try_cast("int")
+    fields = [part(1, 4), part(5, 2), part(7, 2), part(10, 2), part(12, 2), part(14, 2).cast("decimal(8,6)")]
+    whole = text.rlike(r"^[0-9]{8}-[0-9]{4}[0-5][0-9]$")
+    return F.when(whole, F.try_make_timestamp(*fields, F.lit("UTC")))
 
 
 def is_ready(c: Column | str) -> Column:

@@ -94,7 +94,7 @@ def expand_sweeps(steps: DataFrame) -> DataFrame:
 
     Needs ``step_ord, params, suite_params, suite_sweeps, step_sweeps``. An absent suite list is one pass, an empty
     one no steps at all; an absent or empty step list is one pass. Strength: suite < suite sweep < step < step sweep.
-    ``ord`` orders the result within a suite.
+    ``ord`` orders the result within a suite: the three positions as one number of twelve digits each.
     """
     empty = F.create_map().cast("map<string,string>")
     one_pass = F.array(empty)
@@ -102,11 +102,8 @@ def expand_sweeps(steps: DataFrame) -> DataFrame:
     per_step = F.when(F.size(F.coalesce("step_sweeps", one_pass)) > 0, F.coalesce("step_sweeps", one_pass)).otherwise(one_pass)
     out = out.select("*", F.posexplode(per_step).alias("step_sweep", "_ssp"))
     merged = merge_maps(merge_maps(merge_maps(F.col("suite_params"), F.col("_sp")), F.col("params")), F.col("_ssp"))
-    place = (
-        F.shiftleft(F.col("suite_sweep").cast("bigint"), 40)
-        + F.shiftleft(F.col("step_ord").cast("bigint"), 20)
-        + F.col("step_sweep").cast("bigint")
-    )
+    wide = lambda c, shift: F.col(c).cast("decimal(12,0)").cast("decimal(38,0)") * F.lit("1" + "0" * shift).cast("decimal(38,0)")
+    place = (wide("suite_sweep", 24) + wide("step_ord", 12) + wide("step_sweep", 0)).cast("decimal(38,0)")
     return out.withColumn("params", merged).withColumn("ord", place).drop(
         "_sp", "_ssp", "suite_params", "suite_sweeps", "step_sweeps"
     )

@@ -17,7 +17,7 @@ RECENT = 50
 HEALTH_WINDOW = 1000
 RETENTION_DAYS = 21
 CANCELLED_TEXT = "Job cancelled by user"
-ORPHANED_TEXT = "Job orphaned by restart"
+ORPHANED_TEXT = "Job orphaned by pod restart — cancelled on startup recovery"
 STEPS_KEY = "_batch_scenarios"
 META_KEY = "_batch_metadata"
 META = """

@@ -18,8 +18,7 @@ def results_summary(sweeps: DataFrame, run: str = "run_id", order: str = "ord")
     labels = sweeps.groupBy(run, "label").agg(
         F.min_by("dataset", order).alias("dataset"), F.count(F.lit(1)).alias("sweep_count")
     )
-    totals = sweeps.groupBy(run).agg(F.count(F.lit(1)).alias("total_sweeps"))
-    return labels.join(totals, run)
+    return labels.withColumn("total_sweeps", F.sum("sweep_count").over(Window.partitionBy(run)))
 
 
 def compare_engines(

@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeline.functions.vectors import HIGHER_IS_BETTER, check_space
-from probeline.session import parallelism
 
 BLOCK_BYTES = 64 << 20
 _TILE = 4 << 20  # score cells held at once per task
@@ -148,9 +147,23 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
 
 
 def _shape(df: DataFrame) -> tuple[int, int]:
-    """Row count and dimension of a vector table."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    return row["n"], row["d"] or 0
+    """Row count and dimension of a vector table: the length most vectors have, the shorter of equally common ones."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.mode(F.size("embedding"), True).alias("d")).first()
+    return row["n"], max(row["d"] or 0, 0)
+
+
+def rejected_vectors(df: DataFrame, dimension: int | None = None) -> DataFrame:
+    """Rows of a vector table that a search leaves out, with ``reason``: ``null``, ``length`` or ``component``.
+
+    ``dimension`` is the length to have, by default the one most vectors of the table have.
+    """
+    if dimension is None:
+        dimension = _shape(df)[1]
+    reason = (
+        F.when(F.col("embedding").isNull(), "null").when(F.size("embedding") != dimension, "length")
+        .when(F.exists("embedding", lambda x: x.isNull()), "component")
+    )
+    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
 
 def _usable(df: DataFrame, dimension: int) -> DataFrame:
@@ -160,17 +173,20 @@ def _usable(df: DataFrame, dimension: int) -> DataFrame:
 
 def block_top(
     base: DataFrame, queries: DataFrame, lists: Sequence[TopList], space_type: str,
-    exclude_self: bool = False, block_bytes: int = BLOCK_BYTES, cells: bool = False,
+    exclude_self: bool = False, block_bytes: int = BLOCK_BYTES, cells: bool = False, dimension: int | None = None,
 ) -> DataFrame:
     """Per task and query the best vectors: ``(list, query_id, vec_id, rank_score, score)``.
 
     ``lists`` are kept side by side in one pass over the corpus. With a quantise value a list ranks by the scores of
     vectors rounded to ``1/quantise`` steps, and ``score`` is the exact score. With ``cells`` the corpus has a ``cell``
     and the queries a ``probes`` array, nearest first, and a vector only meets the queries that have its cell among
-    the first ``nprobe`` (or all) of their probes.
+    the first ``nprobe`` (or all) of their probes. Vectors of another length than ``dimension`` (by default the one most
+    queries have) are left out; ``rejected_vectors`` tells which.
     """
     check_space(space_type)
     n_queries, d = _shape(queries)
+    if dimension is not None:
+        d = dimension
     query_cols = ["query_id", "embedding"] + (["probes"] if cells else [])
     base_cols = ["vec_id", "embedding"] + (["cell"] if cells else [])
     queries, base = _usable(queries, d).select(*query_cols), _usable(base, d).select(*base_cols)
@@ -184,12 +200,6 @@ def block_top(
     return _grid_top(base, queries, d, query_bytes, tops, block_bytes, cells)
 
 
-def _long_tasks(df: DataFrame) -> DataFrame:
-    """At most a few tasks per core. Every task puts out one list per query, so fewer and longer tasks shuffle less."""
-    spark = df.sparkSession
-    return df.coalesce(max(4 * spark.sparkContext.defaultParallelism, parallelism(spark)))
-
-
 def _broadcast_top(base, queries, d, make_tops, cells) -> DataFrame:
     table = queries.toArrow()  # at most block_bytes, checked by the caller
     ids = np.asarray(table["query_id"], dtype=np.int64)
@@ -200,7 +210,9 @@ def _broadcast_top(base, queries, d, make_tops, cells) -> DataFrame:
         flat = np.array([c for probes in lists for c in probes], dtype=np.int64)
         owner = np.repeat(np.arange(len(lists)), [len(p) for p in lists])
         place = np.array([i for probes in lists for i in range(len(probes))], dtype=np.int64)
-        probed = {int(c): (owner[flat == c], place[flat == c]) for c in np.unique(flat)}
+        order = np.argsort(flat, kind="stable")
+        found, first = np.unique(flat[order], return_index=True)
+        probed = {int(c): (owner[some], place[some]) for c, some in zip(found, np.split(order, first[1:]), strict=True)}
         base = base.filter(F.col("cell").isin([int(c) for c in probed]))
     shared = base.sparkSession.sparkContext.broadcast((ids, matrix, probed))
 
@@ -224,7 +236,7 @@ def _broadcast_top(base, queries, d, make_tops, cells) -> DataFrame:
         for number, top in enumerate(tops):
             yield from top.batches(number)
 
-    return _long_tasks(base).mapInArrow(search, _FOUND)
+    return base.mapInArrow(search, _FOUND)
 
 
 def _grid_top(base, queries, d, query_bytes, make_tops, block_bytes, cells) -> DataFrame:
@@ -317,12 +329,20 @@ def recall_at_k(found: DataFrame, truth: DataFrame, k: int, by: Sequence[str] =
     """Per query, the share of the first k true neighbours that were found.
 
     A truth table with more neighbours than k is sliced to the first k. ``by`` names further columns of ``found``
-    (run, knob value) to score separately; a query that a run did not answer at all is absent from that run.
+    (run, knob value) to score separately. A query of the truth that was not answered scores 0, in each of the runs;
+    the runs are those that answered anything, and the driver holds one row for each.
     """
+    asked = truth.select("query_id").distinct()
+    if by:
+        runs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(by, r, strict=True)]) for r in found.select(*by).distinct().collect()]
+        asked = asked.select("query_id", F.explode(F.array(*runs)).alias("_run")).select("query_id", "_run.*") if runs else asked.limit(0)
     wanted = truth.filter(F.col("rank") <= k).select("query_id", "vec_id", F.lit(1).alias("_true"))
     returned = found.filter(F.col("rank") <= k).select(*by, "query_id", "vec_id")
     hits = returned.join(wanted, ["query_id", "vec_id"], "left")
-    return hits.groupBy(*by, "query_id").agg((F.count("_true") / F.lit(float(k))).alias("recall"))
+    scored = hits.groupBy(*by, "query_id").agg((F.count("_true") / F.lit(float(k))).alias("recall"))
+    if by and not runs:
+        return scored
+    return asked.join(scored, [*by, "query_id"], "left").select(*by, "query_id", F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
 def mean_recall(recall: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -108,18 +108,23 @@ def _first_stall(polls, keys, order, value, limit_s, mode, slices) -> DataFrame:
 
 def stalled(
     polls: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, limit_s: float | None = None,
-    mode: str = "rise", slices: int | None = None,
+    mode: str = "rise", slices: int | None = None, goal: Column | None = None,
 ) -> DataFrame:
     """The poll at which a key has made no progress for ``limit_s``; ``order[0]`` is the poll time.
 
     ``rise``: progress is a new maximum. ``fall``: progress is a value below the previous poll; the first stall is
     answered by one retry that starts clock and comparison anew, and ``gave_up`` tells whether it stalled again.
-    Keys that never stall are absent.
+    Keys that never stall are absent. ``goal`` is true of a poll that meets the goal: watching ends there, so that
+    poll and later ones do not count.
     """
     if mode not in ("rise", "fall"):
         raise ValueError("mode is rise or fall")
     limit_s = limit_s if limit_s is not None else (RISE_LIMIT_S if mode == "rise" else FALL_LIMIT_S)
     flat = lambda d: d.select(*keys, *[F.col("_s")[c].alias(c) for c in (*order, "value")])
+    if goal is not None:
+        met = F.when(F.coalesce(goal, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
+        line = Timeline(polls, keys, order, slices).running({"_met": ("max", met)})
+        polls = line.result().filter("_met = 0").drop("_met")
     first = _first_stall(polls, keys, order, value, limit_s, mode, slices)
     if mode == "rise":
         return flat(first).withColumn("gave_up", F.lit(True))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probeline.functions.units import cpu_cores, cpu_millicores, mem_kib, mem_mib
-from probeline.operators.timeline import Timeline, chunked_lists
+from probeline.operators.timeline import ROWS_PER_SLICE, Timeline, chunked_lists
 
 # The field names of the node statistics document.
 NODE_STATS = """
@@ -207,20 +207,27 @@ def pods_per_namespace(pods: DataFrame) -> DataFrame:
 
 def samples_in_sweeps(
     samples: DataFrame, sweeps: DataFrame, keys: Sequence[str] = (), warmup_s: float = 0.0, bucket_s: int = 3600,
-    spread: int = 8, ts: str = "ts", start: str = "started_at", end: str = "completed_at",
+    spread: int | None = None, ts: str = "ts", start: str = "started_at", end: str = "completed_at",
 ) -> DataFrame:
-    """Samples with ``start + warm-up ≤ ts ≤ end``, both ends included.
+    """Samples with ``start + warm-up ≤ ts ≤ end``, both ends included. A sweep without an end is still running.
 
-    Both sides meet on a time bucket, so this is an equi join, and a bucket is spread over ``spread`` parts, so a
-    burst of samples does not land in one task. The sweep side is repeated per bucket it covers and per part.
+    Both sides meet on a time bucket, so this is an equi join, and a bucket is spread over parts, so a burst of samples
+    does not land in one task: as many parts (``spread``) as the fullest bucket has ``ROWS_PER_SLICE`` rows. The sweep
+    side is repeated per bucket it covers and per part.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     width = bucket_s * 1_000_000
     left = samples.withColumn("_at", micros(ts))
-    left = left.withColumn("_bucket", F.floor(F.col("_at") / F.lit(width)).cast("bigint")).withColumn(
+    left = left.withColumn("_bucket", F.floor(F.col("_at") / F.lit(width)).cast("bigint"))
+    full = left.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n"), F.max("_at").alias("at"))
+    seen = full.agg(F.max("n").alias("n"), F.max("at").alias("at")).first()
+    spread = spread or max(1, -(-(seen["n"] or 0) // ROWS_PER_SLICE))
+    left = left.withColumn(
         "_part", F.pmod(F.xxhash64(*samples.columns), F.lit(spread).cast("bigint"))
     )
-    right = sweeps.withColumn("_from", micros(start) + int(warmup_s * 1_000_000)).withColumn("_to", micros(end))
+    right = sweeps.withColumn("_from", micros(start) + int(warmup_s * 1_000_000)).withColumn(
+        "_to", F.least(F.coalesce(micros(end), F.lit(seen["at"])), F.lit(seen["at"]))  # no sample is later
+    )
     right = right.filter(F.col("_from") <= F.col("_to"))
     right = right.withColumn(
         "_bucket",

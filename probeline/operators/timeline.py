@@ -1,11 +1,13 @@
 """Ordered computations inside a key, without putting a whole key into one task.
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sorts a key in a single task, so a key that owns a third of the rows
-sets the run time of the job. A timeline cuts the order column at quantiles of *all* rows. A ``(key, slice)`` group
-then holds at most about ``1/slices`` of the table, however the keys or the bursts are spread. Window functions run
-inside the slices; what crosses a slice border (the last row, a running total) is one small row per ``(key, slice)``
-that is joined back. The large side is shuffled once, by ``(key, slice)``. That shuffle is asked for explicitly:
-rows that arrive partitioned by the key alone would satisfy the window as they are, hot key included.
+sets the run time of the job. A timeline counts the rows per key first. Keys of more than ``ROWS_PER_SLICE`` rows are
+hot: the order column is cut at quantiles of their rows, into as many slices as those rows need, so that a ``(key,
+slice)`` group holds at most about ``ROWS_PER_SLICE`` rows; all other keys are one slice. Window functions run inside
+the slices; what crosses a slice border (the last row, a running total) is one small row per slice of a hot key that is
+joined back. The large side is shuffled once, by ``(key, slice)``. That shuffle is asked for explicitly: rows that
+arrive partitioned by the key alone would satisfy the window as they are, hot key included. Without hot keys all this
+is a plain window.
 """
 
 from __future__ import annotations
@@ -13,17 +15,16 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from probeline.session import parallelism
-
 SLICE = "_slice"
-MAX_SLICES = 10_000
 ROWS_PER_SLICE = 1_000_000
 _AT = "_slice_at"
+_HOT = "_hot_key"
 
 
 def _sort_number(df: DataFrame, name: str) -> Column:
@@ -34,32 +35,27 @@ def _sort_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def slice_bounds(df: DataFrame, order: str, slices: int, rows_per_slice: int = 0) -> list[float]:
-    """Quantiles of ``order``: one column-pruned aggregate that returns at most ``slices - 1`` numbers.
-
-    With ``rows_per_slice`` the counted rows decide how many of the slices are needed.
-    """
-    slices = min(slices, MAX_SLICES)
+def slice_bounds(df: DataFrame, order: str, slices: int) -> list[float]:
+    """Quantiles of ``order``: one column-pruned aggregate that returns at most ``slices - 1`` numbers."""
     if slices <= 1:
         return []
     shares = [i / slices for i in range(1, slices)]
-    found = df.select(_sort_number(df, order).alias(_AT)).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(_AT, shares, max(10_000, 10 * slices)).alias("q")
-    ).first()
-    cuts = found["q"] or []
-    if rows_per_slice and cuts:
-        needed = min(slices, math.ceil(found["n"] / rows_per_slice))
-        cuts = [cuts[i * slices // needed - 1] for i in range(1, needed)]
-    return sorted(set(cuts))
+    accuracy = min(2**31 - 1, max(10_000, 10 * slices))
+    found = df.select(_sort_number(df, order).alias(_AT)).agg(F.percentile_approx(_AT, shares, accuracy).alias("q")).first()
+    return sorted(set(found["q"] or []))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], rows: int) -> pa.Table:
+    """Keys of more than ``rows`` rows with their counts ``n``; there are fewer of them than ``count / rows``."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows).toArrow()
 
 
 class Timeline:
     """Rows of ``df`` ordered by ``order`` within ``keys``.
 
-    ``order[0]`` must be a number or a timestamp of many values; the remaining columns break ties. By default there
-    are as many slices as a slice of ``ROWS_PER_SLICE`` rows asks for, up to the shuffle partition count, and a table
-    below that size is one slice, which is a plain window. ``slices`` sets the number, ``bounds`` the cut points. A
-    null key is an error.
+    ``order[0]`` must be a number or a timestamp of many values; the remaining columns break ties. By default only hot
+    keys are cut, into as many slices as their rows need. ``slices`` sets the number for all keys, ``bounds`` the cut
+    points. A null key is an error.
     """
 
     def __init__(
@@ -71,10 +67,16 @@ class Timeline:
         bounds: Sequence[float] | None = None,
     ):
         self.keys, self.order = list(keys), list(order)
+        hot = None
         if bounds is None and slices is not None:
             bounds = slice_bounds(df, self.order[0], slices)
         elif bounds is None:
-            bounds = slice_bounds(df, self.order[0], parallelism(df.sparkSession), ROWS_PER_SLICE)
+            found = hot_keys(df, self.keys, ROWS_PER_SLICE)
+            bounds = []
+            if found.num_rows:
+                hot = df.sparkSession.createDataFrame(found.select(self.keys)).withColumn(_HOT, F.lit(True))
+                needed = math.ceil(sum(found.column("n").to_pylist()) / ROWS_PER_SLICE)
+                bounds = slice_bounds(df.join(F.broadcast(hot.drop(_HOT)), self.keys, "left_semi"), self.order[0], needed)
         self.cut, self.placed = bool(bounds), False
         present = {
             k: F.when(F.col(k).isNull(), F.raise_error(F.lit(f"timeline key {k} is null"))).otherwise(F.col(k))
@@ -87,7 +89,11 @@ class Timeline:
             splits=[float("-inf"), *bounds, float("inf")], inputCol=_AT, outputCol=SLICE, handleInvalid="keep"
         )
         df = cuts.transform(df.withColumn(_AT, _sort_number(df, self.order[0]))).drop(_AT)
-        self.df = df.withColumns({SLICE: F.coalesce(F.col(SLICE).cast("int"), F.lit(-1)), **present})
+        place = F.coalesce(F.col(SLICE).cast("int"), F.lit(-1))
+        if hot is not None:
+            df = df.join(F.broadcast(hot), self.keys, "left")
+            place = F.when(F.col(_HOT), place).otherwise(F.lit(0))
+        self.df = df.withColumns({SLICE: place, **present}).drop(_HOT)
 
     def _with(self, df: DataFrame) -> Timeline:
         out = object.__new__(Timeline)

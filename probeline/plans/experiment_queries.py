@@ -157,13 +157,16 @@ _EXPANDED_SQL = """
     with_views("steps", body=f"""
         WITH {_EXPANDED_SQL}
         SELECT suite_id, step_id, CAST(suite_sweep AS BIGINT) AS suite_sweep, CAST(step_sweep AS BIGINT) AS step_sweep,
+               row_number() OVER (PARTITION BY suite_id ORDER BY suite_sweep, step_id, step_sweep) AS position,
                CAST(coalesce(bulk, 500) AS VARCHAR) AS bulk, k AS query_k, CAST(m AS VARCHAR) AS m FROM expanded"""),
 )
 def expand_sweeps(spark, sf):
     """An empty suite list runs nothing, an empty step list one pass."""
+    from probeline.operators.timeline import numbered
+
     p = F.col("params")
-    return ex.expand_sweeps(_suite_steps(spark, sf)).select(
-        "suite_id", "step_id", F.col("suite_sweep").cast("bigint").alias("suite_sweep"),
+    return numbered(ex.expand_sweeps(_suite_steps(spark, sf)), ["suite_id"], ["ord"], "position").select(
+        "suite_id", "step_id", "position", F.col("suite_sweep").cast("bigint").alias("suite_sweep"),
         F.col("step_sweep").cast("bigint").alias("step_sweep"),
         p["bulk"].alias("bulk"), p["query_k"].alias("query_k"), p["m"].alias("m"),
     )

@@ -47,13 +47,13 @@ def next_queued(spark, sf):
     with_views("jobs", body="""
         WITH live AS (SELECT engine, max(queue_position) AS last FROM jobs WHERE status IN ('queued', 'running') GROUP BY engine),
         fresh AS (SELECT job_id, engine, row_number() OVER (PARTITION BY engine ORDER BY created_at, job_id) AS n
-                  FROM jobs WHERE status = 'completed')
+                  FROM jobs WHERE status NOT IN ('queued', 'running'))
         SELECT job_id, fresh.engine, coalesce(last, 0) + n AS queue_position FROM fresh LEFT JOIN live ON live.engine = fresh.engine"""),
 )
 def assign_queue_position(spark, sf):
-    """Completed jobs submitted again."""
+    """All ended jobs submitted again."""
     jobs = views.jobs(spark, sf)
-    placed = ledger.assign_queue_position(jobs, jobs.filter("status = 'completed'"))
+    placed = ledger.assign_queue_position(jobs, jobs.filter("status NOT IN ('queued', 'running')"))
     return placed.select("job_id", "engine", "queue_position")
 
 
@@ -172,15 +172,14 @@ def progress(spark, sf):
 
 @query(
     "dataset_text",
-    """WITH d AS (SELECT DISTINCT o_custkey AS run_id, 'ds-' || (o_orderkey % 4) AS dataset FROM orders WHERE o_orderstatus = 'P')
+    """WITH d AS (SELECT DISTINCT o_custkey AS run_id, 'ds-' || (o_orderkey * 7 % (1 + o_custkey % 9)) AS dataset FROM orders)
        SELECT run_id, CASE WHEN count(*) <= 3 THEN string_agg(dataset, ', ' ORDER BY dataset) ELSE count(*) || ' datasets' END AS datasets
        FROM d GROUP BY run_id""",
 )
 def dataset_text(spark, sf):
     """A10."""
-    steps = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(
-        F.col("o_custkey").alias("run_id"), F.concat(F.lit("ds-"), F.col("o_orderkey") % 4).alias("dataset")
-    )
+    number = F.col("o_orderkey") * 7 % (1 + F.col("o_custkey") % 9)
+    steps = table(spark, sf, "orders").select(F.col("o_custkey").alias("run_id"), F.concat(F.lit("ds-"), number).alias("dataset"))
     return ledger.dataset_text(steps)
 
 
@@ -293,7 +292,7 @@ def cancel_steps(spark, sf):
     with_views("jobs", body="""
         SELECT job_id, CASE WHEN status = 'running' THEN 'cancelled' ELSE status END AS status,
                coalesce(epoch_us(CASE WHEN status = 'running' THEN last_heartbeat_at ELSE completed_at END), -1) AS completed_us,
-               CASE WHEN status = 'running' THEN 'Job orphaned by restart' END AS error FROM jobs"""),
+               CASE WHEN status = 'running' THEN 'Job orphaned by pod restart — cancelled on startup recovery' END AS error FROM jobs"""),
 )
 def recover_orphans(spark, sf):
     """M9."""

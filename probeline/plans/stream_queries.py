@@ -19,7 +19,10 @@ def _replay(spark, rows, run, parts: int = 3, fmt: str = "parquet"):
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     cuts = [float("-inf"), *slice_bounds(rows, "ts", parts), float("inf")]
     for low, high in zip(cuts, cuts[1:]):
-        rows.filter((at >= low) & (at < high)).write.mode("append").format(fmt).save(source)
+        here = (at >= low) & (at < high)
+        if low == cuts[0]:
+            here = here | at.isNull()  # rows without a time come first
+        rows.filter(here).write.mode("append").format(fmt).save(source)
         stream = spark.readStream.schema(rows.schema).format(fmt).load(source)
         run(stream, checkpoint).awaitTermination()
 
@@ -144,7 +147,7 @@ def stream_newly_terminal(spark, sf):
     rows = table(spark, sf, "events").select("ts", F.col("user_id").alias("run_id"), kind.alias("step"), status.alias("status"))
 
     def run(stream, checkpoint):
-        ended = streams.stream_newly_terminal(stream, delay="60 days")
+        ended = streams.stream_newly_terminal(stream)
         return streams.start(ended.writeStream.format("parquet").option("path", sink).outputMode("append"), checkpoint)
 
     _replay(spark, rows, run)

@@ -168,22 +168,20 @@ def gauge_delta(spark, sf):
 @query(
     "diff_snapshots",
     with_views("node_counters", body="""
-        WITH before AS (SELECT user_id, max_by(gc_young_ms, event_id) AS b FROM node_counters
-                        WHERE event_type = 'error' GROUP BY user_id),
+        WITH before AS (SELECT user_id, min_by(gc_young_ms, event_id) AS b FROM node_counters WHERE user_id % 5 <> 0 GROUP BY user_id),
         after AS (SELECT user_id, max_by(gc_young_ms, event_id) AS a, max_by(round(value, 1), event_id) AS heap
-                  FROM node_counters WHERE event_type = 'view' GROUP BY user_id)
+                  FROM node_counters GROUP BY user_id)
         SELECT after.user_id, 'node-' || after.user_id AS node, coalesce(a - b, a) AS gc_young_ms_delta, heap AS heap_used_pct
         FROM after LEFT JOIN before ON before.user_id = after.user_id"""),
 )
 def diff_snapshots(spark, sf):
-    """The last error sample of a user is the before, the last view sample the after."""
+    """A user's first sample is the before, the last one the after; a fifth of the users has no before."""
     counters = views.node_counters(spark, sf)
-    last = lambda kind: counters.filter(F.col("event_type") == kind).groupBy("user_id").agg(
-        F.max_by("gc_young_ms", "event_id").alias("gc_young_ms"),
-        F.max_by(F.round("value", 1), "event_id").alias("heap_used_pct"),
+    sample = lambda pick: counters.groupBy("user_id").agg(
+        pick("gc_young_ms", "event_id").alias("gc_young_ms"), pick(F.round("value", 1), "event_id").alias("heap_used_pct"),
     )
-    after = last("view").withColumn("node", F.concat(F.lit("node-"), "user_id"))
-    return telemetry.diff_snapshots(last("error"), after, ["user_id"], ["gc_young_ms"], ["heap_used_pct"], "node")
+    after = sample(F.max_by).withColumn("node", F.concat(F.lit("node-"), "user_id"))
+    return telemetry.diff_snapshots(sample(F.min_by).filter("user_id % 5 <> 0"), after, ["user_id"], ["gc_young_ms"], ["heap_used_pct"], "node")
 
 
 @query(
@@ -244,20 +242,21 @@ def pods_per_namespace(spark, sf):
     with_views("node_samples", body="""
         WITH sweeps AS (SELECT o_orderkey AS run_id, 'node-' || (o_custkey % 3) AS node,
                                TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 37 % 43200 AS INTEGER)) AS started_at,
-                               TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 37 % 43200 + o_custkey % 90 AS INTEGER)) AS completed_at
+                               CASE WHEN o_orderkey % 1000 <> 7 THEN
+                               TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 37 % 43200 + o_custkey % 90 AS INTEGER)) END AS completed_at
                         FROM orders)
         SELECT run_id, event_id, value FROM sweeps w JOIN node_samples s
-          ON s.node = w.node AND s.ts >= w.started_at + INTERVAL 60 SECOND AND s.ts <= w.completed_at"""),
+          ON s.node = w.node AND s.ts >= w.started_at + INTERVAL 60 SECOND AND s.ts <= coalesce(w.completed_at, s.ts)"""),
 )
 def samples_in_sweeps(spark, sf):
-    """J17 with a minute of warm-up."""
+    """J17 with a minute of warm-up; some sweeps have not ended yet."""
     o = table(spark, sf, "orders")
     begin = F.lit(1704067200)  # 2024-01-01 00:00 UTC
     minute = F.col("o_orderkey") * 37 % 43200
     sweeps = o.select(
         F.col("o_orderkey").alias("run_id"), F.concat(F.lit("node-"), F.col("o_custkey") % 3).alias("node"),
         F.timestamp_seconds(begin + minute * 60).alias("started_at"),
-        F.timestamp_seconds(begin + (minute + F.col("o_custkey") % 90) * 60).alias("completed_at"),
+        F.when(F.col("o_orderkey") % 1000 != 7, F.timestamp_seconds(begin + (minute + F.col("o_custkey") % 90) * 60)).alias("completed_at"),
     )
     samples = views.node_samples(spark, sf).select("event_id", "ts", "node", "value")
     return telemetry.samples_in_sweeps(samples, sweeps, ["node"], warmup_s=60).select("run_id", "event_id", "value")
@@ -380,7 +379,9 @@ def first_stable(spark, sf):
 @query(
     "stalled_rise",
     with_views("count_polls", body="""
-        WITH known AS (SELECT event_id, ts, node, coalesce(count, 0) AS count FROM count_polls),
+        WITH every AS (SELECT event_id, ts, node, coalesce(count, 0) AS count FROM count_polls),
+        goals AS (SELECT *, max(CASE WHEN count >= 98 THEN 1 ELSE 0 END) OVER (PARTITION BY node ORDER BY ts, event_id) AS met FROM every),
+        known AS (SELECT event_id, ts, node, count FROM goals WHERE met = 0),
         marked AS (SELECT *, CASE WHEN count > greatest(coalesce(max(count) OVER (PARTITION BY node ORDER BY ts, event_id
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) THEN ts END AS moved FROM known),
         waits AS (SELECT *, coalesce(max(moved) OVER w, min(ts) OVER w) AS since FROM marked
@@ -389,9 +390,10 @@ def first_stable(spark, sf):
         SELECT node, arg_min(event_id, (ts, event_id)) AS event_id, arg_min(count, (ts, event_id)) AS value FROM hits GROUP BY node"""),
 )
 def stalled_rise(spark, sf):
-    """No new maximum for ten hours."""
+    """No new maximum for ten hours; a key that has met its goal is no longer watched."""
     polls = views.count_polls(spark, sf).withColumn("count", F.coalesce("count", F.lit(0).cast("bigint")))
-    return streaks.stalled(polls, ["node"], ["ts", "event_id"], "count", 36000).select("node", "event_id", "value")
+    found = streaks.stalled(polls, ["node"], ["ts", "event_id"], "count", 36000, goal=F.col("count") >= 98)
+    return found.select("node", "event_id", "value")
 
 
 def _fall_sql(source: str, out: str) -> str:

@@ -42,8 +42,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's own folder in the shared one, which goes when the session's JVM ends."""
+    context = spark.sparkContext
+    own = f"{shared_dir(spark)}/probeline-{context.applicationId}"
+    where = context._jvm.org.apache.hadoop.fs.Path(own)
+    files = where.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def parallelism(spark: SparkSession) -> int:

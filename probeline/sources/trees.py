@@ -34,6 +34,8 @@ _PLACE = r"([^/]+)/([^/]+)/([^/]+?)(?:/(sweep-[^/]+))?/([^/]+)$"
 
 def _with_place(df: DataFrame, root: str) -> DataFrame:
     """Split the part of ``path`` below ``root`` into job, engine, step, sweep_name and artifact."""
+    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))  # file paths come URL-encoded
+    df = df.withColumn("path", plain)
     start = F.length(F.lit(root.rstrip("/"))) + F.locate(root.rstrip("/"), F.col("path")) + 1
     below = F.substring(F.col("path"), start, F.length("path"))
     part = lambda i: F.nullif(F.regexp_extract(below, "^" + _PLACE, i), F.lit(""))
@@ -46,7 +48,8 @@ def scan_results(spark: SparkSession, root: str, tail_lines: int = RESULT_TAIL)
 
     A missing file is null; a file that is not JSON is null and named in ``bad_artifacts``.
     """
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    names = "{" + ",".join(ARTIFACTS) + "}"
+    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).text(root)
     texts = _with_place(texts.select(F.col("_metadata.file_path").alias("path"), "value"), root)
     texts = texts.filter(F.col("artifact").isin(*ARTIFACTS)).withColumn("_ok", F.try_parse_json("value").isNotNull())
     of = lambda name: F.col("artifact") == name
@@ -131,7 +134,11 @@ def read_monthly(spark: SparkSession, root: str, family: str) -> DataFrame:
 
 
 def by_month(df: DataFrame, ts: str = "ts") -> DataFrame:
-    return df.withColumn("month", F.date_format(F.col(ts), "yyyy.MM"))
+    """Adds the month in UTC, whatever the session's zone; a date or a time without a zone keeps its own."""
+    when = F.col(ts)
+    if isinstance(df.schema[ts].dataType, T.TimestampType):
+        when = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros(when) / F.lit(86_400_000_000)).cast("int"))
+    return df.withColumn("month", F.date_format(when.cast("date"), "yyyy.MM"))
 
 
 def results_documents(jobs: DataFrame, sweeps: DataFrame, job: str = "job", order: str = "ord", sweeps_per_part: int = 1000) -> DataFrame:
