@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from probeline.functions.vectors import check_space
 from probeline.session import scratch_path
 
+FILE_BYTES = 256 << 20  # data per file that writers aim at
 _PROPERTIES = ("dimension", "space_type", "shards")
 
 
@@ -68,13 +70,13 @@ def rejected_vectors(vectors: DataFrame, dim: int) -> DataFrame:
 def ingest(vectors: DataFrame, name: str, rows_per_file: int = 1_000_000, files_per_shard: int | None = None) -> None:
     """Append vectors to their shards (by hash of the id).
 
-    One shuffle by (shard, slot) lets every shard be written by ``files_per_shard`` tasks; by default all shuffle
-    partitions are shared out over the shards.
+    One shuffle by (shard, slot) lets every shard be written by ``files_per_shard`` tasks; by default as many as the
+    counted vectors have ``FILE_BYTES``. ``rejected_vectors`` tells which rows do not fit and are left out.
     """
     spark = vectors.sparkSession
     settings = table_properties(spark, name)
     dim, shards = int(settings["dimension"]), int(settings["shards"])
-    writers = files_per_shard or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+    writers = files_per_shard or max(1, math.ceil(vectors.count() * 4 * dim / (shards * FILE_BYTES)))
     hashed = F.xxhash64("vec_id")
     rows = vectors.filter(_fits(dim)).select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
     rows = rows.withColumn("shard", F.pmod(hashed, F.lit(shards).cast("bigint")).cast("int"))
@@ -117,23 +119,25 @@ def retry_shards(vectors: DataFrame, name: str, failing: DataFrame) -> DataFrame
     return wanted.join(held, ["shard", "vec_id"], "left_anti").drop("shard")
 
 
-def compact(spark: SparkSession, name: str, max_files: int = 1) -> str:
-    """M4: rewrite every shard to at most ``max_files`` files and point the table at the new folder.
+def compact(spark: SparkSession, name: str, target_bytes: int = FILE_BYTES) -> str:
+    """M4: rewrite every shard to files of about ``target_bytes`` and point the table at the new folder.
 
-    The old folder stays for readers that still use it. With a large corpus choose ``max_files`` so that a file is
-    a task's worth of data.
+    The new files are complete before the first shard moves, and a shard moves by one change of its location, so a
+    failure leaves a table that holds the same rows. The old folder stays for readers that still use it.
     """
     new_path = scratch_path(spark, name.replace(".", "_"))
-    settings = table_properties(spark, name)
-    slot = F.pmod(F.shiftright(F.xxhash64("vec_id"), 20), F.lit(max_files).cast("bigint"))
-    rows = spark.table(name).withColumn("_slot", slot)
-    rows = rows.repartition(int(settings["shards"]) * max_files, "shard", "_slot").drop("_slot")
-    rows.write.mode("errorifexists").partitionBy("shard").parquet(new_path)
-    columns = "vec_id BIGINT, embedding ARRAY<FLOAT>, shard INT"
-    keep = ", ".join(f"'{k}'='{v}'" for k, v in settings.items())
-    spark.sql(f"DROP TABLE {name}")  # an external table: the old files stay
-    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (shard) LOCATION '{new_path}' TBLPROPERTIES ({keep})")
-    spark.sql(f"MSCK REPAIR TABLE {name}")
+    rows = spark.table(name)
+    files = rows.select("shard", "_metadata.file_path", "_metadata.file_size").distinct()
+    needed = files.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum("file_size") / target_bytes)).cast("int").alias("_files"))
+    sizes = {r["shard"]: r["_files"] for r in needed.collect()}  # a row per shard
+    rows = rows.join(F.broadcast(needed), "shard")
+    slot = F.pmod(F.shiftright(F.xxhash64("vec_id"), 20), F.col("_files").cast("bigint"))
+    rows = rows.withColumn("_slot", slot).repartition(max(1, sum(sizes.values())), "shard", "_slot")
+    rows.select("vec_id", "embedding", "shard").write.mode("errorifexists").partitionBy("shard").parquet(new_path)
+    for shard in sorted(sizes):
+        spark.sql(f"ALTER TABLE {name} PARTITION (shard={shard}) SET LOCATION '{new_path}/shard={shard}'")
+    spark.sql(f"ALTER TABLE {name} SET LOCATION '{new_path}'")
+    refresh(spark, name)
     return new_path
 
 

@@ -38,10 +38,11 @@ def _whole_mb(path: str) -> Column:
     return F.round(F.coalesce(F.col(path), F.lit(0)) / _MB, 0).cast("bigint")
 
 
-def flatten_node_stats(snapshots: DataFrame, document: str = "nodes", ts: str = "ts") -> DataFrame:
+def flatten_node_stats(snapshots: DataFrame, document: str = "nodes", ts: str = "ts", whole: bool = False) -> DataFrame:
     """One flat row per node of a node statistics document; a missing value is null, a missing name the node id.
 
-    ``document`` holds the JSON text of the node map. Other columns of ``snapshots`` are kept.
+    ``document`` holds the JSON text of the node map. Other columns of ``snapshots`` are kept. ``whole`` adds what only
+    snapshots that are compared need: the heap in MB to one decimal, fetches and both queues.
     """
     kept = [c for c in snapshots.columns if c not in (document, ts)]
     nodes = snapshots.select(
@@ -71,6 +72,16 @@ def flatten_node_stats(snapshots: DataFrame, document: str = "nodes", ts: str =
         F.col("n.thread_pool.write.rejected").alias("write_rejected"),
         F.col("n.fs.total.total_in_bytes").alias("fs_total_bytes"),
         F.col("n.fs.total.free_in_bytes").alias("fs_free_bytes"),
+        *(
+            [
+                heap_mb(F.col("n.jvm.mem.heap_used_in_bytes")).alias("heap_mb"),
+                F.col("n.indices.search.fetch_total").alias("search_fetch_total"),
+                F.col("n.thread_pool.search.queue").alias("search_queue"),
+                F.col("n.thread_pool.write.queue").alias("write_queue"),
+            ]
+            if whole
+            else []
+        ),
     )
 
 
@@ -122,6 +133,42 @@ def diff_snapshots(
     )
 
 
+# The fields of a snapshot comparison and the flat columns they come from; counters, then gauges.
+DIFF_COUNTERS = {
+    "gc_young_count_delta": "gc_young_count", "gc_young_time_ms_delta": "gc_young_ms",
+    "gc_old_count_delta": "gc_old_count", "gc_old_time_ms_delta": "gc_old_ms",
+    "search_query_count_delta": "search_query_total", "search_query_time_ms_delta": "search_query_ms",
+    "search_fetch_count_delta": "search_fetch_total", "indexing_count_delta": "indexing_total",
+    "indexing_time_ms_delta": "indexing_ms", "search_rejected": "search_rejected", "write_rejected": "write_rejected",
+}
+DIFF_GAUGES = {
+    "heap_used_percent": "heap_used_pct", "heap_used_mb": "heap_mb", "cpu_percent": "cpu_pct", "load_1m": "load_1m",
+    "mem_used_percent": "mem_used_pct", "search_queue": "search_queue", "write_queue": "write_queue",
+}
+
+
+def diff_node_stats(before: DataFrame, after: DataFrame, keys: Sequence[str] = ("node_id",)) -> DataFrame:
+    """J6 in full: ``keys``, ``node`` and the 18 fields, of two tables that ``flatten_node_stats`` made whole."""
+    found = diff_snapshots(before, after, keys, list(DIFF_COUNTERS.values()), list(DIFF_GAUGES.values()), "node")
+    return found.select(
+        *keys, "node", *[F.col(f"{source}_delta").alias(name) for name, source in DIFF_COUNTERS.items()],
+        *[F.col(source).alias(name) for name, source in DIFF_GAUGES.items()],
+    )
+
+
+def gc_samples(flat: DataFrame, ts: str = "ts", node: str = "node", slices: int | None = None) -> DataFrame:
+    """W1 on collector counters: one sample per row of a whole flat table, with deltas to the node's sample before.
+
+    The first sample of a node gives 0, a missing counter counts as 0.
+    """
+    counters = {"young_count": "gc_young_count", "young_ms": "gc_young_ms", "old_count": "gc_old_count", "old_ms": "gc_old_ms"}
+    rows = counter_delta(flat, [node], [ts], list(counters.values()), slices)
+    return rows.select(
+        ts, node, "heap_used_pct", F.col("heap_mb").alias("heap_used_mb"),
+        *[F.col(f"{source}_delta").alias(f"{name}_delta") for name, source in counters.items()],
+    )
+
+
 def node_usage_summary(samples: DataFrame, keys: Sequence[str] = ("node",), cpu: str = "cpu", memory: str = "memory") -> DataFrame:
     """A1: average, maximum and minimum of cores and MiB per node, from quantity text."""
     read = samples.select(*keys, cpu_cores(cpu).alias("_c"), mem_mib(memory).alias("_m"))

@@ -230,7 +230,7 @@ def read_vectors(spark, sf):
 def _ingested(spark, base, shards: int = 3) -> str:
     name = f"vectors_{uuid.uuid4().hex}"
     tables.create_vector_table(spark, name, 64, "innerproduct", shards)
-    tables.ingest(base, name, files_per_shard=2)
+    tables.ingest(base, name)
     return name
 
 
@@ -254,11 +254,22 @@ def verify_count(spark, sf):
     return tables.verify_count(spark, name, base.count() + 7)
 
 
+@query("retry_shards", "SELECT vec_id FROM embeddings WHERE vec_id % 10 = 3")
+def retry_shards(spark, sf):
+    """M5: a tenth of the vectors did not arrive; the failing shards' missing vectors are the retry set."""
+    base = table(spark, sf, "embeddings")
+    name = _ingested(spark, base.filter("vec_id % 10 <> 3"))
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(3).cast("bigint")).cast("int")
+    expected = base.groupBy(shard.alias("shard")).agg(F.count(F.lit(1)).alias("expected_docs"))
+    failing = tables.verify_count(spark, name, expected).filter("NOT complete")
+    return tables.retry_shards(base, name, failing).select("vec_id")
+
+
 @query("compact_readback", f"SELECT vec_id, {_SUMS}, CAST(3 AS BIGINT) AS files FROM embeddings")
 def compact_readback(spark, sf):
     """M4: the same rows in one file per shard."""
     name = _ingested(spark, table(spark, sf, "embeddings"))
-    tables.compact(spark, name, 1)
+    tables.compact(spark, name)
     rows = spark.table(name)
     files = rows.select("_metadata.file_path").distinct().agg(F.count(F.lit(1))).scalar()
     return _summed(rows).withColumn("files", files)

@@ -293,6 +293,96 @@ def flatten_node_stats(spark, sf):
     )
 
 
+def _full_stats_documents(spark, sf):
+    """Node statistics documents with every block filled from the event's own numbers; some names are missing."""
+    e = table(spark, sf, "events")
+    i, v = F.col("event_id"), F.col("value")
+    pair = lambda a, b: F.struct((i * a).alias("collection_count"), (i * b).alias("collection_time_in_millis"))
+    queue = lambda a, b: F.struct((i % a).alias("queue"), (i % b).alias("rejected"))
+    node = F.struct(
+        F.when(F.col("event_type") != "error", F.concat(F.lit("name-"), "user_id")).alias("name"),
+        F.struct(
+            F.struct(v.alias("heap_used_percent"), (i * 104857).alias("heap_used_in_bytes"), (i * 1048576).alias("heap_max_in_bytes")).alias("mem"),
+            F.struct(F.struct(pair(2, 3).alias("young"), F.when(i % 4 != 0, pair(5, 7)).alias("old")).alias("collectors")).alias("gc"),
+        ).alias("jvm"),
+        F.struct(
+            F.struct((i % 100).cast("double").alias("percent"), F.struct((i % 8).cast("double").alias("1m")).alias("load_average")).alias("cpu"),
+            F.struct((i % 90).cast("double").alias("used_percent")).alias("mem"),
+        ).alias("os"),
+        F.struct(
+            F.struct((i * 11).alias("query_total"), (i * 13).alias("query_time_in_millis"), (i * 17).alias("fetch_total")).alias("search"),
+            F.struct((i * 19).alias("index_total"), (i * 23).alias("index_time_in_millis")).alias("indexing"),
+        ).alias("indices"),
+        F.struct(queue(3, 5).alias("search"), queue(7, 9).alias("write")).alias("thread_pool"),
+        F.struct(F.struct((i * 1000).alias("total_in_bytes"), (i * 400).alias("free_in_bytes")).alias("total")).alias("fs"),
+    )
+    document = F.to_json(F.create_map(F.concat(F.lit("id-"), "user_id"), node))
+    return e.select("event_id", "ts", document.alias("nodes"))
+
+
+_FLAT_SQL = """
+    flat AS (
+        SELECT event_id, ts, 'id-' || user_id AS node_id, CASE WHEN event_type = 'error' THEN 'id-' ELSE 'name-' END || user_id AS node,
+               value AS heap_used_pct, CAST(round(event_id * 104857 / 1048576.0, 0) AS BIGINT) AS heap_used_mb, event_id AS heap_max_mb,
+               event_id * 2 AS gc_young_count, event_id * 3 AS gc_young_ms,
+               CASE WHEN event_id % 4 <> 0 THEN event_id * 5 END AS gc_old_count, CASE WHEN event_id % 4 <> 0 THEN event_id * 7 END AS gc_old_ms,
+               (event_id % 100)::DOUBLE AS cpu_pct, (event_id % 8)::DOUBLE AS load_1m, (event_id % 90)::DOUBLE AS mem_used_pct,
+               event_id * 11 AS search_query_total, event_id * 13 AS search_query_ms, event_id * 19 AS indexing_total, event_id * 23 AS indexing_ms,
+               event_id % 5 AS search_rejected, event_id % 9 AS write_rejected, event_id * 1000 AS fs_total_bytes, event_id * 400 AS fs_free_bytes,
+               round_even(event_id * 104857 / 1048576.0, 1) AS heap_mb, event_id * 17 AS search_fetch_total,
+               event_id % 3 AS search_queue, event_id % 7 AS write_queue
+        FROM events)"""
+
+
+@query("node_stats_full", f"""WITH {_FLAT_SQL} SELECT * EXCLUDE (ts) REPLACE (round(heap_used_pct, 6) AS heap_used_pct,
+       coalesce(gc_old_count, -1) AS gc_old_count, coalesce(gc_old_ms, -1) AS gc_old_ms) FROM flat""")
+def node_stats_full(spark, sf):
+    """All columns."""
+    flat = telemetry.flatten_node_stats(_full_stats_documents(spark, sf), whole=True)
+    return flat.na.fill(-1, ["gc_old_count", "gc_old_ms"]).withColumn("heap_used_pct", F.round("heap_used_pct", 6)).drop("ts")
+
+
+_DIFF_SQL = ", ".join(
+    [f"coalesce(a.{c} - b.{c}, a.{c}, -1) AS {n}" for n, c in telemetry.DIFF_COUNTERS.items()]
+    + [f"round(a.{c}, 6) AS {n}" if c == "heap_used_pct" else f"a.{c} AS {n}" for n, c in telemetry.DIFF_GAUGES.items()]
+)
+
+
+@query(
+    "diff_node_stats",
+    f"""WITH {_FLAT_SQL},
+        ends AS (SELECT node_id, min(event_id) AS low, max(event_id) AS high FROM flat GROUP BY node_id),
+        b AS (SELECT flat.* FROM flat JOIN ends ON event_id = low WHERE low % 3 <> 0),
+        a AS (SELECT flat.* FROM flat JOIN ends ON event_id = high)
+        SELECT a.node_id, a.node, {_DIFF_SQL} FROM a LEFT JOIN b ON a.node_id = b.node_id""",
+)
+def diff_node_stats(spark, sf):
+    """All 18 fields between a node's first and last sample; a third of the nodes has no first one."""
+    flat = telemetry.flatten_node_stats(_full_stats_documents(spark, sf), whole=True)
+    ends = flat.groupBy("node_id").agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"))
+    both = flat.join(ends, "node_id")
+    found = telemetry.diff_node_stats(both.filter("event_id = low AND low % 3 <> 0"), both.filter("event_id = high"))
+    return found.na.fill(-1, list(telemetry.DIFF_COUNTERS)).withColumn("heap_used_percent", F.round("heap_used_percent", 6))
+
+
+@query(
+    "gc_samples",
+    f"""WITH {_FLAT_SQL}, known AS (
+            SELECT event_id, node_id, heap_used_pct, heap_mb, gc_young_count, gc_young_ms,
+                   coalesce(gc_old_count, 0) AS old_count, coalesce(gc_old_ms, 0) AS old_ms FROM flat)
+        SELECT event_id AS sample, node_id AS node, round(heap_used_pct, 6) AS heap_used_pct, heap_mb AS heap_used_mb,
+               coalesce(gc_young_count - lag(gc_young_count) OVER w, 0) AS young_count_delta,
+               coalesce(gc_young_ms - lag(gc_young_ms) OVER w, 0) AS young_ms_delta,
+               coalesce(old_count - lag(old_count) OVER w, 0) AS old_count_delta, coalesce(old_ms - lag(old_ms) OVER w, 0) AS old_ms_delta
+        FROM known WINDOW w AS (PARTITION BY node_id ORDER BY event_id)""",
+)
+def gc_samples(spark, sf):
+    """The collector sample of every document, in order of its number."""
+    flat = telemetry.flatten_node_stats(_full_stats_documents(spark, sf), whole=True).withColumn("sample", F.col("event_id"))
+    found = telemetry.gc_samples(flat, "sample", "node_id").withColumnRenamed("node_id", "node")
+    return found.withColumn("heap_used_pct", F.round("heap_used_pct", 6))
+
+
 @query(
     "index_overview",
     """SELECT p_partkey AS part, p_partkey * 10 AS docs, CAST(p_size AS BIGINT) * 1000 AS store_bytes,

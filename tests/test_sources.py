@@ -154,7 +154,7 @@ def test_vector_table(spark):
     assert tables.verify_count(spark, name, 100).first()["complete"]
     files = lambda: spark.table(name).select("shard", "_metadata.file_path").distinct().groupBy("shard").count().agg(F.max("count")).first()[0]
     assert files() > 1
-    tables.compact(spark, name, 1)
+    tables.compact(spark, name)
     assert files() == 1 and spark.table(name).count() == 100
     assert tables.table_properties(spark, name) == {"dimension": "2", "space_type": "l2", "shards": "3"}
     shot = tables.snapshot_table(spark, name, "graph").first()
