@@ -10,6 +10,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probeline.functions.vectors import HIGHER_IS_BETTER, check_space
 from probeline.operators.search import BLOCK_BYTES, TopList, block_top, mean_recall, recall_at_k, top_k
@@ -21,10 +22,36 @@ def train_cells(base: DataFrame, n_cells: int, seed: int = 42, iterations: int =
     return KMeans(k=n_cells, seed=seed, maxIter=iterations, initMode="random").fit(points)
 
 
-def assign_cells(base: DataFrame, model: KMeansModel) -> DataFrame:
-    """Add the ``cell`` of every vector."""
-    points = base.withColumn("_f", array_to_vector(F.col("embedding").cast("array<double>")))
-    return model.setFeaturesCol("_f").setPredictionCol("cell").transform(points).drop("_f")
+class GivenCells:
+    """Cells around given centres, numbered from 0, wherever a trained model is accepted."""
+
+    def __init__(self, centres: Sequence[Sequence[float]]):
+        self.centres = [np.asarray(c, dtype=np.float64) for c in centres]
+
+    def clusterCenters(self) -> list[np.ndarray]:  # noqa: N802  as a trained model has it
+        return self.centres
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest centres of each vector, nearest first; the lower number of equally near ones."""
+    gaps = (vectors**2).sum(1)[:, None] + (centres**2).sum(1)[None, :] - 2.0 * vectors @ centres.T
+    return np.argsort(gaps, axis=1, kind="stable")[:, :n].astype(np.int32)
+
+
+def assign_cells(base: DataFrame, model: KMeansModel | GivenCells) -> DataFrame:
+    """Add the ``cell`` of every vector. Rows that hold no full vector are left out."""
+    centres = np.array(model.clusterCenters())
+    kept = [c for c in base.columns if c != "cell"]
+    kind = T.StructType([*(base.schema[c] for c in kept), T.StructField("cell", T.IntegerType())])
+    place = kept.index("embedding")
+
+    def assign(batches):
+        for batch in batches:
+            vectors = np.asarray(batch.column(place).flatten(), dtype=np.float64).reshape(-1, centres.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest(vectors, centres, 1)[:, 0])], kind.names)
+
+    full = (F.size("embedding") == centres.shape[1]) & ~F.exists("embedding", lambda x: x.isNull())
+    return base.filter(full).select(*kept).mapInArrow(assign, kind)
 
 
 def write_cells(assigned: DataFrame, path: str) -> None:
@@ -33,7 +60,7 @@ def write_cells(assigned: DataFrame, path: str) -> None:
     ranged.write.mode("errorifexists").partitionBy("cell").parquet(path)
 
 
-def probe_cells(queries: DataFrame, model: KMeansModel, nprobe: int) -> DataFrame:
+def probe_cells(queries: DataFrame, model: KMeansModel | GivenCells, nprobe: int) -> DataFrame:
     """Add ``probes``: the ``nprobe`` cells whose centres are nearest to each query."""
     centres = np.array(model.clusterCenters())
     shared = queries.sparkSession.sparkContext.broadcast(centres)  # n_cells × dimension, fixed by the caller
@@ -42,8 +69,7 @@ def probe_cells(queries: DataFrame, model: KMeansModel, nprobe: int) -> DataFram
         cells = shared.value
         for batch in batches:
             asked = np.asarray(batch.column("embedding").flatten(), dtype=np.float64).reshape(-1, cells.shape[1])
-            gaps = (asked**2).sum(1)[:, None] + (cells**2).sum(1)[None, :] - 2.0 * asked @ cells.T
-            near = np.argsort(gaps, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
+            near = _nearest(asked, cells, nprobe)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("query_id"), batch.column("embedding"), pa.array(list(near), pa.list_(pa.int32()))],
                 names=["query_id", "embedding", "probes"],

@@ -192,6 +192,29 @@ def ann_search(spark, sf):
     return curve.withColumn("recall", F.round("recall", 10))
 
 
+@query(
+    "ann_search_given",
+    f"""WITH parts AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+        centres AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM parts GROUP BY ALL) GROUP BY label),
+        near AS (SELECT vec_id, embedding::DOUBLE[] AS e, label_c AS cell, row_number() OVER (PARTITION BY vec_id ORDER BY gap, label_c) AS place
+                 FROM (SELECT vec_id, embedding, k.label AS label_c, list_distance(embedding::DOUBLE[], c) AS gap FROM embeddings, centres k)),
+        scored AS (SELECT q.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(q.e, b.e) AS score
+                   FROM near q JOIN near b ON q.cell = b.cell AND b.place = 1 AND b.vec_id <> q.vec_id
+                   WHERE q.vec_id % {EVERY} = 0 AND q.place <= 3)
+        SELECT query_id, rank, vec_id, round(score, 6) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= {K}""",
+)
+def ann_search_given(spark, sf):
+    """X1 around the mean vector of each label, three cells probed."""
+    base, asked = _sides(spark, sf)
+    parts = base.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg("x").alias("m"))
+    means = parts.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("c")).orderBy("label").collect()
+    model = cells.GivenCells([[x["m"] for x in r["c"]] for r in means])  # one vector per label
+    index = cells.assign_cells(base.select("vec_id", "embedding"), model)
+    found = cells.ann_search(index, asked, model, K, 3, exclude_self=True)
+    return found.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "rejected_vectors",
     """WITH cut AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN embedding[1:63] WHEN vec_id % 11 <> 0 THEN embedding END AS e FROM embeddings)
