@@ -143,7 +143,7 @@ def slots(spark, sizes: dict[str | None, int], goal: dict[str | None, float], se
     drawn = spark.range(0, shards, 1, max(1, min(shards, 1 + shards // 64))).mapInArrow(counts, "shard long, s long, n long")
     running = drawn.withColumn("first", F.expr("sum(n) over (partition by s order by shard rows unbounded preceding) - n"))
     dealt = running.select("shard", "s", "n", "first").filter("n > 0").repartition(partitions(spark), "shard", "s")
-    return dealt.mapInArrow(fill, kind)
+    return dealt.mapInArrow(fill, kind)  # many more rows than a planner expects of it, so joins with it ask for a merge
 
 
 def pieces(where: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def mix(
     """
     where, sizes, goal, filled = plan(docs, id_col, text_col, source_col, weights, seed)
     times = filled.groupBy("source", "block").agg(F.count("*").alias("times"))
-    met = pieces(where).alias("p").join(times.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block")))
+    met = pieces(where).alias("p").join(times.alias("t").hint("merge"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block")))
     taken = met.groupBy(F.col("p.source").alias("_s"), F.col("start").alias("_p")).agg(F.sum((F.col("end") - F.col("begin")) * F.col("times")).alias("taken"))
     same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("start") == F.col("_p")) & (F.col("size") > 0)
     out = where.join(taken, same, "left")
@@ -193,7 +193,7 @@ def mixed_documents(
     apart. ``size_col``, if given, is set to the length of the text. What no round takes is left out.
     """
     where, _, _, filled = plan(docs, id_col, text_col, source_col, weights, seed)
-    met = pieces(where).alias("p").join(filled.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block")))
+    met = pieces(where).alias("p").join(filled.alias("t").hint("merge"), F.col("p.source").eqNullSafe(F.col("t.source")) & (F.col("p.block") == F.col("t.block")))
     parts = met.groupBy("_id", "print", F.col("p.source").alias("_s"), "start", "size", "round").agg(
         F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("_parts"), F.sum(F.col("end") - F.col("begin")).alias("_words"))
     rounds = parts.groupBy("_id", "print", "_s", "start", "size").agg(F.collect_list(F.struct("round", "_parts", "_words")).alias("_rounds"))
