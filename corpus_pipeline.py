@@ -17,10 +17,19 @@ from probeline.llm.queries import held_out, table
 from probeline.llm.tables import written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in short batches, unless the session sets its own: texts are long rows, and workers of
+    earlier stages may still hold memory."""
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "1000")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier calls toxic; it learns from the labels outside the held-out fold."""
+    short_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held_out()))
     scored = toxicity.score(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
     return scored.filter("predicted = 0").select(*docs.columns)

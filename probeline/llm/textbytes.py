@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20  # bytes of text that are worked on at once; a longer text is a block of its own
+BLOCK = 1 << 19  # bytes of text that are worked on at once; a longer text is a block of its own
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -53,7 +53,7 @@ def stretch(total: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """At least ``n`` powers of the base (or of its inverse) modulo 2**64."""
-    return _powers(max(16, int(n).bit_length()), inverse)
+    return _powers(max(20, int(n).bit_length()), inverse)
 
 
 @functools.lru_cache(maxsize=4)

@@ -169,6 +169,7 @@ def encode(
                 ids = encoder(part.column(1).to_pylist())
                 counts = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), counts], [id_col, "ids", "n_tokens"])
+        pa.default_memory_pool().release_unused()  # the worker may wait for its next task for long
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(work, kind)
 
@@ -186,5 +187,6 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id")
                 part = batch.slice(begin, 500)
                 texts = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(place).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*kept, "decoded"])
+        pa.default_memory_pool().release_unused()
 
     return encoded.select(*kept).mapInArrow(work, kind)
