@@ -206,9 +206,9 @@ def mixed_documents(
         F.col("d._key").eqNullSafe(F.col("r._id")) & (F.col("d._print") == F.col("r.print"))
         & F.col("d._source").eqNullSafe(F.col("r._s")) & (F.col("d._row") == F.col("r._row"))
     )
-    out = named.alias("d").join(rounds.alias("r"), same).withColumn("_round", F.explode("_rounds"))
-    words = word_list(F.col(f"d.{text_col}").cast("string"))
-    some = F.array_join(F.flatten(F.transform("_round._parts", lambda x: F.slice(words, x["begin"].cast("int") + 1, (x["end"] - x["begin"]).cast("int")))), " ")
+    words = word_list(F.col(f"d.{text_col}").cast("string"))  # once per document: below the explode, not in the lambda
+    out = named.alias("d").join(rounds.alias("r"), same).withColumn("_text_words", words).withColumn("_round", F.explode("_rounds"))
+    some = F.array_join(F.flatten(F.transform("_round._parts", lambda x: F.slice("_text_words", x["begin"].cast("int") + 1, (x["end"] - x["begin"]).cast("int")))), " ")
     taken = F.when(F.col("_round._words") == F.col("r.size"), F.col(f"d.{text_col}")).otherwise(some)
     columns = []
     for c in docs.columns:
