@@ -30,7 +30,7 @@ from probeline.llm.tables import partitions, written
 RARE = 16  # a token in at most so many texts is rare
 HEAVY = 1 << 20  # at most so many tokens are told from rare ones by their counts; the bar rises to keep to it
 PARTS = 2048  # ranges of token hashes that are counted apart
-FLUSH = 1 << 21  # tokens a task holds before it hands them on
+FLUSH = 1 << 19  # tokens a task holds before it hands them on
 LISTED = 1 << 20  # ids that are broadcast at most
 GATHERED = 1 << 21  # signatures that a task gathers, about
 SALTS = 64  # tasks that the rows of a frequent signature are dealt to
