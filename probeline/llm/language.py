@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from probeline.llm.tables import sample_bar
+
 SIZES = (1, 2, 3)
 RANKS = 400  # n-grams of a language's profile
 OWN = 300  # n-grams of a text that are compared
@@ -99,14 +101,15 @@ def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    print_ = F.xxhash64("text")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(print_).alias("least")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return {}
     share = fitted / len(sizes)
     picked = F.lit(False)
     for r in sizes:
-        bar = int(min(1.0, share / r["n"]) * 1_000_000)
-        picked = picked | ((F.col("lang") == r["lang"]) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < bar))
+        bar = max(sample_bar(share / r["n"]), r["least"])  # the text with the smallest hash is in any sample
+        picked = picked | ((F.col("lang") == r["lang"]) & (print_ <= F.lit(bar)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

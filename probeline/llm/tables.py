@@ -31,8 +31,13 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def sample_bar(share: float) -> int:
+    """The 64-bit hash up to which ``share`` of all hashes lie; a sample takes what is not above."""
+    return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+
+
 def word_list(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
-__all__ = ["LOWER", "UPPER", "WORD_BREAK", "cut", "partitions", "text_of", "word_list", "written"]
+__all__ = ["LOWER", "UPPER", "WORD_BREAK", "cut", "partitions", "sample_bar", "text_of", "word_list", "written"]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeline.llm.components import components
-from probeline.llm.tables import written
+from probeline.llm.tables import sample_bar, written
 
 FITTED = 20_000  # vectors that centres are fitted on at most, about
 CELL = 2_000  # vectors per cell that the number of cells aims at
@@ -104,8 +104,7 @@ def near_duplicates(
     if not dims:
         return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
     dim, n = dims[0]["dim"], dims[0]["n"]
-    bar = int(min(1.0, fitted / n) * 1_000_000)
-    sample = classes.filter((F.col("dim") == dim) & (F.pmod("cid", F.lit(1_000_000)) < bar)).orderBy("cid").select("v").toArrow()
+    sample = classes.filter((F.col("dim") == dim) & (F.col("cid") <= F.lit(sample_bar(fitted / n)))).orderBy("cid").select("v").toArrow()
     centres = spherical_kmeans(_grid(sample.column("v")), min(CELLS, -(-n // cell))) if sample.num_rows else np.ones((1, dim))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ import pytest
 
 from probeline.llm import language, toxicity
 from probeline.llm.queries import QUERIES
+from probeline.llm.tables import sample_bar
 
 
 def corpus(n=900, seed=2):
@@ -100,6 +101,24 @@ def test_identify_table(spark):
     assert language.profiles(docs.limit(0)) == {} and language.identify(docs.limit(0), known).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.0, 1e-12, 3e-7, 0.6, 1.0, 7.0])
+def test_sample_bar(share):
+    bar = sample_bar(share)
+    assert -(1 << 63) <= bar < 1 << 63 and (bar + (1 << 63)) / (1 << 64) == pytest.approx(min(share, 1.0))
+
+
+def test_samples_are_never_empty(spark):
+    rows = corpus(60)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    known = language.profiles(docs, fitted=1e-5)  # as of 10 million times as many labelled texts
+    assert set(known) == {"en", "de"} and all(len(x) for x in known.values())
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity, "fit", lambda texts, marks, langs: seen.extend(marks))
+        toxicity.learn(docs, spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int"), fitted=1e-5)
+    assert set(seen) == {0, 1}
+
+
 def test_held_out_language(spark):
     sf_dir = "/root/testdata/sf0.01"
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
