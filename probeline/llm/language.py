@@ -23,7 +23,6 @@ SIZES = (1, 2, 3)
 RANKS = 400  # n-grams of a language's profile
 OWN = 300  # n-grams of a text that are compared
 FITTED = 8_000  # texts that profiles are fitted on at most, about; shared out evenly among languages
-LANGUAGES = 200  # languages with the most labelled texts
 POINTS = 1 << 18  # code points that are worked on at once
 BLANK = 0x20
 COMMON = 0x3000  # code points below are looked up in a table
@@ -96,20 +95,20 @@ def each_text(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", fitted: int = FITTED) -> dict[str, np.ndarray]:
     """Per language its ranked n-grams, from rows with a language and a text; what is collected is one profile each.
 
-    Fits on about ``fitted`` texts at most: each language gives an even share, picked by a hash of its texts. A language
-    without letters in its texts has no profile; without labelled rows there is none at all.
+    Fits on about ``fitted`` texts at most, or a text of each language if those are more: each language gives an even
+    share, picked by a hash of its texts. Only a language without letters in its texts has no profile; without labelled
+    rows there is none at all.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     print_ = F.xxhash64("text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(print_).alias("least")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(print_).alias("least")).collect()
     if not sizes:
         return {}
     share = fitted / len(sizes)
-    picked = F.lit(False)
-    for r in sizes:
-        bar = max(sample_bar(share / r["n"]), r["least"])  # the text with the smallest hash is in any sample
-        picked = picked | ((F.col("lang") == r["lang"]) & (print_ <= F.lit(bar)))
+    # The text with the smallest hash is in any sample.
+    bars = rows.sparkSession.createDataFrame([(r["lang"], max(sample_bar(share / r["n"]), r["least"])) for r in sizes], "lang string, bar long")
+    picked = rows.join(F.broadcast(bars), "lang").filter(print_ <= F.col("bar")).select("lang", "text")  # a row per language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,32 +120,36 @@ def profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang"
                 n = np.bincount(at, np.concatenate([x for _, x in parts]), len(gram)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
 
-    summed = rows.filter(picked).mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    summed = picked.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = summed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= RANKS).toArrow().to_pandas()
     return {lang: some.sort_values("rank")["gram"].to_numpy() for lang, some in best.groupby("lang")}
 
 
 class Ranker:
-    """Compares texts with all profiles at once."""
+    """Compares texts with all profiles at once; only the ranks that profiles hold are kept, so thousands of them fit."""
 
     def __init__(self, known: dict[str, np.ndarray]):
         self.langs = sorted(known)
-        self.grams = np.unique(np.concatenate([*known.values(), np.empty(0, np.int64)]))
-        self.ranks = np.full((len(self.grams) + 1, len(self.langs)), RANKS, np.int64)  # the last row: in no profile
-        for column, lang in enumerate(self.langs):
-            self.ranks[np.searchsorted(self.grams, known[lang]), column] = np.arange(len(known[lang]))
+        sizes = [len(known[x]) for x in self.langs]
+        grams = np.concatenate([*(known[x] for x in self.langs), np.empty(0, np.int64)])
+        order = np.argsort(grams, kind="stable")
+        self.grams, begin = np.unique(grams[order], return_index=True)
+        self.begin = np.append(begin, len(grams))  # where the entries of an n-gram begin: a language and a rank each
+        self.columns = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.ranks = np.concatenate([*(np.arange(n, dtype=np.int32) for n in sizes), np.empty(0, np.int32)])[order]
 
     def __call__(self, gram: np.ndarray, count: np.ndarray) -> tuple[str, float]:
         """Nearest language (the first by name of equals) and 1 less its share of the greatest distance."""
         if not len(gram) or not self.langs:
             return UNKNOWN, 0.0
         own = top(gram, count, OWN)
-        at = np.searchsorted(self.grams, own)
-        at[(at == len(self.grams)) | (self.grams[np.minimum(at, len(self.grams) - 1)] != own)] = len(self.grams)
-        far = np.abs(self.ranks[at] - np.arange(len(own))[:, None])
-        far[self.ranks[at] == RANKS] = RANKS
-        total = far.sum(0)
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        place = np.flatnonzero(self.grams[at] == own)
+        first, n = self.begin[at[place]], self.begin[at[place] + 1] - self.begin[at[place]]
+        entry = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        closer = RANKS - np.abs(self.ranks[entry] - np.repeat(place, n))  # than an absent n-gram
+        total = RANKS * len(own) - np.bincount(self.columns[entry], closer, len(self.langs)).astype(np.int64)
         best = int(total.argmin())
         return self.langs[best], float(1 - total[best] / (RANKS * len(own)))
 

@@ -119,6 +119,42 @@ def test_samples_are_never_empty(spark):
     assert set(seen) == {0, 1}
 
 
+def test_every_language_has_a_profile(spark):
+    stems = [a + b + c for a in "bcdfgk" for b in "aeiou" for c in "lmnrst"] + [a + b + c for a in "pqvwxz" for b in "aeiou" for c in "lmnrst"]
+    rows = [(i, f"{x}{x} {x} {x}{x[::-1]}", f"l{i:03}") for i, x in enumerate(stems)]  # 360 languages
+    docs = spark.createDataFrame([*rows, *[(1000 + i, t, lang) for i, t, lang in rows[:210]]], "doc_id long, text string, lang string")
+    known = language.profiles(docs)
+    assert set(known) == {r[2] for r in rows}
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, known).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)
+
+
+def test_distances_are_those_of_all_ranks():
+    rng = np.random.default_rng(8)
+    known = {f"l{i}": rng.permutation(900)[: int(rng.integers(0, language.RANKS + 1))] for i in range(30)}
+    rank = language.Ranker(known)
+    for _ in range(40):
+        gram = rng.permutation(1000)[: int(rng.integers(1, 400))]
+        count = rng.integers(1, 9, len(gram))
+        own = language.top(gram, count, language.OWN).tolist()
+        place = {lang: {g: r for r, g in enumerate(x.tolist())} for lang, x in known.items()}
+        far = {lang: sum(abs(p[g] - i) if g in p else language.RANKS for i, g in enumerate(own)) for lang, p in place.items()}
+        best = min(sorted(far), key=far.get)
+        assert rank(gram, count) == (best, 1 - far[best] / (language.RANKS * len(own)))
+
+
+def test_thresholds_are_for_the_largest_languages(monkeypatch):
+    rows = corpus()
+    texts = [r[1] for r in rows] + [" ".join(f"a{i}x{j}" for j in range(20)) for i in range(8) for _ in range(20)]
+    marks = [r[3] for r in rows] + [i % 2 for i in range(160)]
+    langs = [r[2] for r in rows] + [f"a{i}" for i in range(8) for _ in range(20)]
+    monkeypatch.setattr(toxicity, "LANGUAGES", 2)
+    model = toxicity.fit(texts, marks, langs, epochs=1)
+    spoken = lambda text: [model.spoken(model.rows[w].astype(np.int64), at)[0] for _, w, at in toxicity.padded(pa.array([text]))][0]
+    assert [spoken(x) for x in ("und1 und2 und3", "the1 the2 the3", texts[-1], "unheard", "")] == [0, 1, 2, 2, 2]
+    assert len(model.limits) == 3
+
+
 def test_held_out_language(spark):
     sf_dir = "/root/testdata/sf0.01"
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
