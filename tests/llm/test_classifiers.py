@@ -32,6 +32,37 @@ def test_classifier_learns_words():
     assert np.mean(found == np.array([r[3] for r in fresh])) > 0.97
 
 
+def small_language(seed):
+    """``corpus`` beside a language of 300 texts, whose 75 toxic ones share out a list of twelve words."""
+    rng = np.random.default_rng(seed)
+    rows = corpus(2400, seed)
+    for i in range(300):
+        text = [f"et{x}" for x in rng.integers(0, 300, int(rng.integers(5, 80)))]
+        if i % 4 == 0:
+            text[int(rng.integers(len(text)))] = f"faquin{i // 4 % 12}"
+        rows.append((3000 + i, " ".join(text), "fr", int(i % 4 == 0)))
+    return rows
+
+
+def test_toxic_words_of_a_small_language():
+    rows, fresh = small_language(5), small_language(6)
+    model = toxicity.fit([r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows])
+    found = model.scores(pa.array([r[1] for r in fresh]), model.prepared()) >= 0.5
+    marks, langs = np.array([r[3] for r in fresh]) == 1, np.array([r[2] for r in fresh])
+    for lang, least in (("en", 0.9), ("de", 0.9), ("fr", 0.7)):
+        assert found[marks & (langs == lang)].mean() > least and found[~marks & (langs == lang)].mean() < 0.03, lang
+
+
+def test_row_numbers_by_language_and_label(monkeypatch):
+    texts = [np.array([1, 2, -1])] * 3 + [np.array([3, 2, -1])] * 2 + [np.array([4, -1])] * 95
+    groups = [("fr", 1)] * 3 + [("fr", 0)] * 2 + [("en", 0)] * 95
+    found = toxicity.row_numbers(texts, groups)
+    assert found[[1, 2, 3, 4, -1]].tolist() == [1, 2, 0, 3, 0]
+    monkeypatch.setattr(toxicity, "ROWS", 3)
+    texts, groups = texts + [np.array([5, -1])] * 50, groups + [("en", 0)] * 50  # in more texts, in a smaller share
+    assert np.flatnonzero(toxicity.row_numbers(texts, groups)).tolist() == [1, 2]
+
+
 def test_scores_do_not_depend_on_blocks():
     rows = corpus(200)
     model = toxicity.fit([r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows], epochs=1)
