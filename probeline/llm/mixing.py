@@ -1,8 +1,9 @@
 """Mixing sources to target weights.
 
-Each source's words, in an order of its documents, are packed into blocks of a fixed number of words. The output is a
-sequence of shards of equally many slots. Per shard a multinomial draw says how many slots each source gets: every
-source gets the whole part of its expected count and the rest is drawn, which keeps the totals near the targets. The
+Each source's words, in an order of its documents, are packed into blocks of a fixed number of words; small sources have
+smaller blocks. The output is a sequence of shards of equally many slots. A source's slots in all are its target over
+the words that its blocks hold on average, rounded up or down by a draw that keeps the expectation. Per shard every source
+gets the whole part of its expected count and the rest is drawn without replacement, so that the totals hold. The
 slots of a source are numbered through all shards; slot ``s`` is block ``s mod n`` of the source's order in its round
 ``s div n``, and each round orders the ``n`` blocks by its own pseudorandom permutation. Blocks then join slots by
 index. A source has at most ``REPEATS`` rounds, so no document is taken more often than that.
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from probeline.llm.tables import partitions, text_of, word_list, written
 
-BLOCK = 32  # words
+BLOCK = 32  # words at most
+BLOCKS = 64  # blocks that a source has at least, if it has as many words
 SHARD = 4_096  # slots of an output shard
 REPEATS = 3
 CHUNK = 512  # documents that are ordered together at least, about
@@ -52,6 +54,11 @@ def targets(sizes: dict[str | None, int], weights: Sequence[int] = (1, 2, 3), re
     return found
 
 
+def width_of(size: int) -> int:
+    """Words of the blocks of a source of ``size`` words."""
+    return max(1, min(BLOCK, size // BLOCKS))
+
+
 def permuted(index: np.ndarray, n: int, key: str) -> np.ndarray:
     """A pseudorandom permutation of ``0 .. n - 1`` at ``index``: a Feistel network on the next even power of two, walked
     until it is below ``n``."""
@@ -75,8 +82,8 @@ def permuted(index: np.ndarray, n: int, key: str) -> np.ndarray:
 
 
 def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """One row per input row: ``_id, print`` (a hash of the text), ``source, size`` (words) and ``start``, its first
-    word in its source.
+    """One row per input row: ``_id, print`` (a hash of the text), ``source, size`` (words), ``start``, its first word in
+    its source, and ``width``, the words of its source's blocks.
 
     A source's documents follow each other by chunk (a hash), then by id and print; rows that agree in both are
     interchangeable. Chunks are about as many as the documents of one, so that neither the ordering of a chunk nor the
@@ -91,36 +98,57 @@ def placed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     counted = counted.withColumn("chunk", F.pmod(F.xxhash64("_id", "print"), F.lit(chunks)))
     total = counted.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     before = total.withColumn("before", F.expr("sum(words) over (partition by source order by chunk rows unbounded preceding) - words"))
+    width = f"greatest(1, least({BLOCK}, sum(words) over (partition by source) div {BLOCKS}))"
+    before = before.withColumn("width", F.expr(width).cast("long"))
     inside = "sum(size) over (partition by source, chunk order by _id, print rows unbounded preceding) - size"
     here = F.col("b.source").eqNullSafe(F.col("o.source")) & (F.col("b.chunk") == F.col("o.chunk"))
     out = counted.withColumn("inside", F.expr(inside)).alias("o").join(before.alias("b"), here)
-    return written(out.select("_id", "print", "o.source", "size", (F.col("before") + F.col("inside")).alias("start")), "places")
+    return written(out.select("_id", "print", "o.source", "size", (F.col("before") + F.col("inside")).alias("start"), "width"), "places")
+
+
+def rounded(share: np.ndarray, seed: int) -> np.ndarray:
+    """Whole numbers that are each the one below or above and whose expectation is ``share``; sums are off by less than 2."""
+    rng = np.random.default_rng([seed, 1])
+    order = rng.permutation(len(share))
+    whole = np.floor(share + 1e-9)
+    steps = np.floor(np.concatenate([[0.0], np.cumsum(np.maximum(share - whole, 0)[order])]) + rng.random())
+    whole[order] += np.diff(steps)
+    return whole.astype(np.int64)
 
 
 def slots(spark, sizes: dict[str | None, int], goal: dict[str | None, float], seed: int = 0) -> DataFrame:
     """``(shard, source, round, block)``: one row per slot of the output.
 
-    Counts of a shard are drawn from a seed of its own, so reruns and retries agree. The driver holds one number per
-    source and shard at most a few; the slots are made in tasks, a source's running totals by exact arithmetic.
+    All draws go by the seed, so reruns and retries agree, and each shard's counts are found without those of others: what
+    the whole parts leave is one list of slots in order of source, which a permutation deals out to the shards. The driver
+    holds a few numbers per source; the slots are made in tasks, a source's running totals by exact arithmetic.
     """
     order = [x for x in sorted(sizes, key=lambda x: (x is None, x or "")) if sizes[x]]
-    blocks = np.array([-(-sizes[x] // BLOCK) for x in order], np.int64)
-    share = np.array([goal[x] / BLOCK for x in order])
-    total = int(round(share.sum()))
+    blocks = np.array([-(-sizes[x] // width_of(sizes[x])) for x in order], np.int64)
+    share = np.array([goal[x] / sizes[x] for x in order]) * blocks
+    wanted = np.minimum(rounded(share, seed), REPEATS * blocks)
+    total = int(wanted.sum())
     length = max(SHARD, -(-total // SHARDS))
     shards = -(-total // length)
     kind = "shard long, source string, round int, block long"
 
+    def fixed(size: int) -> np.ndarray:
+        return np.array([int(n) * size // total for n in wanted.tolist()], np.int64)  # exact however large
+
+    full = fixed(length) if shards > 1 else None
+    last_size = total - (shards - 1) * length
+    last_whole = fixed(last_size) if shards else None
+    spare = length - int(full.sum()) if shards > 1 else 0
+    rest = wanted - (full * (shards - 1) if shards > 1 else 0) - (last_whole if shards else 0)
+    ends = np.cumsum(rest)
+
     def draw(shard: int) -> np.ndarray:
-        size = min(length, total - shard * length)
-        expected = share / share.sum() * size
-        whole = np.floor(expected + 1e-9).astype(np.int64)
-        rest = np.maximum(expected - whole, 0)
-        left = size - int(whole.sum())
-        if left > 0:
-            rest = rest if rest.sum() > 0 else expected
-            whole += np.random.default_rng([seed, shard]).multinomial(left, rest / rest.sum())
-        return whole
+        whole = last_whole if shard == shards - 1 else full
+        left = last_size - int(whole.sum()) if shard == shards - 1 else spare
+        if not left:
+            return whole
+        at = permuted(np.arange(left, dtype=np.int64) + shard * spare, int(ends[-1]), f"{seed}/rest")
+        return whole + np.bincount(np.searchsorted(ends, at, "right"), minlength=len(whole))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,10 +176,10 @@ def slots(spark, sizes: dict[str | None, int], goal: dict[str | None, float], se
 
 def pieces(where: DataFrame) -> DataFrame:
     """``where`` with a row per block that a document touches: ``block``, and its words ``begin`` to ``end`` (exclusive)."""
-    first, last = F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")
+    first, last = F.expr("start div width"), F.expr("(start + size - 1) div width")
     out = where.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    begin = F.greatest(F.col("block") * BLOCK - F.col("start"), F.lit(0))
-    return out.withColumn("begin", begin).withColumn("end", F.least((F.col("block") + 1) * BLOCK - F.col("start"), F.col("size")))
+    begin = F.greatest(F.col("block") * F.col("width") - F.col("start"), F.lit(0))
+    return out.withColumn("begin", begin).withColumn("end", F.least((F.col("block") + 1) * F.col("width") - F.col("start"), F.col("size")))
 
 
 def plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], seed: int):

@@ -49,6 +49,39 @@ def test_taken_words(spark, monkeypatch):
     assert again == {i: r["taken"] for i, r in found.items()}
 
 
+def test_small_sources_reach_their_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    small = {f"s{i:02}": (1, 10, 40)[i % 3] for i in range(30)}
+    text = lambda n: " ".join(["w"] * n)
+    rows = [(i, text(n), x) for i, (x, n) in enumerate(small.items())] + [(100 + i, text(200), "web") for i in range(100)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    for r in found:
+        if r["doc_id"] < 100:  # all are below the share of their weight, so three times their size is the target
+            assert r["target"] == 3 * r["size"] and r["taken"] == pytest.approx(r["target"], rel=0.05)
+    assert sum(r["taken"] for r in found) == pytest.approx(20_000 + sum(small.values()), rel=0.01)
+
+
+@pytest.mark.parametrize("sizes", [{"a": 7}, {"a": 1000, "b": 1, None: 10}, {f"s{i}": 1 + i % 5 for i in range(400)}, {"hot": 90_000, "t": 40, "u": 10, "v": 1}])
+def test_slots_add_up(spark, monkeypatch, sizes):
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    goal = mixing.targets(sizes)
+    found = mixing.slots(spark, sizes, goal).groupBy("shard", "source").count().collect()
+    shards, taken = {}, dict.fromkeys(sizes, 0)
+    for r in found:
+        shards[r["shard"]] = shards.get(r["shard"], 0) + r["count"]
+        taken[r["source"]] += r["count"]
+    assert all(n == 64 for shard, n in shards.items() if shard != max(shards)) and sorted(shards) == list(range(len(shards)))
+    for x, size in sizes.items():
+        blocks = -(-size // mixing.width_of(size))
+        assert abs(taken[x] - goal[x] * blocks / size) < 1 + 1e-6 and taken[x] <= mixing.REPEATS * blocks
+
+
+def test_rounded_keeps_sums():
+    share = np.tile([0.5, 1.0, 1.5], 1000)
+    found = mixing.rounded(share, 3)
+    assert (np.abs(found - share) < 1).all() and abs(found.sum() - 3000) < 2 and 400 < found[::3].sum() < 600
+
+
 def test_documents_hold_the_taken_words(spark):
     docs, rows = corpus(spark)
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
