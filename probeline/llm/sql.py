@@ -168,3 +168,86 @@ EMBEDDINGS = """
     SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
     FROM first LEFT JOIN counts USING (vec_id)
     """
+
+def _audit(filters: str = "ABCDE") -> str:
+    # The step that removes a document: the smallest position of a filter it fails.
+    first = f"list_min([p FOR p IN range(1, {len(filters) + 1}) IF contains(mask, filter_order[p])])"
+    letters = f"(SELECT unnest(string_split('{filters}', '')) AS x)"
+    names = [f"l{i}" for i in range(len(filters))]
+    joins = ", ".join(f"{letters} {n}" for n in names)
+    unlike = " AND ".join(f"{a}.x <> {b}.x" for i, a in enumerate(names) for b in names[i + 1 :])
+    return f"""
+    WITH texts AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             list_filter(string_split_regex(coalesce(text, ''), '{_BREAK}'), lambda w: w <> '') AS w FROM documents
+    ), marks AS (
+      SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+    ), masks AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS mask
+      FROM texts LEFT JOIN marks USING (doc_id)
+    ), cells AS (
+      SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask
+    ), orders AS (
+      SELECT concat({", ".join(f"{n}.x" for n in names)}) AS filter_order FROM {joins} WHERE {unlike}
+    ), placed AS (
+      SELECT part, mask, n, good, toxic, filter_order, coalesce({first}, 99) AS gone FROM cells, orders
+    ), steps AS (
+      SELECT part, filter_order, CAST(step AS INT) AS step, filter_order[step] AS letter,
+             CAST(sum(n) FILTER (gone > step) AS BIGINT) AS kept, CAST(sum(n) FILTER (gone = step) AS BIGINT) AS removed,
+             CAST(sum(n) FILTER (gone < step AND contains(mask, filter_order[step])) AS BIGINT) AS redundant,
+             CAST(sum(n) FILTER (mask = filter_order[step]) AS BIGINT) AS unique_fails,
+             CAST(sum(good) FILTER (gone = step) AS BIGINT) AS good_lost, CAST(sum(toxic) FILTER (gone = step) AS BIGINT) AS toxic_lost
+      FROM placed, (SELECT unnest(range(1, {len(filters) + 1})) AS step) GROUP BY ALL
+    )
+    SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed, coalesce(redundant, 0) AS redundant,
+           coalesce(unique_fails, 0) AS unique_fails, coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+           CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley
+    FROM steps
+    """
+
+
+AUDIT = _audit()
+
+
+def _phrases(support: int = 30, top: int = 2000, scale: int = 2_000_000) -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT lang, list_slice(w, i, i + {n - 1}) AS p FROM (SELECT lang, w, unnest(range(1, len(w) - {n - 2})) AS i FROM words WHERE len(w) >= {n})"
+        for n in range(1, 5)
+    )
+    return f"""
+    WITH pieces AS (
+      SELECT coalesce(lang, 'und') AS lang,
+             unnest(string_split_regex(translate(text, '{urls.UPPER}', '{urls.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+    ), words AS MATERIALIZED (
+      SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+    ), sizes AS (
+      SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang
+    ), grams AS ({grams}
+    ), freq AS MATERIALIZED (
+      SELECT lang, p, count(*) AS f FROM grams GROUP BY lang, p HAVING count(*) >= {support}
+    ), cuts AS (
+      SELECT lang, p, f, k, list_slice(p, 1, k) AS one, list_slice(p, k + 1, len(p)) AS two
+      FROM (SELECT lang, p, f, unnest(range(1, len(p))) AS k FROM freq WHERE len(p) > 1)
+    ), scored AS (
+      SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, CAST({scale} * CAST(c.f AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score
+      FROM cuts c JOIN freq x ON x.lang = c.lang AND x.p = one JOIN freq y ON y.lang = c.lang AND y.p = two
+    ), worst AS (
+      SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+    ), inside AS (
+      SELECT lang, list_slice(p, i, i + n - 1) AS p, max(f) AS longest FROM (
+        SELECT lang, p, f, i, unnest(range(2, len(p))) AS n FROM (SELECT lang, p, f, unnest(range(1, len(p))) AS i FROM freq WHERE len(p) > 2))
+      WHERE i + n - 1 <= len(p) GROUP BY ALL
+    ), left_over AS (
+      SELECT w.*, array_to_string(w.p, ' ') AS phrase FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.p = w.p
+      WHERE longest IS NULL OR 100 * CAST(longest AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score
+    FROM left_over JOIN sizes USING (lang) QUALIFY rank <= {top}
+    """
+
+
+PHRASES = _phrases()
