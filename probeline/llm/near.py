@@ -408,18 +408,25 @@ def _exact(pairs: DataFrame, docs: DataFrame, marked: DataFrame, id_col: str, te
     return verified(pairs, sets_of(docs, wanted, marked, id_col, text_col, k), percent)
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Per row id, ``n`` and ``_c``, the class that stands for its component (null for an empty set); and ``(_c, _first)``, the
+    smallest id of each component."""
+    marked = written(classes(docs, id_col, text_col, k), "classes")
+    place = components(links(docs, marked, id_col, text_col, percent, k))
+    placed = marked.drop("sketch").join(place.withColumnRenamed("node", "cls"), "cls", "left")
+    placed = placed.withColumn("_c", F.coalesce("component", "cls")).drop("component")
+    return placed, placed.filter("_c is not null").groupBy("_c").agg(F.min(id_col).alias("_first"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
     """One row per input row: the id, ``n_shingles`` and ``component_id``.
 
     Words are runs without white space, ``A-Z`` in lower case. A text of fewer than ``k`` words is one shingle; a null
     text or one without words has none and is its own component. Rows with equal sets are linked. ``component_id`` is
     the smallest id that links reach; null ids do not count unless there are no others. An empty table stays empty.
+    Texts are read whole, in blocks, however long; columns other than the two are not read.
     """
-    marked = written(classes(docs, id_col, text_col, k), "classes")
-    place = components(links(docs, marked, id_col, text_col, percent, k))
-    placed = marked.drop("sketch").join(place.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = placed.withColumn("_c", F.coalesce("component", "cls")).drop("component", "cls")
-    smallest = placed.filter("_c is not null").groupBy("_c").agg(F.min(id_col).alias("_first"))
+    placed, smallest = _placed(docs, id_col, text_col, percent, k)
     return placed.join(smallest, "_c", "left").select(
         id_col, F.col("n").alias("n_shingles"), F.when(F.col("_c").isNull(), F.col(id_col)).otherwise(F.col("_first")).alias("component_id")
     )
@@ -428,11 +435,44 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
     """``docs`` with one document of each group: that with the group's smallest id.
 
-    Rows that repeat an id and a text count once. A document without an id cannot be named and so is kept.
+    An id may stand on several rows, with one text or others: a row goes by its own text, never by its namesake's. Rows
+    without an id belong to groups like others; a group without any id keeps one row. Rows without words are no copies of
+    others, and those that repeat an id and a text count once. Of several rows that could stand for a group the one whose
+    text is first in order stays. An empty table stays empty; further columns of any name and kind pass through.
     """
-    found = groups(docs, id_col, text_col, percent, k).filter(F.col(id_col) == F.col("component_id"))
-    kept = found.groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_rows"))
-    named = docs.join(kept, F.col(id_col) == F.col("_id"))
-    once = named.filter("_rows = 1").select(*docs.columns)
-    again = named.filter("_rows > 1").select(*docs.columns).dropDuplicates([id_col, text_col])
-    return once.union(again).union(docs.filter(F.col(id_col).isNull()))
+    placed, _ = _placed(docs, id_col, text_col, percent, k)
+    placed = placed.select(F.col(id_col).alias("id"), "cls", "_c")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "cls"))
+    chosen = placed.filter("_c is not null").groupBy("_c").agg(best.alias("best")).select("best.id", "best.cls")
+    wordless = placed.filter("_c is null and id is not null").select("id", "cls").distinct()
+    many = written(placed.filter("id is not null").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1").select("id"), "namesakes")
+    listed = _listed(many)
+    chosen = written(chosen.union(wordless), "chosen")
+    once = chosen.filter("id is not null").join(listed, "id", "left_anti").select("id").distinct()
+    plain = docs.join(_listed(written(once, "once")).withColumnRenamed("id", "_near_id"), F.col(id_col) == F.col("_near_id"), "left_semi")
+    rest = docs.join(listed.withColumnRenamed("id", "_near_id"), F.col(id_col) == F.col("_near_id"), "left_semi").union(docs.filter(F.col(id_col).isNull()))
+    rest = written(_with_class(rest, id_col, text_col, k), "repeated")
+    empty = rest.filter("cls is null").groupBy("id", "text").agg(F.any_value("row").alias("row"))
+    worded = rest.filter("cls is not null").groupBy("id", "cls").agg(F.min_by("row", "text").alias("row"))
+    stay = chosen.filter("cls is not null").withColumnsRenamed({"id": "_id", "cls": "_cls"})
+    worded = worded.join(stay, (F.col("cls") == F.col("_cls")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    return plain.union(empty.select("row.*")).union(worded.select("row.*"))
+
+
+def _listed(ids: DataFrame) -> DataFrame:
+    """``ids``, to be broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= LISTED else ids
+
+
+def _with_class(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """``(id, text, cls, row)``: id, text and set id of each row, and all of it as a struct."""
+    row = F.struct(*docs.columns).alias("row")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), row)
+    kind = T.StructType([*base.schema, T.StructField("cls", T.LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_id(x) if len(x) else None for _, x in text_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], kind.names)
+
+    return base.mapInArrow(work, kind).select("id", "text", "cls", "row")

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from probeline.llm import near
+from probeline.llm.components import components
 from probeline.llm import textbytes as tb
 
 
@@ -126,7 +127,7 @@ def test_empty_null_and_repeated_rows(spark):
     assert found == [(False, 4, 2, 4), (False, 4, 2, 4), (False, 9, 1, 9)]
     kept = near.distinct_documents(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == [(-1, "A b c d e f"), (-1, "z"), (4, "a b c d e f"), (9, "z")]
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == [(4, "a b c d e f"), (9, "z")]
 
 
 def test_very_long_text(spark):
@@ -134,3 +135,45 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short one")], "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in near.groups(docs).collect()}
     assert found == {1: 1, 2: 1, 3: 3}
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    one = " ".join(f"a{i}" for i in range(40))
+    rows = [
+        (0, one, 1), (1, one + " more", 2), (1, "something else altogether here now", 3),  # an id on a copy and on another text
+        (2, "x1 x2 x3 x4 x5 x6", 4), (2, "X1 x2 x3  x4 x5 x6", 5), (2, "y1 y2 y3 y4 y5 y6", 6), (3, "y1 y2 y3 y4 y5 y6", 7),
+        (None, "x1 x2 x3 x4 x5 x6", 8), (None, "lone words without an id", 9), (None, "lone words without an id", 10),
+        (5, "", 11), (5, "", 12), (5, " ", 13), (6, None, 14), (None, None, 15), (None, None, 16), (7, "", 17),
+    ]
+    docs = spark.createDataFrame([(*r, [r[2]], 0) for r in rows], "doc_id long, text string, cls int, row array<int>, _c int")
+    got = near.distinct_documents(docs)
+    assert got.columns == docs.columns
+    found = sorted(((r["doc_id"], r["text"], r["cls"]) for r in got.collect()), key=lambda r: r[2])
+    kept = [r[2] for r in found]
+    assert 1 in kept and 2 not in kept and 3 in kept
+    assert sum(x in kept for x in (4, 5, 8)) == 1 and 6 in kept and 7 not in kept
+    assert sum(x in kept for x in (9, 10)) == 1
+    assert sum(x in kept for x in (11, 12)) == 1 and {13, 14, 17} <= set(kept) and sum(x in kept for x in (15, 16)) == 1
+    assert len(kept) == 10
+
+
+def test_components_in_rounds_and_in_one_task(spark):
+    rng = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2))] + [(i, i + 1) for i in range(1000, 1200)] + [(-5, i) for i in range(2000, 2100)]
+    edges += [(None, 3), (4, None), (7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    up = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+    wanted = {x: top(x) for x in up}
+    for small in (0, 40, 1 << 18):
+        assert {r["node"]: r["component"] for r in components(df, small=small).collect()} == wanted
+    assert components(df.limit(0)).count() == 0
