@@ -12,6 +12,8 @@ from probeline.session import scratch_path
 from probeline.sources.trees import read_monthly
 from probeline.streaming import streams
 
+KEEP = 1e8  # the tables hold users that are silent for long and are not to be watched anew
+
 
 def _replay(spark, rows, run, parts: int = 3, fmt: str = "parquet"):
     """Write the rows part by part in time order and run the stream over each; ``run(stream, checkpoint)`` starts it."""
@@ -54,7 +56,7 @@ def stream_watchdog(spark, sf):
     """ST4 with a hard limit beyond the data, so that the streaks decide."""
     folder = scratch_path(spark, "watchdog")
     rows = views.polls(spark, sf).select("event_id", "ts", "node", "state")
-    _replay(spark, rows, lambda s, c: streams.stream_watchdog(s, ["node"], ["ts", "event_id"], folder, c, busy=3, limit_s=1e8))
+    _replay(spark, rows, lambda s, c: streams.stream_watchdog(s, ["node"], ["ts", "event_id"], folder, c, busy=3, limit_s=1e8, keep_s=KEEP))
     found = streams.read_output(spark, folder)
     return found.select("node", F.unix_micros("ts").alias("at_us"), "reason")
 
@@ -70,7 +72,7 @@ def stream_watchdog_limit(spark, sf):
     """ST4: every poll is ready, so only the eight hours can end a user; silent users end as well."""
     folder = scratch_path(spark, "watchdog")
     rows = table(spark, sf, "events").select("event_id", "ts", "user_id").withColumn("state", F.lit("ready"))
-    _replay(spark, rows, lambda s, c: streams.stream_watchdog(s, ["user_id"], ["ts", "event_id"], folder, c))
+    _replay(spark, rows, lambda s, c: streams.stream_watchdog(s, ["user_id"], ["ts", "event_id"], folder, c, keep_s=KEEP))
     return streams.read_output(spark, folder).select("user_id", "reason")
 
 
@@ -88,7 +90,7 @@ def stream_stability(spark, sf):
     """ST5 with a deadline beyond the data."""
     folder = scratch_path(spark, "stability")
     rows = views.count_polls(spark, sf)
-    _replay(spark, rows, lambda s, c: streams.stream_stability(s, ["node"], ["ts", "event_id"], 4, folder, c, deadline_s=1e8))
+    _replay(spark, rows, lambda s, c: streams.stream_stability(s, ["node"], ["ts", "event_id"], 4, folder, c, deadline_s=1e8, keep_s=KEEP))
     found = streams.read_output(spark, folder)
     return found.select("node", F.unix_micros("ts").alias("at_us"), "count", "outcome")
 
@@ -105,7 +107,7 @@ def stream_stability_deadline(spark, sf):
     """ST5: counts that never repeat; after a day the last one is taken."""
     folder = scratch_path(spark, "stability")
     rows = table(spark, sf, "events").select("event_id", "ts", "user_id", F.col("event_id").alias("count"))
-    run = lambda s, c: streams.stream_stability(s, ["user_id"], ["ts", "event_id"], 10**12, folder, c, deadline_s=86400)
+    run = lambda s, c: streams.stream_stability(s, ["user_id"], ["ts", "event_id"], 10**12, folder, c, deadline_s=86400, keep_s=KEEP)
     _replay(spark, rows, run)
     return streams.read_output(spark, folder).select("user_id", "count", "outcome")
 

@@ -1,17 +1,13 @@
 """Streaming forms of the telemetry and ledger operators (ST1–ST7).
 
-Windows and de-duplication use the built-in streaming operators. Ordered logic (deltas, streaks, stability) runs per
-micro-batch with the batch operators, so a hot key is spread over tasks there as well; what a key carries from one
-micro-batch to the next is one small row in a state table.
-
-A micro-batch can be replayed after a failure. Outputs are written to a folder named by the batch id, state to two
-slots in turn (batch N reads the slot of N−1 and writes its own), so a replay overwrites the same folders with the
-same rows.
+Windows and de-duplication use the built-in streaming operators. Deltas, watchdog and stability keep state per key with
+timers (``keyed``). The ledger appends one folder per micro-batch, named by its id, so a replay after a failure overwrites
+the same folder with the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +15,16 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from probeline.functions.units import cpu_cores, mem_mib
 from probeline.operators.ledger import TERMINAL, latest_by_key
-from probeline.operators.streaks import (
-    BUSY_LIMIT, HARD_LIMIT_S, RED_LIMIT, STABLE_DEADLINE_S, STABLE_FOR, health_streaks, poll_kind,
-)
-from probeline.operators.telemetry import counter_delta, flatten_node_stats
-from probeline.operators.timeline import Timeline
+from probeline.operators.streaks import BUSY_LIMIT, HARD_LIMIT_S, RED_LIMIT, STABLE_DEADLINE_S, STABLE_FOR, poll_kind
+from probeline.operators.telemetry import flatten_node_stats
 from probeline.sources.trees import by_month
+from probeline.streaming import keyed
 
 SAMPLE_INTERVAL = "10 seconds"
+NO_DELAY = "0 seconds"
+KEEP_S = 7 * 86400  # silence after which an ended key is forgotten
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def start(writer: DataStreamWriter, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -63,145 +61,56 @@ def windowed_usage(samples: DataFrame, interval: str = SAMPLE_INTERVAL, delay: s
     return summary.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *[c for c in summary.columns if c != "window"])
 
 
-def _carried(
-    stream: DataFrame, folder: str, checkpoint: str, work: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]],
-    every: str | None,
-) -> StreamingQuery:
-    """Run ``work(batch, state) -> (output, new state)`` per micro-batch with state and output below ``folder``."""
-    spark = stream.sparkSession
-    folder = folder.rstrip("/")
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            state = spark.read.parquet(f"{folder}/state/slot={(batch_id - 1) % 2}") if batch_id > 0 else None
-            output, fresh = work(batch, state)
-            output.write.mode("overwrite").parquet(f"{folder}/output/batch={batch_id}")
-            fresh.write.mode("overwrite").parquet(f"{folder}/state/slot={batch_id % 2}")
-        finally:
-            batch.unpersist()
-
-    return start(stream.writeStream.foreachBatch(step), checkpoint, every)
+def _start_keyed(found: DataFrame, folder: str, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Start a stream with keyed state; its rows go below ``folder``. The state store is set for this query alone."""
+    conf = found.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKS)
+    try:
+        return start(found.writeStream.format("parquet").option("path", f"{folder.rstrip('/')}/output").outputMode("append"), checkpoint, every)
+    finally:
+        conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
 
 
 def read_output(spark: SparkSession, folder: str) -> DataFrame:
-    """All rows that a carried stream has put out so far."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/output").drop("batch")
-
-
-def _merge_state(old: DataFrame | None, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Fresh rows, and old ones of keys that had no data."""
-    if old is None:
-        return fresh
-    return fresh.unionByName(old.join(fresh.select(*keys), list(keys), "left_anti"))
+    """All rows that a keyed stream has put out so far, each once."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/output")
 
 
 def stream_counter_delta(
     samples: DataFrame, keys: Sequence[str], order: Sequence[str], counters: Sequence[str], folder: str, checkpoint: str,
-    every: str | None = None,
+    every: str | None = None, ttl_s: float | None = None,
 ) -> StreamingQuery:
-    """ST3: W1 over a stream; the state is the last counters per key. Samples arrive in order, batch by batch."""
-    def work(batch, state):
-        deltas = counter_delta(batch, keys, order, counters, last=state)
-        tails = batch.groupBy(*keys).agg(F.max_by(F.struct(*counters), F.struct(*order)).alias("_t"))
-        return deltas, _merge_state(state, tails.select(*keys, "_t.*"), keys)
-
-    return _carried(samples, folder, checkpoint, work, every)
+    """ST3: W1 over a stream; the state is the last counters per key, forgotten after ``ttl_s`` without a row."""
+    return _start_keyed(keyed.deltas(samples, keys, order, counters, ttl_s), folder, checkpoint, every)
 
 
 def stream_watchdog(
     polls: DataFrame, keys: Sequence[str], order: Sequence[str], folder: str, checkpoint: str, red: int = RED_LIMIT,
-    busy: int = BUSY_LIMIT, limit_s: float = HARD_LIMIT_S, every: str | None = None,
+    busy: int = BUSY_LIMIT, limit_s: float = HARD_LIMIT_S, every: str | None = None, delay: str = NO_DELAY, keep_s: float = KEEP_S,
 ) -> StreamingQuery:
-    """ST4: one row per key when W9 acts or the hard limit since the first poll is over; ``order[0]`` is the poll time.
+    """ST4: one row per key when W9 acts or the hard limit since its first poll is over; ``order[0]`` is the poll time.
 
-    The limit is checked against the poll times of all keys, so a key that has gone silent is ended as well.
+    The limit is a timer on the poll times of all keys, so a key that has gone silent is ended as well. Polls more than
+    ``delay`` behind the latest one of all keys are late.
     """
-    limit = int(limit_s * 1e6)
-
-    def work(batch, state):
-        at = F.unix_micros(F.col(order[0]).cast("timestamp"))
-        streaks = health_streaks(batch, keys, order, red=red, busy=busy, initial=state)
-        streaks = streaks.withColumn("_at", at)
-        began = batch.groupBy(*keys).agg(F.min(at).alias("_t0"))
-        if state is not None:
-            known = state.select(*keys, F.col("t0").alias("_s0"), F.col("done").alias("_done"))
-            began = began.join(known, list(keys), "full_outer").withColumn("_t0", F.coalesce("_s0", "_t0"))
-        else:
-            began = began.withColumn("_done", F.lit(False))
-        began = began.select(*keys, "_t0", F.coalesce("_done", F.lit(False)).alias("_done"))
-        rows = streaks.join(began, list(keys)).filter(~F.col("_done"))
-        late = F.col("_at") - F.col("_t0") >= limit
-        reason = F.when(late, "limit").when(F.col("busy_streak") > 0, "busy").otherwise("red")
-        hit = F.struct("_at", reason.alias("reason"))
-        first = rows.filter(F.col("kill") | late).groupBy(*keys).agg(F.min_by(hit, F.struct(*order)).alias("_h"))
-        clock = batch.agg(F.max(at)).scalar()
-        overdue = began.filter(~F.col("_done")).withColumn("_clock", clock)
-        overdue = overdue.filter(F.col("_clock") - F.col("_t0") >= limit).join(first.select(*keys), list(keys), "left_anti")
-        acted = first.select(*keys, F.timestamp_micros("_h._at").alias("ts"), F.col("_h.reason").alias("reason")).unionByName(
-            overdue.select(*keys, F.timestamp_micros("_clock").alias("ts"), F.lit("limit").alias("reason"))
-        )
-        runs = Timeline(batch.withColumn("kind", poll_kind(F.col("state"))), keys, order).run_positions("kind", "run", state).result()
-        tails = runs.groupBy(*keys).agg(F.max_by(F.struct("kind", "run"), F.struct(*order)).alias("_t")).select(*keys, "_t.*")
-        ended = acted.select(*keys, F.lit(True).alias("_acted"))
-        fresh = began.join(tails, list(keys), "left").join(ended, list(keys), "left")
-        if state is not None:
-            old = state.select(*keys, F.col("kind").alias("_k"), F.col("run").alias("_r"))
-            fresh = fresh.join(old, list(keys), "left")
-        else:
-            fresh = fresh.withColumn("_k", F.lit(None).cast("string")).withColumn("_r", F.lit(None).cast("bigint"))
-        return acted, fresh.select(
-            *keys, F.coalesce("kind", "_k").alias("kind"), F.coalesce("run", "_r").alias("run"),
-            F.col("_t0").alias("t0"), (F.col("_done") | F.col("_acted").isNotNull()).alias("done"),
-        )
-
-    return _carried(polls, folder, checkpoint, work, every)
+    worker = keyed.Watchdog(keys, len(order), int(limit_s * keyed.MICROS), keep_s, red, busy)
+    found = keyed.endings(polls, keys, order, poll_kind(F.col("state")).alias("_kind"), worker, "reason string", delay)
+    return _start_keyed(found, folder, checkpoint, every)
 
 
 def stream_stability(
     polls: DataFrame, keys: Sequence[str], order: Sequence[str], expected: int, folder: str, checkpoint: str,
-    stable_for: int = STABLE_FOR, deadline_s: float = STABLE_DEADLINE_S, every: str | None = None,
+    stable_for: int = STABLE_FOR, deadline_s: float = STABLE_DEADLINE_S, every: str | None = None, delay: str = NO_DELAY,
+    keep_s: float = KEEP_S,
 ) -> StreamingQuery:
     """ST5: one row per key when W8 stops: ``reached``, ``stable`` or, past the deadline, ``timed out`` with the last count.
 
-    As in ST4 the deadline runs on the poll times of all keys.
+    As in ST4 the deadline is a timer on the poll times of all keys.
     """
-    limit = int(deadline_s * 1e6)
-
-    def work(batch, state):
-        at = F.unix_micros(F.col(order[0]).cast("timestamp"))
-        began = batch.groupBy(*keys).agg(F.min(at).alias("_t0"))
-        if state is not None:
-            known = state.select(*keys, F.col("t0").alias("_s0"), F.col("done").alias("_done"), F.col("count").alias("_c"), F.col("run").alias("_r"))
-            began = began.join(known, list(keys), "full_outer").withColumn("_t0", F.coalesce("_s0", "_t0"))
-        else:
-            began = began.withColumn("_done", F.lit(False)).withColumn("_c", F.lit(None).cast("bigint")).withColumn("_r", F.lit(None).cast("bigint"))
-        began = began.select(*keys, "_t0", F.coalesce("_done", F.lit(False)).alias("_done"), "_c", "_r")
-        opened = None if state is None else state.filter(F.col("count").isNotNull()).select(*keys, "count", "run")
-        due = batch.join(began.select(*keys, "_t0"), list(keys)).filter((at < F.col("_t0") + limit) & F.col("count").isNotNull())
-        runs = Timeline(due.drop("_t0"), keys, order).run_positions("count", "run", opened).result()
-        reached = F.col("count") >= expected
-        stop = F.struct(at.alias("at"), "count", F.when(reached, "reached").otherwise("stable").alias("outcome"))
-        place = F.struct(*order)
-        per_key = runs.groupBy(*keys).agg(
-            F.min_by(F.when(reached | (F.col("run") > stable_for), stop), F.when(reached | (F.col("run") > stable_for), place)).alias("_h"),
-            F.max_by(F.struct("count", "run"), place).alias("_t"),
-        )
-        clock = batch.agg(F.max(at)).scalar()
-        rows = began.join(per_key, list(keys), "left").withColumn("_clock", clock)
-        rows = rows.withColumn("_count", F.coalesce(F.col("_t.count"), F.col("_c"))).withColumn("_run", F.coalesce(F.col("_t.run"), F.col("_r")))
-        over = F.col("_clock") >= F.col("_t0") + limit
-        timed_out = F.struct((F.col("_t0") + limit).alias("at"), F.col("_count").alias("count"), F.lit("timed out").alias("outcome"))
-        rows = rows.withColumn("_end", F.when(F.col("_h").isNotNull(), F.col("_h")).when(over, timed_out))
-        acted = rows.filter(~F.col("_done") & F.col("_end").isNotNull()).select(
-            *keys, F.timestamp_micros("_end.at").alias("ts"), F.col("_end.count").alias("count"), F.col("_end.outcome").alias("outcome")
-        )
-        return acted, rows.select(
-            *keys, F.col("_count").alias("count"), F.col("_run").alias("run"), F.col("_t0").alias("t0"),
-            (F.col("_done") | F.col("_end").isNotNull()).alias("done"),
-        )
-
-    return _carried(polls, folder, checkpoint, work, every)
+    worker = keyed.Stability(keys, len(order), int(deadline_s * keyed.MICROS), keep_s, expected, stable_for)
+    found = keyed.endings(polls, keys, order, F.col("count").cast("bigint").alias("_count"), worker, "count bigint, outcome string", delay)
+    return _start_keyed(found, folder, checkpoint, every)
 
 
 def stream_newly_terminal(events: DataFrame, keys: Sequence[str] = ("run_id", "step")) -> DataFrame:

@@ -74,7 +74,7 @@ if __name__ == "__main__":
         try:
             problem, count = compare(spark, con, qs[n], sqls.get(n), sf_dir)
         except Exception as e:  # report and go on
-            problem, count = f"{type(e).__name__}: {str(e)[:1500]}", 0
+            problem, count = f"{type(e).__name__}: {str(e)[:int(os.environ.get("SHOWN", "1500"))]}", 0
         state = "FAIL" if problem else ("rows" if n not in sqls else "ok")
         bad += bool(problem)
         print(f"{state:5}{n:28}{count:8}{time.time() - t:7.1f}s {problem or ''}", flush=True)
