@@ -100,7 +100,7 @@ def _urls() -> str:
     rounds = "".join(
         f"""
     s{i + 1} AS MATERIALIZED (
-      SELECT kind, host, CAST(sum(score) AS BIGINT) AS score FROM (
+      SELECT kind, host, CAST(sum(score) AS HUGEINT) AS score FROM (
         SELECT l.kind, l.dst AS host, s.score * {urls.DAMPING} // 100 // l.degree AS score
         FROM s{i} s JOIN links l ON s.kind = l.kind AND s.host = l.src
         UNION ALL SELECT kind, host, score * {100 - urls.DAMPING} // 100 FROM s0) GROUP BY kind, host
@@ -134,7 +134,7 @@ def _urls() -> str:
     ), seeds AS (
       SELECT fit.verdict AS kind, host, count(*) AS weight FROM ruled WHERE fit IS NOT NULL GROUP BY ALL
     ), s0 AS MATERIALIZED (
-      SELECT kind, host, CAST(CAST(weight AS HUGEINT) * {urls.MASS} // sum(weight) OVER (PARTITION BY kind) AS BIGINT) AS score FROM seeds
+      SELECT kind, host, CAST(CAST(weight AS HUGEINT) * CAST('{urls.MASS}' AS HUGEINT) // sum(weight) OVER (PARTITION BY kind) AS HUGEINT) AS score FROM seeds
     ),{rounds}
     scores AS (
       SELECT host, coalesce(sum(score) FILTER (kind = 'allow'), 0) AS trust, coalesce(sum(score) FILTER (kind = 'block'), 0) AS distrust
@@ -142,7 +142,7 @@ def _urls() -> str:
     )
     SELECT page_id, host, path, fit.rule AS rule,
            coalesce(fit.verdict, CASE WHEN distrust > 0 AND distrust >= trust THEN 'block' ELSE 'allow' END) AS verdict,
-           CAST(coalesce(trust, 0) AS BIGINT) AS trust, CAST(coalesce(distrust, 0) AS BIGINT) AS distrust
+           CAST(coalesce(trust, 0) // {urls.TOLD} AS BIGINT) AS trust, CAST(coalesce(distrust, 0) // {urls.TOLD} AS BIGINT) AS distrust
     FROM ruled LEFT JOIN scores USING (host)
     """
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from probeline.llm.tables import LOWER, UPPER, cut, text_of
 
-MASS = 10**15
+MASS = 10**24  # of each kind's score, shared out in whole numbers
+TOLD = 10**9  # parts of the mass that one unit of the returned scores stands for
 DAMPING = 85  # hundredths
-ROUNDS = 12
+ROUNDS = 12  # at least; more as long as they reach new hosts
 #: (verdict, rule): a rule is a host, which stands for its subdomains too, and a path that begins with a slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -56,25 +57,38 @@ def host_edges(pages: DataFrame, host_col: str = "host", html_col: str = "html")
 
 
 def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``(kind, host, score)`` after ``rounds`` of propagation.
+    """``(kind, host, score)`` after ``rounds`` of propagation, and more until a round reaches no new host.
 
     ``seeds`` has ``kind, host, weight`` (longs); per kind the weights are shared out of ``MASS``. ``edges`` has
-    ``kind, src, dst``. What reaches a host without onward edges stays there. Empty seeds give an empty result.
+    ``kind, src, dst``. What reaches a host without onward edges stays there. Empty seeds give an empty result. Scores are
+    decimals of 38 digits; a share below one part in ``MASS`` of them is lost.
     """
     degree = edges.groupBy("kind", "src").agg(F.count("*").alias("degree"))
     links = cut(edges.join(degree, ["kind", "src"]))
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = seeds.join(F.broadcast(total), "kind")  # as many rows as there are kinds
-    start = cut(start.select("kind", "host", F.expr(f"cast(cast(weight as decimal(38,0)) * {MASS} div total as bigint)").alias("seed")))
+    start = cut(start.select("kind", "host", whole(F.col("weight").cast("decimal(12,0)") * F.lit(str(MASS)).cast("decimal(25,0)"), F.col("total")).alias("seed")))
     score = start.withColumnRenamed("seed", "score")
-    back = start.select("kind", "host", F.expr(f"seed * {100 - DAMPING} div 100").alias("score"))
-    for turn in range(rounds):
-        part = F.expr(f"score * {DAMPING} div 100 div degree").alias("score")
+    back = start.select("kind", "host", whole(F.col("seed") * (100 - DAMPING), 100).alias("score"))
+    turn, reached = 0, -1
+    while True:
+        part = whole(whole(F.col("score") * DAMPING, 100), F.col("degree")).alias("score")
         sent = score.withColumnRenamed("host", "src").join(links, ["kind", "src"]).select("kind", F.col("dst").alias("host"), part)
-        score = sent.union(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if turn % 4 == 3:
+        score = sent.union(back).groupBy("kind", "host").agg(F.sum("score").cast("decimal(38,0)").alias("score"))
+        turn += 1
+        if turn % 4 == 0 or turn >= rounds - 1:
             score = cut(score)
-    return score
+        if turn >= rounds - 1:
+            now = score.filter("score > 0").count()
+            if turn >= rounds and now == reached:
+                return score
+            reached = now
+
+
+def whole(x: Column, divisor: Column | int) -> Column:
+    """``x`` divided and rounded down, exactly; ``div`` would give 64 bits."""
+    x, by = x.cast("decimal(38,0)"), (divisor if isinstance(divisor, Column) else F.lit(divisor)).cast("decimal(20,0)")
+    return ((x - x % by) / by).cast("decimal(38,0)")
 
 
 def judge(
@@ -85,6 +99,7 @@ def judge(
 
     A page that no rule fits has its host's verdict; a host that neither score reaches is allowed, an empty host too.
     Seeds weigh as many pages as their rules fit, so repeated rows count again. An empty table gives an empty result.
+    A page is read once for its links, however long; columns of other names are not read.
     """
     host, path = host_and_path(F.col(url_col).cast("string"))
     placed = pages.select(id_col, host.alias("host"), path.alias("path"), F.col(html_col).alias("_html"))
@@ -93,7 +108,7 @@ def judge(
     edges = host_edges(placed, "host", "_html")
     edges = edges.select(F.lit("allow").alias("kind"), "src", "dst").union(edges.select(F.lit("block"), "dst", "src"))
     score = spread(edges, seeds, rounds).groupBy(F.col("host").alias("_host")).agg(
-        *[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0)).alias(name)
+        *[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0)).cast("decimal(38,0)").alias(name)
           for kind, name in (("allow", "trust"), ("block", "distrust"))]
     )
     out = ruled.drop("_html").join(score, F.col("host") == F.col("_host"), "left")
@@ -101,5 +116,5 @@ def judge(
     method = F.when((distrust > 0) & (distrust >= trust), "block").otherwise("allow")
     return out.select(
         id_col, "host", "path", F.col("_fit.rule").alias("rule"), F.coalesce("_fit.verdict", method).alias("verdict"),
-        trust.alias("trust"), distrust.alias("distrust"),
+        *[whole(score, TOLD).cast("long").alias(name) for name, score in (("trust", trust), ("distrust", distrust))],
     )

@@ -42,3 +42,24 @@ def test_empty_and_repeated_rows(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     rows = [("http://a.org/fr/x", ""), ("http://a.org/fr/x", ""), ("http://a.org/x", "")]
     assert [r["verdict"] for r in urls.judge(pages(spark, rows)).collect()] == ["allow"] * 3
+
+
+def test_scores_go_as_far_as_links_do(spark):
+    """A chain of hosts that ends at a blocked one, and a hub of many links before it."""
+    chain = [f"c{i}.test" for i in range(30)] + ["end.net"]
+    edges = [("block", b, a) for a, b in zip(chain, chain[1:])]
+    edges += [("block", "end.net", "hub.test")] + [("block", "hub.test", f"leaf{i}.test") for i in range(200)] + [("block", "leaf7.test", "far.test")]
+    seeds = spark.createDataFrame([("block", "end.net", 3)], "kind string, host string, weight long")
+    found = {r["host"]: int(r["score"]) for r in urls.spread(spark.createDataFrame(edges, "kind string, src string, dst string"), seeds, 3).collect()}
+    assert all(found[x] > 0 for x in chain) and found["far.test"] > 0
+    share = {}
+    for _, a, _ in edges:
+        share[a] = share.get(a, 0) + 1
+    score = {"end.net": urls.MASS}
+    for _ in range(31):
+        fresh = {"end.net": urls.MASS * 15 // 100}
+        for _, a, b in edges:
+            if a in score:
+                fresh[b] = fresh.get(b, 0) + score[a] * 85 // 100 // share[a]
+        score = fresh
+    assert {h: s for h, s in found.items() if s} == {h: s for h, s in score.items() if s}
