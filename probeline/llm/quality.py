@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probeline.llm.tables import text_of, word_list, written
@@ -30,6 +30,7 @@ CUTOFFS: dict[str, Sequence[int]] = {
     "repeats": (1, 20, 50, 100, 200, 300),
     "word_size": (60, 70, 80, 100, 120, 150, 200),
 }
+LISTED = 1 << 16  # strata whose cutoffs are broadcast at most
 WINDOW = 8
 MIN_WORDS = 20
 
@@ -81,18 +82,19 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def proven_cutoffs(
-    good: DataFrame, stratum: str, risk: float, doubt: float, cutoffs: Mapping[str, Sequence[int]] = CUTOFFS, strata: int = 1000
+    good: DataFrame, stratum: str, risk: float, doubt: float, cutoffs: Mapping[str, Sequence[int]] = CUTOFFS
 ) -> DataFrame:
     """One row per stratum: ``stratum`` and a column per rule, the strictest proven cutoff or null.
 
-    ``good`` holds the counts of labelled good documents. Without any, the result is empty. At most ``strata`` strata
-    (those with the most labels) are tested, which bounds the table; in others no rule rejects.
+    ``good`` holds the counts of labelled good documents. Without any, the result is empty. All strata are tested, and all
+    tests count in the correction.
     """
     measured = good.select(F.col(stratum).alias("stratum"), *[F.expr(MEASURES[r]).alias(r) for r in cutoffs])
     above = [F.count_if(F.col(r) > c).alias(f"{r}_{c}") for r in cutoffs for c in cutoffs[r]]
-    counts = measured.groupBy("stratum").agg(F.count("*").alias("n"), *above).orderBy(F.desc("n"), "stratum").limit(strata)
-    tests = F.count("*").over(Window.partitionBy()) * sum(len(x) for x in cutoffs.values())
-    counts = counts.withColumn("level", F.lit(doubt) / tests)
+    counts = measured.groupBy("stratum").agg(F.count("*").alias("n"), *above)
+    counts = written(counts, "strata")
+    tests = max(counts.count(), 1) * sum(len(x) for x in cutoffs.values())
+    counts = counts.withColumn("level", F.lit(doubt) / F.lit(tests))
 
     def proven(rule: str, cutoff: int) -> Column:
         k = F.col(f"{rule}_{cutoff}")
@@ -119,5 +121,7 @@ def judge(
     cutoffs = proven_cutoffs(good, "stratum", risk, doubt)
     limits = cutoffs.select("stratum", *[F.col(r).alias(f"_{r}") for r in MEASURES])
     rejects = F.array_compact(F.array(*[F.when(F.expr(MEASURES[r]) > F.col(f"_{r}"), F.lit(r)) for r in MEASURES]))
-    out = counted.join(F.broadcast(limits), "stratum", "left").withColumn("rules", rejects)
+    limits = written(limits, "cutoffs")
+    limits = F.broadcast(limits) if limits.count() <= LISTED else limits
+    out = counted.join(limits, "stratum", "left").withColumn("rules", rejects)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rules") == 0)).drop("stratum", *[f"_{r}" for r in MEASURES])
