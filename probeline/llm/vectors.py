@@ -40,14 +40,19 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 10, seed: int =
     return centres
 
 
-def visits(vectors: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distances(centres: np.ndarray) -> np.ndarray:
+    """Between unit vectors, by one matrix product."""
+    return np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))
+
+
+def visits(vectors: np.ndarray, centres: np.ndarray, threshold: float, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Own cell of each vector, and all (row, cell) it has to be compared in: its own and smaller ones in reach."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     near = unit @ centres.T
     home = near.argmax(1)
-    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+    apart = distances(centres) if apart is None else apart
     reach = np.sqrt(max(0.0, 1 - threshold**2))
-    inside = near[np.arange(len(unit)), home][:, None] - near <= reach * apart[home] + 1e-9
+    inside = near[np.arange(len(unit)), home][:, None] - near <= reach * apart[home] + 1e-7
     inside &= np.arange(len(centres)) <= home[:, None]
     inside[np.arange(len(unit)), home] = True
     row, cell = np.nonzero(inside)
@@ -77,8 +82,11 @@ def block_links(x: np.ndarray, y: np.ndarray, x_id: np.ndarray, y_id: np.ndarray
 
 
 def _grid(column: pa.Array) -> np.ndarray:
+    """Vectors as rows, each divided by a power of two (exact) so that its largest component is near 1: squares of very
+    large or small components neither overflow nor vanish."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    found = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    return np.ldexp(found, -np.frexp(np.abs(found).max(1, initial=0.0))[1][:, None]) if found.size else found
 
 
 def near_duplicates(
@@ -108,6 +116,7 @@ def near_duplicates(
     centres = spherical_kmeans(_grid(sample.column("v")), min(CELLS, -(-n // cell))) if sample.num_rows else np.ones((1, dim))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = distances(centres)
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 some = batch.slice(begin, 1024)
@@ -116,7 +125,7 @@ def near_duplicates(
                 home = np.zeros(len(fits), np.int64)
                 row, where = other, np.zeros(len(other), np.int64)
                 if len(usual):
-                    home[usual], at, cells = visits(_grid(some.column("v").take(pa.array(usual))), centres, threshold)
+                    home[usual], at, cells = visits(_grid(some.column("v").take(pa.array(usual))), centres, threshold, apart)
                     row, where = np.concatenate([row, usual[at]]), np.concatenate([where, cells])
                 out = some.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(

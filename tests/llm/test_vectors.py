@@ -77,3 +77,11 @@ def test_a_large_group_is_linked_without_its_pairs(spark):
     table = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int, x string")
     found = vectors.near_duplicates(table, block=200).collect()
     assert {(r["n_links"], r["component_id"]) for r in found} == {(1499, 0)}
+
+
+def test_extreme_magnitudes(spark):
+    base = [1.0, 2.0, -3.0, 0.5]
+    rows = [(i, 1, [x * 10.0**e for x in base]) for i, e in enumerate((0, -200, 200, -300, 300, 307))] + [(9, 1, [-x for x in base]), (10, 1, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
+    assert found == {**{i: (5, 0) for i in range(6)}, 9: (0, 9), 10: (0, 10)}
