@@ -30,9 +30,9 @@ UNKNOWN = "und"
 
 
 def letter(point: int) -> int:
-    """The lower-case letter of a code point, a blank for what is no letter or becomes several."""
-    low = chr(point).lower()
-    return ord(low) if len(low) == 1 and low.isalpha() else BLANK
+    """The lower-case letter of a code point (the first if it becomes several), a blank for what is no letter."""
+    low = chr(point).lower()[:1]
+    return ord(low) if chr(point).isalpha() and low.isalpha() else BLANK
 
 
 @cache

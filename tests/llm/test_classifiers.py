@@ -54,12 +54,13 @@ def test_toxic_words_of_a_small_language():
 
 
 def test_known_buckets_by_language_and_label(monkeypatch):
-    texts = [np.array([[1, 2], [-1, -1]])] * 3 + [np.array([[3, 2]])] * 2 + [np.array([[4, 4]])] * 95
+    kinds = np.array([[1, 2], [-1, -1], [3, 2], [4, 4], [5, -1]])
+    texts = [np.array([0, 1])] * 3 + [np.array([2, 2])] * 2 + [np.array([3])] * 95
     groups = [("fr", 1)] * 3 + [("fr", 0)] * 2 + [("en", 0)] * 95
-    assert toxicity.known_buckets(texts, groups).tolist() == [1, 2, 4]
+    assert toxicity.known_buckets(kinds, texts, groups).tolist() == [1, 2, 4]
     monkeypatch.setattr(toxicity, "ROWS", 3)
-    texts, groups = texts + [np.array([[5, -1]])] * 50, groups + [("en", 0)] * 50  # in more texts, in a smaller share
-    assert toxicity.known_buckets(texts, groups).tolist() == [1, 2]
+    texts, groups = texts + [np.array([4])] * 50, groups + [("en", 0)] * 50  # in more texts, in a smaller share
+    assert toxicity.known_buckets(kinds, texts, groups).tolist() == [1, 2]
 
 
 def plain_logit(model, text):
@@ -228,3 +229,7 @@ def test_held_out_language(spark):
     found = QUERIES["op6_language"](spark, sf_dir).collect()
     held = [r["lang_pred"] == langs[r["doc_id"]] for r in found if r["held_out"]]
     assert len(found) == len(langs) and np.mean(held) > 0.98
+
+
+def test_letters_that_become_several():
+    assert language.letter(ord("İ")) == ord("i") and language.letter(ord("1")) == language.BLANK and language.letter(ord("É")) == ord("é")
