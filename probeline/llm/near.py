@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from probeline.llm import textbytes as tb
 from probeline.llm.components import components
-from probeline.llm.tables import partitions, written
+from probeline.llm.tables import partitions, tidy, written
 
 RARE = 16  # a token in at most so many texts is rare
 HEAVY = 1 << 20  # at most so many tokens are told from rare ones by their counts; the bar rises to keep to it
@@ -107,7 +107,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             rest = [pa.array([x[i] for x in sets], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *rest], kind.names)
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(work, kind)
+    return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(work), kind)
 
 
 def frequent(docs: DataFrame, text_col: str, k: int, rare: int = RARE, most: int = HEAVY) -> tuple[np.ndarray, np.ndarray]:
@@ -151,8 +151,8 @@ def frequent(docs: DataFrame, text_col: str, k: int, rare: int = RARE, most: int
             found = (token[keep] + np.uint64(part) * span).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[keep].astype(np.int64))], ["token", "n"])
 
-    runs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(hand_on, "part int, body binary")
-    counted = written(runs.repartition(partitions(docs.sparkSession), "part").mapInArrow(count, "token long, n long"), "frequent")
+    runs = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(hand_on), "part int, body binary")
+    counted = written(runs.repartition(partitions(docs.sparkSession), "part").mapInArrow(tidy(count), "token long, n long"), "frequent")
     steps = counted.groupBy(F.length(F.bin(F.expr(f"(n - 1) div {rare}"))).alias("step")).agg(F.count("*").alias("n")).collect()
     by_step = {r["step"]: r["n"] for r in steps}
     bar, left = 1, sum(by_step.values())
@@ -219,8 +219,8 @@ def signatures(docs: DataFrame, text_col: str, heavy: tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays(columns, list(found))
 
     schema = lambda kinds: ", ".join(f"{x} long" for x in kinds)
-    dealt = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(make, schema(sent)).repartition(tasks, "sig", "salt")
-    rows = written(dealt.mapInArrow(gather, schema(found)), "signatures")
+    dealt = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(make), schema(sent)).repartition(tasks, "sig", "salt")
+    rows = written(dealt.mapInArrow(tidy(gather), schema(found)), "signatures")
     often = rows.filter("first is null").select("sig", "cls", "n")
     same = often.groupBy("sig").agg(
         F.min("cls").alias("first"), F.expr("min_by(n, cls)").alias("first_n"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("members"))
@@ -271,7 +271,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, marked: DataFrame, id_col: str,
         for name, tokens in _distinct_sets(batches, 0, k):
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([tokens.tobytes()], pa.binary())], ["cls", "body"])
 
-    return written(texts.mapInArrow(work, "cls long, body binary").dropDuplicates(["cls"]), "sets")
+    return written(texts.mapInArrow(tidy(work), "cls long, body binary").dropDuplicates(["cls"]), "sets")
 
 
 def _allowed(n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -294,7 +294,7 @@ def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 keep.append(int(np.bitwise_count(x ^ y).sum()) <= limit)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(work, "a long, b long")
+    return pairs.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(tidy(work), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -311,7 +311,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "s_a", "s_b").mapInArrow(work, "a long, b long")
+    return pairs.select("a", "b", "s_a", "s_b").mapInArrow(tidy(work), "a long, b long")
 
 
 def block_pairs(
@@ -378,7 +378,7 @@ def crossing(members: DataFrame, sketches: DataFrame, percent: int, block: int =
                 a, b = block_pairs(cls[p:q], n[p:q], component[p:q], bits[p:q], at[p:q], percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return placed.mapInArrow(work, "a long, b long").distinct()
+    return placed.mapInArrow(tidy(work), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, percent: int, k: int) -> DataFrame:
@@ -475,4 +475,4 @@ def _with_class(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
             found = [set_id(x) if len(x) else None for _, x in text_sets(batch.column(1), k)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], kind.names)
 
-    return base.mapInArrow(work, kind).select("id", "text", "cls", "row")
+    return base.mapInArrow(tidy(work), kind).select("id", "text", "cls", "row")

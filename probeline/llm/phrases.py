@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probeline.llm import textbytes as tb
-from probeline.llm.tables import partitions, written
+from probeline.llm.tables import partitions, tidy, written
 
 DEPTH = 4  # words of a phrase at most
 SUPPORT = 30
 BITS = (1 << 20, 1 << 28)  # of a map of words, at least and at most
 BLOCK = 1 << 21  # bytes of text that are worked on at once
 GATHERED = 1 << 19  # suffixes that a task sorts, about
+PARTS = 8  # parts per task that suffixes are routed to
 LISTED = 1 << 17  # rows of a table that are broadcast at most
 SMALL = 24  # suffixes of a partition that is sorted at once
 _FACTORS = tb.mix(np.arange(11, 11 + DEPTH, dtype=np.uint64)) | np.uint64(1)
@@ -180,7 +181,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
             columns = [key.view(np.int64), prefix_ids(key[:, None])[:, 0].view(np.int64), [names[i] for i in lang[first].tolist()], text, n]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    found = _texts(docs, text_col, lang_col).mapInArrow(work, "key long, id long, lang string, word binary, n long")
+    found = _texts(docs, text_col, lang_col).mapInArrow(tidy(work), "key long, id long, lang string, word binary, n long")
     return found.groupBy("key", "id", "lang", "word").agg(F.sum("n").alias("f"))
 
 
@@ -206,33 +207,47 @@ def phrase_counts(docs: DataFrame, words: DataFrame, total: int, text_col: str =
     or more. ``words`` has the frequent words, ``total`` is the number of all occurrences."""
     spark = docs.sparkSession
     tasks = max(partitions(spark), total // GATHERED)
-    often = words.filter(F.col("f") > max(total // (4 * tasks), 1))
+    often = words.filter(F.col("f") > max(min(total // tasks, GATHERED // 2), 1))
     shared = spark.sparkContext.broadcast((bit_map(words, words.count()), bit_map(often, 4 * tasks)))
     keys = [f"k{d + 1}" for d in range(DEPTH)]
+    parts = PARTS * tasks
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alive, hot = shared.value
         for _, _, _, key, _, _, left in _blocks(batches):
             grid = suffixes(key, left, inside(alive, key))
+            if not len(grid):
+                continue
             ids = prefix_ids(grid)
             size = (grid > 0).sum(1)
-            whole, first, n = np.unique(ids[np.arange(len(ids)), size - 1], return_index=True, return_counts=True)
+            _, first, n = np.unique(ids[np.arange(len(ids)), size - 1], return_index=True, return_counts=True)
             grid, ids, size = grid[first], ids[first], size[first]
             known = 1 + np.cumprod(np.stack([inside(hot, grid[:, d]) for d in range(DEPTH - 1)], 1), 1).sum(1)
-            route = ids[np.arange(len(ids)), np.minimum(known, size) - 1]
-            columns = [route.view(np.int64), known.astype(np.int32), *(np.ascontiguousarray(grid[:, d]).view(np.int64) for d in range(DEPTH)), n]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["route", "known", *keys, "n"])
+            route = (ids[np.arange(len(ids)), np.minimum(known, size) - 1] >> np.uint64(8)) % np.uint64(parts)
+            # Suffixes of one part and shape travel as one row of bytes: their keys and numbers.
+            shape = (route.astype(np.int64) * DEPTH + known - 1) * DEPTH + size - 1
+            order = np.argsort(shape, kind="stable")
+            begin = np.flatnonzero(np.concatenate([[True], np.diff(shape[order]) > 0]))
+            bodies, some = [], shape[order[begin]]
+            for p, q in zip(begin, [*begin[1:], len(order)], strict=True):
+                mine = order[p:q]
+                bodies.append(np.ascontiguousarray(grid[mine, : size[mine[0]]]).tobytes() + n[mine].astype(np.uint32).tobytes())
+            columns = [some // DEPTH**2, (some // DEPTH % DEPTH + 1).astype(np.int32), (some % DEPTH + 1).astype(np.int32), pa.array(bodies, pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["part", "known", "size", "body"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[x.to_numpy() for x in batch.columns[1:]] for batch in batches]
-        if not parts:
-            return
-        known, *grid, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        grid = np.stack(grid, 1).view(np.uint64)
-        for depth in range(1, DEPTH + 1):
-            mine = known == depth
-            some, weight = grid[mine], n[mine]
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for known, size, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                raw = body.as_buffer()
+                many = raw.size // (8 * size + 4)
+                grid = np.zeros((many, DEPTH), np.uint64)
+                grid[:, :size] = np.frombuffer(raw, np.uint64, many * size).reshape(many, size)
+                held.setdefault(known, []).append((grid, np.frombuffer(raw, np.uint32, many, 8 * size * many).astype(np.int64)))
+        for depth in sorted(held):
+            mine = held.pop(depth)
+            some, weight = (np.concatenate(x) for x in zip(*mine, strict=True))
+            del mine
             found = multikey_counts(some, weight, support, depth)
             for at in range(0, len(found), 1 << 16):
                 row, deep, size = np.array(found[at : at + (1 << 16)], np.int64).T
@@ -242,8 +257,9 @@ def phrase_counts(docs: DataFrame, words: DataFrame, total: int, text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", *keys, "depth", "n", "all"])
 
     kind = " long, ".join(keys) + " long"
-    routed = _texts(docs, text_col, lang_col).mapInArrow(make, f"route long, known int, {kind}, n long").repartition(tasks, "route")
-    found = written(routed.mapInArrow(sort, f"id long, {kind}, depth int, n long, all boolean"), "partitions")
+    made = _texts(docs, text_col, lang_col).mapInArrow(tidy(make), "part long, known int, size int, body binary")
+    routed = made.repartition(tasks, "part")
+    found = written(routed.mapInArrow(tidy(sort), f"id long, {kind}, depth int, n long, all boolean"), "partitions")
     names = ["id", *keys, "depth"]
     summed = found.filter("not all").groupBy(*names).agg(F.sum("n").alias("f")).filter(F.col("f") >= support)
     return found.filter("all").select(*names, F.col("n").alias("f")).union(summed)
@@ -270,7 +286,7 @@ def _parts(phrases: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int64())) for x in (left, right, inner))], kind.names)
 
-    return phrases.mapInArrow(work, kind)
+    return phrases.mapInArrow(tidy(work), kind)
 
 
 def _small(df: DataFrame) -> DataFrame:

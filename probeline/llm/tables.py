@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +40,27 @@ def sample_bar(share: float) -> int:
     return min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
 
 
+def hand_back() -> None:
+    """Give memory that a task has freed back to the system: its worker may wait for the next task for long, beside others.
+    Does nothing where the C library has no way to."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` over the batches of a task, with its memory given back at the end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        hand_back()
+
+    return tidied
+
+
 def word_list(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda w: w != "")
 
 
-__all__ = ["LOWER", "UPPER", "WORD_BREAK", "cut", "partitions", "sample_bar", "text_of", "word_list", "written"]
+__all__ = ["LOWER", "UPPER", "WORD_BREAK", "cut", "hand_back", "partitions", "sample_bar", "text_of", "tidy", "word_list", "written"]
