@@ -10,6 +10,7 @@ from probeline.functions.vectors import score
 from probeline.operators import cells, search, tables
 from probeline.plans.registry import query, table
 from probeline.session import scratch_path
+from probeline.sources import binary
 from probeline.sources.binary import clustered
 from probeline.sources.trees import file_inventory as file_list
 
@@ -346,3 +347,57 @@ def file_inventory(spark, sf):
     return listed.join(held, "file").groupBy("type").agg(
         F.countDistinct("shard").alias("shards"), F.sum("docs").alias("docs"), F.min(F.col("bytes") > 0).alias("sized")
     )
+
+
+
+def _record_files(spark, sf):
+    """The corpus as a folder of fvec files, in order of the id."""
+    path = scratch_path(spark, "fvec")
+    base = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    width = base.select(F.max(F.size("embedding"))).collect()[0][0] or 1
+    binary.write_records(base.filter(F.size("embedding") == width), path, width)
+    return path, width
+
+
+_RECORDS = """SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS vec_id, len(embedding) AS dims,
+              round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total,
+              CAST(embedding[1] AS DOUBLE) AS first_value, CAST(embedding[len(embedding)] AS DOUBLE) AS last_value
+       FROM embeddings WHERE len(embedding) = (SELECT max(len(embedding)) FROM embeddings)"""
+
+
+def _described(vectors):
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return vectors.select(
+        "vec_id", F.size("embedding").cast("bigint").alias("dims"), F.round(total, 4).alias("total"),
+        F.element_at("embedding", 1).cast("double").alias("first_value"), F.element_at("embedding", -1).cast("double").alias("last_value"),
+    )
+
+
+@query("read_fvec", _RECORDS)
+def read_fvec(spark, sf):
+    """The corpus, written as records and read back."""
+    path, width = _record_files(spark, sf)
+    return _described(binary.read_fvec(spark, path, width))
+
+
+@query("fvec_prefix", f"SELECT * FROM ({_RECORDS}) WHERE vec_id < 100")
+def fvec_prefix(spark, sf):
+    """S3 on records: the first hundred vectors, of which alone the bytes are read."""
+    path, width = _record_files(spark, sf)
+    return _described(tables.corpus_prefix(binary.read_fvec(spark, path, width), 100))
+
+
+@query(
+    "read_ivec",
+    f"""SELECT CAST(dense_rank() OVER (ORDER BY query_id) - 1 AS BIGINT) AS query_id, CAST(rank AS BIGINT) AS rank, vec_id
+        FROM ({_truth('innerproduct')})""",
+)
+def read_ivec(spark, sf):
+    """Exact neighbours written as a ground-truth file, one record per query, and read back by rank."""
+    base, asked = _sides(spark, sf)
+    found = search.exact_knn(base, asked, K, "innerproduct", exclude_self=True)
+    lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("near"))
+    path = scratch_path(spark, "ivec")
+    binary.write_records(lists.select("query_id", F.transform("near", lambda x: x["vec_id"].cast("int")).alias("neighbors")), path, K, "int")
+    truth = binary.truth_rows(binary.read_ivec(spark, path, K))
+    return truth.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id")

@@ -4,44 +4,47 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probeline.sources.vecfiles import VectorFiles
 
-def _records(spark: SparkSession, path: str, width: int, kind: str, id_name: str, list_name: str) -> DataFrame:
-    """Records of a header and ``width`` 4-byte values; the id is the position in the file.
 
-    ``binaryRecords`` splits a file at record borders, so a file of any size is read in parallel.
-    """
-    raw = spark.sparkContext.binaryRecords(path, 4 + 4 * width).zipWithIndex()
-    rows = spark.createDataFrame(raw, f"record binary, {id_name} bigint")
-    numpy_kind, spark_kind, arrow_kind = {
-        "float": ("<f4", "float", pa.float32()), "int": ("<i4", "int", pa.int32()),
-    }[kind]
-    layout = np.dtype([("header", "<i4"), ("values", numpy_kind, (width,))])
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
-    def decode(batches):
-        for batch in batches:
-            found = np.frombuffer(b"".join(batch.column("record").to_pylist()), dtype=layout)
-            if (found["header"] != width).any():
-                raise ValueError(f"record header differs from the expected width {width}")
-            offsets = pa.array(np.arange(0, (len(found) + 1) * width, width, dtype=np.int32))
-            values = pa.ListArray.from_arrays(offsets, pa.array(found["values"].reshape(-1), arrow_kind))
-            yield pa.RecordBatch.from_arrays([batch.column(id_name), values], names=[id_name, list_name])
 
-    return rows.mapInArrow(decode, f"{id_name} bigint, {list_name} array<{spark_kind}>")
+def _source(spark: SparkSession) -> None:
+    spark.dataSource.register(VectorFiles)
+    if spark.conf.get(PUSHDOWN, "false") != "true":
+        spark.conf.set(PUSHDOWN, "true")
 
 
 def read_fvec(spark: SparkSession, path: str, d: int) -> DataFrame:
-    """``(vec_id, embedding)`` from an fvec file of dimension ``d``."""
-    return _records(spark, path, d, "float", "vec_id", "embedding")
+    """``(vec_id, embedding)`` from an fvec file, or a folder of them, of dimension ``d``.
+
+    A filter on ``vec_id``, such as that of ``corpus_prefix``, limits the bytes that are read.
+    """
+    _source(spark)
+    return spark.read.format("vectorfile").option("width", d).load(path)
 
 
 def read_ivec(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """``(query_id, neighbors)`` from an ivec file with ``k`` neighbours per query."""
-    return _records(spark, path, k, "int", "query_id", "neighbors")
+    """``(query_id, neighbors)`` from an ivec file, or a folder of them, with ``k`` neighbours per query."""
+    _source(spark)
+    options = {"width": k, "kind": "int", "id": "query_id", "values": "neighbors"}
+    return spark.read.format("vectorfile").options(**options).load(path)
+
+
+def write_records(rows: DataFrame, path: str, width: int, kind: str = "float", files: int | None = None, mode: str = "append") -> None:
+    """Write ``rows`` (id, list of ``width`` numbers) as a folder of fvec or ivec files in order of the id.
+
+    A range shuffle gives every task its own ids. The whole write shows up at once or, if a task fails, not at all.
+    """
+    _source(rows.sparkSession)
+    name, values = rows.columns
+    rows = rows.select(F.col(name).cast("bigint").alias(name), F.col(values).cast(f"array<{kind}>").alias(values))
+    placed = rows.repartitionByRange(files, name) if files else rows.repartitionByRange(name)
+    placed.sortWithinPartitions(name).write.format("vectorfile").options(width=width, kind=kind).mode(mode).save(path)
 
 
 def truth_rows(neighbors: DataFrame) -> DataFrame:

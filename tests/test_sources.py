@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from probeline.operators import reports, tables
-from probeline.sources import binary, trees
+from probeline.sources import binary, trees, vecfiles
 
 
 def test_fvec_and_ivec(spark, tmp_path):
@@ -26,6 +26,58 @@ def test_fvec_and_ivec(spark, tmp_path):
         binary.read_fvec(spark, str(tmp_path / "a.ivec"), 9).count() or binary.read_fvec(spark, str(tmp_path / "a.ivec"), 9).collect()
 
 
+def numbered(spark, n, width=5):
+    rng = np.random.default_rng(n)
+    values = rng.normal(size=(n, width)).astype("<f4")
+    return values, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(values)], "vec_id long, embedding array<float>").repartition(4)
+
+
+def test_vector_files_round_trip(spark, tmp_path):
+    values, df = numbered(spark, 500)
+    path = str(tmp_path / "corpus")
+    binary.write_records(df.filter("vec_id < 300"), path, 5, files=3)
+    binary.write_records(df.filter("vec_id >= 300"), path, 5, files=2)  # goes behind what is there
+    got = binary.read_fvec(spark, path, 5).orderBy("vec_id").collect()
+    assert [r["vec_id"] for r in got] == list(range(500))
+    assert np.array_equal(np.array([r["embedding"] for r in got], "<f4"), values)
+    assert binary.read_fvec(spark, path, 5).filter("vec_id in (3, 499, 700) and embedding[0] is not null").count() == 2
+    binary.write_records(df.filter("vec_id < 7"), path, 5, mode="overwrite")
+    assert binary.read_fvec(spark, path, 5).count() == 7
+
+
+def test_a_prefix_reads_only_its_bytes(spark, tmp_path, monkeypatch):
+    files = [("a", 24 * 10), ("b", 24 * 1000), ("c", 24 * 5)]
+    planned = vecfiles.ranges(files, 24, 4, 600, 24 * 256)
+    assert [(r.path, r.skip, r.count, r.first) for r in planned] == [("a", 4, 6, 4), ("b", 0, 256, 10), ("b", 256, 256, 266), ("b", 512, 78, 522)]
+    assert vecfiles.ranges(files, 24, 1012, None)[0].count == 3 and vecfiles.ranges(files, 24, 5, 5) == []
+    with pytest.raises(ValueError, match="multiple"):
+        vecfiles.ranges([("a", 25)], 24, 0, None)
+    values, df = numbered(spark, 400)
+    path = str(tmp_path / "corpus")
+    binary.write_records(df, path, 5, files=4)
+    names = [n for n, _ in vecfiles.data_files(path)]
+    with open(names[-1], "r+b") as last:  # a broken record that a prefix must not meet
+        last.write(b"\0\0\0\0")
+    prefix = tables.corpus_prefix(binary.read_fvec(spark, path, 5), 50)
+    assert prefix.count() == 50 and prefix.rdd.getNumPartitions() == 1
+    with pytest.raises(Exception, match="header"):
+        binary.read_fvec(spark, path, 5).agg(F.sum("vec_id"), F.max("embedding")).collect()
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    values, df = numbered(spark, 200)
+    path = str(tmp_path / "corpus")
+    binary.write_records(df, path, 5, files=2)
+    wrong = df.withColumn("embedding", F.when(F.col("vec_id") == 150, F.array(F.lit(1.0))).otherwise(F.col("embedding")))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="5 values"):
+            binary.write_records(wrong, path, 5, files=4, mode=mode)
+        assert binary.read_fvec(spark, path, 5).count() == 200
+    with pytest.raises(Exception, match="distinct ids"):
+        binary.write_records(df.union(df), path, 5, files=2)
+    assert len(vecfiles.data_files(path)) == 2
+
+
 def test_result_tree(spark, tmp_path):
     root = tmp_path / "results"
     a = root / "job-1" / "graph" / "ds-k10" / "sweep-1"
