@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probeline.functions.vectors import check_space
-from probeline.session import scratch_path
+from probeline.operators.reconcile import missing_rows
+from probeline.session import kept, scratch_path
 
 FILE_BYTES = 256 << 20  # data per file that writers aim at
 _PROPERTIES = ("dimension", "space_type", "shards")
@@ -63,15 +64,18 @@ def _fits(dim: int):
 
 
 def rejected_vectors(vectors: DataFrame, dim: int) -> DataFrame:
-    """Rows that ingest leaves out: wrong dimension, null components or no id."""
-    return vectors.filter(~F.coalesce(_fits(dim), F.lit(False)))
+    """Rows that ingest leaves out, with the ``reason``: no ``id``, a wrong ``dimension``, or a null ``component``."""
+    reason = F.when(F.col("vec_id").isNull(), "id").when(~F.coalesce(F.size("embedding") == dim, F.lit(False)), "dimension")
+    return vectors.filter(~F.coalesce(_fits(dim), F.lit(False))).withColumn("reason", reason.otherwise("component"))
 
 
 def ingest(vectors: DataFrame, name: str, rows_per_file: int = 1_000_000, files_per_shard: int | None = None) -> None:
     """Append vectors to their shards (by hash of the id).
 
     One shuffle by (shard, slot) lets every shard be written by ``files_per_shard`` tasks; by default as many as the
-    counted vectors have ``FILE_BYTES``. ``rejected_vectors`` tells which rows do not fit and are left out.
+    counted vectors have ``FILE_BYTES``. ``rejected_vectors`` tells which rows do not fit and are left out, and why. Files
+    show up when the whole write has ended; a failed one adds no row. Shards that are new to the table are registered in one
+    statement, none is listed.
     """
     spark = vectors.sparkSession
     settings = table_properties(spark, name)
@@ -84,7 +88,10 @@ def ingest(vectors: DataFrame, name: str, rows_per_file: int = 1_000_000, files_
     rows = rows.withColumn("_slot", slot).repartition(shards * writers, "shard", "_slot").drop("_slot")
     location = table_location(spark, name)
     rows.write.mode("append").option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(location)
-    spark.sql(f"MSCK REPAIR TABLE {name}")
+    known = {r["partition"] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}  # a row per shard
+    fresh = [i for i in range(shards) if f"shard={i}" not in known]
+    if fresh:
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS " + " ".join(f"PARTITION (shard={i})" for i in fresh))
     refresh(spark, name)
 
 
@@ -109,14 +116,25 @@ def verify_count(spark: SparkSession, name: str, expected: DataFrame | int) -> D
 
 
 def retry_shards(vectors: DataFrame, name: str, failing: DataFrame) -> DataFrame:
-    """M5: the vectors of the failing shards that the table does not hold yet."""
+    """M5: the vectors of the failing shards that the table does not hold yet.
+
+    ``failing`` has ``shard`` and may have the ``shortfall`` of ``verify_count``. Where little is missing, sketches of the
+    shards name it and neither side is shuffled; else, or where a sketch does not open, shards are joined.
+    """
     spark = vectors.sparkSession
     shards = int(table_properties(spark, name)["shards"])
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards).cast("bigint")).cast("int")
-    failing = failing.select("shard").distinct()
-    wanted = vectors.withColumn("shard", shard).join(failing, "shard", "left_semi")
-    held = spark.table(name).select("shard", "vec_id").join(failing, "shard", "left_semi")  # prunes whole shards
-    return wanted.join(held, ["shard", "vec_id"], "left_anti").drop("shard")
+    wanted = vectors.withColumn("shard", shard)
+    if "shortfall" in failing.columns:
+        expected = failing.groupBy("shard").agg(F.max("shortfall").alias("difference"))
+    else:
+        counts = shard_counts(spark, name).select("shard", (-F.col("docs")).alias("docs"))
+        both = wanted.groupBy("shard").agg(F.count(F.lit(1)).alias("docs")).unionByName(counts)
+        both = both.join(failing.select("shard").distinct(), "shard", "left_semi")
+        expected = both.groupBy("shard").agg(F.abs(F.sum("docs")).alias("difference"))
+    expected = kept(expected, "expected")
+    held = spark.table(name).select("shard", "vec_id").join(F.broadcast(expected.select("shard")), "shard", "left_semi")  # prunes whole shards
+    return missing_rows(wanted, held, expected).drop("shard")
 
 
 def compact(spark: SparkSession, name: str, target_bytes: int = FILE_BYTES) -> str:
