@@ -31,7 +31,7 @@ SUPPORT = 30
 BITS = (1 << 20, 1 << 28)  # of a map of words, at least and at most
 BLOCK = 1 << 21  # bytes of text that are worked on at once
 GATHERED = 1 << 19  # suffixes that a task sorts, about
-PARTS = 8  # parts per task that suffixes are routed to
+FLUSH = 1 << 19  # suffixes a task holds before it hands them on
 LISTED = 1 << 17  # rows of a table that are broadcast at most
 SMALL = 24  # suffixes of a partition that is sorted at once
 _FACTORS = tb.mix(np.arange(11, 11 + DEPTH, dtype=np.uint64)) | np.uint64(1)
@@ -210,40 +210,50 @@ def phrase_counts(docs: DataFrame, words: DataFrame, total: int, text_col: str =
     often = words.filter(F.col("f") > max(min(total // tasks, GATHERED // 2), 1))
     shared = spark.sparkContext.broadcast((bit_map(words, words.count()), bit_map(often, 4 * tasks)))
     keys = [f"k{d + 1}" for d in range(DEPTH)]
-    parts = PARTS * tasks
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alive, hot = shared.value
+        held, rows = [], 0
         for _, _, _, key, _, _, left in _blocks(batches):
             grid = suffixes(key, left, inside(alive, key))
-            if not len(grid):
-                continue
             ids = prefix_ids(grid)
             size = (grid > 0).sum(1)
             _, first, n = np.unique(ids[np.arange(len(ids)), size - 1], return_index=True, return_counts=True)
             grid, ids, size = grid[first], ids[first], size[first]
             known = 1 + np.cumprod(np.stack([inside(hot, grid[:, d]) for d in range(DEPTH - 1)], 1), 1).sum(1)
-            route = (ids[np.arange(len(ids)), np.minimum(known, size) - 1] >> np.uint64(8)) % np.uint64(parts)
-            # Suffixes of one part and shape travel as one row of bytes: their keys and numbers.
-            shape = (route.astype(np.int64) * DEPTH + known - 1) * DEPTH + size - 1
-            order = np.argsort(shape, kind="stable")
-            begin = np.flatnonzero(np.concatenate([[True], np.diff(shape[order]) > 0]))
-            bodies, some = [], shape[order[begin]]
-            for p, q in zip(begin, [*begin[1:], len(order)], strict=True):
-                mine = order[p:q]
-                bodies.append(np.ascontiguousarray(grid[mine, : size[mine[0]]]).tobytes() + n[mine].astype(np.uint32).tobytes())
-            columns = [some // DEPTH**2, (some // DEPTH % DEPTH + 1).astype(np.int32), (some % DEPTH + 1).astype(np.int32), pa.array(bodies, pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["part", "known", "size", "body"])
+            route = (ids[np.arange(len(ids)), np.minimum(known, size) - 1] >> np.uint64(8)) % np.uint64(tasks)
+            held.append((route.astype(np.int64), grid, known.astype(np.uint8), size.astype(np.uint8), n.astype(np.uint32)))
+            rows += len(grid)
+            if rows >= FLUSH:
+                yield packed(held)
+                held, rows = [], 0
+        if rows:
+            yield packed(held)
+
+    def packed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """The suffixes of each part as one row of bytes: their known depths, sizes, numbers and keys."""
+        route, grid, known, size, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(route, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(route[order]) > 0]))
+        bodies = []
+        for p, q in zip(begin, [*begin[1:], len(order)], strict=True):
+            mine = order[p:q]
+            some = grid[mine]
+            bodies.append(known[mine].tobytes() + size[mine].tobytes() + n[mine].tobytes() + some[some > 0].tobytes())
+        columns = [pa.array(route[order[begin]].astype(np.int32)), pa.array(np.diff(np.append(begin, len(order))).astype(np.int32)), pa.array(bodies, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "many", "body"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for known, size, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                raw = body.as_buffer()
-                many = raw.size // (8 * size + 4)
+            for many, body in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                raw = np.frombuffer(body.as_buffer(), np.uint8)
+                known, size = raw[:many], raw[many : 2 * many]
+                n = raw[2 * many : 6 * many].copy().view(np.uint32).astype(np.int64)
                 grid = np.zeros((many, DEPTH), np.uint64)
-                grid[:, :size] = np.frombuffer(raw, np.uint64, many * size).reshape(many, size)
-                held.setdefault(known, []).append((grid, np.frombuffer(raw, np.uint32, many, 8 * size * many).astype(np.int64)))
+                grid[np.arange(DEPTH) < size[:, None]] = raw[6 * many :].copy().view(np.uint64)
+                for depth in np.unique(known).tolist():
+                    held.setdefault(depth, []).append((grid[known == depth], n[known == depth]))
         for depth in sorted(held):
             mine = held.pop(depth)
             some, weight = (np.concatenate(x) for x in zip(*mine, strict=True))
@@ -257,8 +267,8 @@ def phrase_counts(docs: DataFrame, words: DataFrame, total: int, text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["id", *keys, "depth", "n", "all"])
 
     kind = " long, ".join(keys) + " long"
-    made = _texts(docs, text_col, lang_col).mapInArrow(tidy(make), "part long, known int, size int, body binary")
-    routed = made.repartition(tasks, "part")
+    made = _texts(docs, text_col, lang_col).mapInArrow(tidy(make), "part int, many int, body binary")
+    routed = made.repartitionById(tasks, F.col("part"))
     found = written(routed.mapInArrow(tidy(sort), f"id long, {kind}, depth int, n long, all boolean"), "partitions")
     names = ["id", *keys, "depth"]
     summed = found.filter("not all").groupBy(*names).agg(F.sum("n").alias("f")).filter(F.col("f") >= support)
