@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from probeline.functions.units import cpu_cores, cpu_millicores, mem_kib, mem_mib
 from probeline.operators.timeline import ROWS_PER_SLICE, Timeline, chunked_lists
+from probeline.session import kept
 
 # The field names of the node statistics document.
 NODE_STATS = """
@@ -252,42 +253,59 @@ def pods_per_namespace(pods: DataFrame) -> DataFrame:
     )
 
 
+LISTED = 1 << 17  # rows of a table that are broadcast at most
+#: A span of whole units ``_a`` up to ``_b`` (exclusive) as disjoint ranges of ``2 ** level`` units, numbered by position:
+#: the borders of each level are the span's, rounded inwards, and an odd border leaves one range behind.
+_RANGES = """
+filter(flatten(transform(sequence(0, 40), h -> array(
+  if(-shiftright(-_a, h) < shiftright(_b, h) and -shiftright(-_a, h) % 2 <> 0, struct(h as level, -shiftright(-_a, h) as pos), null),
+  if(-shiftright(-_a, h) < shiftright(_b, h) and shiftright(_b, h) % 2 <> 0, struct(h as level, shiftright(_b, h) - 1 as pos), null)
+))), x -> x is not null)"""
+
+
 def samples_in_sweeps(
-    samples: DataFrame, sweeps: DataFrame, keys: Sequence[str] = (), warmup_s: float = 0.0, bucket_s: int = 3600,
-    spread: int | None = None, ts: str = "ts", start: str = "started_at", end: str = "completed_at",
+    samples: DataFrame, sweeps: DataFrame, keys: Sequence[str] = (), warmup_s: float = 0.0, bucket_s: int = 60,
+    ts: str = "ts", start: str = "started_at", end: str = "completed_at", listed: int = LISTED, part_rows: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Samples with ``start + warm-up ≤ ts ≤ end``, both ends included. A sweep without an end is still running.
 
-    Both sides meet on a time bucket, so this is an equi join, and a bucket is spread over parts, so a burst of samples
-    does not land in one task: as many parts (``spread``) as the fullest bucket has ``ROWS_PER_SLICE`` rows. The sweep
-    side is repeated per bucket it covers and per part.
+    A sweep is cut into dyadic ranges of ``bucket_s``: one of an hour into a few, one of a year into a few dozen. A sample
+    lies in one range per level, so both sides meet in an equi join on (level, position), each pair once. As many as
+    ``listed`` ranges are broadcast, and samples stay where they are; beyond that a range is dealt to as many parts as its
+    own samples need, so neither a burst nor a long range lands in one task.
     """
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    width = bucket_s * 1_000_000
-    left = samples.withColumn("_at", micros(ts))
-    left = left.withColumn("_bucket", F.floor(F.col("_at") / F.lit(width)).cast("bigint"))
-    full = left.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n"), F.max("_at").alias("at"))
-    seen = full.agg(F.max("n").alias("n"), F.max("at").alias("at")).first()
-    spread = spread or max(1, -(-(seen["n"] or 0) // ROWS_PER_SLICE))
-    left = left.withColumn(
-        "_part", F.pmod(F.xxhash64(*samples.columns), F.lit(spread).cast("bigint"))
-    )
+    width = F.lit(bucket_s * 1_000_000)
+    unit = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    left = samples.withColumn("_at", micros(ts)).withColumn("_unit", unit("_at"))
+    latest = left.agg(F.max("_at")).first()[0]
     right = sweeps.withColumn("_from", micros(start) + int(warmup_s * 1_000_000)).withColumn(
-        "_to", F.least(F.coalesce(micros(end), F.lit(seen["at"])), F.lit(seen["at"]))  # no sample is later
-    )
-    right = right.filter(F.col("_from") <= F.col("_to"))
-    right = right.withColumn(
-        "_bucket",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("_from") / F.lit(width)).cast("bigint"), F.floor(F.col("_to") / F.lit(width)).cast("bigint")
-            )
-        ),
-    ).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
-    joined = left.join(right, [*keys, "_bucket", "_part"])
-    return joined.filter((F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to"))).drop(
-        "_bucket", "_part", "_at", "_from", "_to"
+        "_to", F.least(F.coalesce(micros(end), F.lit(latest)), F.lit(latest))  # no sample is later
     )
+    right = right.filter(F.col("_from") <= F.col("_to")).withColumn("_a", unit("_from")).withColumn("_b", unit("_to") + 1)
+    right = right.withColumn("_range", F.explode(F.expr(_RANGES))).drop("_a", "_b")
+    right = kept(right.select("*", F.col("_range.level").alias("_level"), F.col("_range.pos").alias("_pos")).drop("_range"), "ranges")
+    levels = sorted(r[0] for r in right.select("_level").distinct().collect())  # 41 at most
+    above = F.array(*[F.struct(F.lit(h).alias("level"), F.shiftright("_unit", h).alias("pos")) for h in levels]) if levels else F.expr(
+        "cast(array() as array<struct<level:int,pos:bigint>>)")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_range", F.explode(above))
+        return rows.select("*", F.col("_range.level").alias("_level"), F.col("_range.pos").alias("_pos")).drop("_range", "_unit")
+
+    place = [*keys, "_level", "_pos"]
+    if right.count() <= listed:
+        joined = placed(left).join(F.broadcast(right), place)
+    else:
+        counts = placed(left.groupBy(*keys, "_unit").agg(F.count(F.lit(1)).alias("_n"))).groupBy(*place).agg(F.sum("_n").alias("_n"))
+        full = counts.join(right.select(*place).distinct(), place, "left_semi").filter(F.col("_n") > part_rows)
+        full = kept(full.select(*place, F.ceil(F.col("_n") / part_rows).alias("_parts")), "full")
+        full = F.broadcast(full) if full.count() <= listed else full
+        parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+        dealt = placed(left).join(full, place, "left").withColumn("_part", F.pmod(F.xxhash64(*samples.columns), parts)).drop("_parts")
+        each = right.join(full, place, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("_parts")
+        joined = dealt.join(each, [*place, "_part"]).drop("_part")
+    return joined.filter((F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to"))).drop("_level", "_pos", "_at", "_from", "_to")
 
 
 # The field names of the index documents.

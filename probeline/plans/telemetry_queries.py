@@ -239,27 +239,28 @@ def pods_per_namespace(spark, sf):
 
 @query(
     "samples_in_sweeps",
-    with_views("node_samples", body="""
-        WITH sweeps AS (SELECT o_orderkey AS run_id, 'node-' || (o_custkey % 3) AS node,
-                               TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 37 % 43200 AS INTEGER)) AS started_at,
-                               CASE WHEN o_orderkey % 1000 <> 7 THEN
-                               TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 37 % 43200 + o_custkey % 90 AS INTEGER)) END AS completed_at
-                        FROM orders)
-        SELECT run_id, event_id, value FROM sweeps w JOIN node_samples s
-          ON s.node = w.node AND s.ts >= w.started_at + INTERVAL 60 SECOND AND s.ts <= coalesce(w.completed_at, s.ts)"""),
+    """WITH sweeps AS (SELECT o_orderkey AS run_id, o_custkey % (SELECT max(user_id) + 1 FROM events) AS user_id,
+                              TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 37 % 43200 AS INTEGER)) AS started_at,
+                              CASE WHEN o_orderkey % 1000 <> 7 THEN
+                              TIMESTAMP '2024-01-01' + to_minutes(CAST(o_orderkey * 37 % 43200 + o_custkey % 90 AS INTEGER)) END AS completed_at
+                       FROM orders)
+       SELECT run_id, event_id, value FROM sweeps w JOIN events s
+         ON s.user_id = w.user_id AND s.ts >= w.started_at + INTERVAL 60 SECOND AND s.ts <= coalesce(w.completed_at, s.ts)""",
 )
 def samples_in_sweeps(spark, sf):
-    """J17 with a minute of warm-up; some sweeps have not ended yet."""
+    """J17 with a minute of warm-up; some sweeps have not ended yet. Users grow with the table, so pairs grow with it too."""
     o = table(spark, sf, "orders")
+    e = table(spark, sf, "events")
     begin = F.lit(1704067200)  # 2024-01-01 00:00 UTC
     minute = F.col("o_orderkey") * 37 % 43200
+    users = e.agg(F.max("user_id") + 1).scalar()
     sweeps = o.select(
-        F.col("o_orderkey").alias("run_id"), F.concat(F.lit("node-"), F.col("o_custkey") % 3).alias("node"),
+        F.col("o_orderkey").alias("run_id"), (F.col("o_custkey") % users).alias("user_id"),
         F.timestamp_seconds(begin + minute * 60).alias("started_at"),
         F.when(F.col("o_orderkey") % 1000 != 7, F.timestamp_seconds(begin + (minute + F.col("o_custkey") % 90) * 60)).alias("completed_at"),
     )
-    samples = views.node_samples(spark, sf).select("event_id", "ts", "node", "value")
-    return telemetry.samples_in_sweeps(samples, sweeps, ["node"], warmup_s=60).select("run_id", "event_id", "value")
+    samples = e.select("event_id", "ts", "user_id", "value")
+    return telemetry.samples_in_sweeps(samples, sweeps, ["user_id"], warmup_s=60).select("run_id", "event_id", "value")
 
 
 def _stats_documents(spark, sf):
