@@ -11,6 +11,7 @@ from probeline.plans.registry import query, table
 from probeline.plans.views import with_views
 from probeline.session import scratch_path
 from probeline.sources import trees
+from probeline.sources.vecfiles import located
 
 
 @query(
@@ -229,3 +230,48 @@ def read_node_samples(spark, sf):
         "gc_young_count", "node", F.unix_micros("ts").alias("at_us"), F.round("heap_used_pct", 6).alias("heap_used_pct"),
         F.col("load_1m").isNotNull().cast("int").alias("has_load"),
     )
+
+
+def _write_files(rows, root: str) -> None:
+    """Write each row (``path`` below ``root``, ``body``) as a file of its own; a task that runs again writes the same."""
+    def work(batches):
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                store, top = located(root)
+                store.create_dir(f"{top}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{top}/{path}") as stream:
+                    stream.write(body.encode())
+        yield from ()
+
+    rows.select("path", "body").mapInArrow(work, "path string").write.format("noop").mode("overwrite").save()
+
+
+@query(
+    "scan_results",
+    """SELECT 'job ' || s_nationkey AS job, 'eng-' || (s_suppkey % 3) AS engine, 'data-' || s_suppkey AS step,
+              CASE WHEN s_suppkey % 4 <> 0 THEN 'sweep-' || (s_suppkey % 4) END AS sweep_name,
+              CASE WHEN s_suppkey % 7 <> 0 THEN '{"supplier": ' || s_suppkey || '}' END AS test_run,
+              CASE WHEN s_suppkey % 5 <> 0 THEN '{"name": "' || s_name || '"}' END AS workload_params,
+              CASE WHEN s_suppkey % 7 = 0 THEN 'test_run.json' ELSE '' END AS bad,
+              'line ' || (s_suppkey % 9) || ' of ' || s_name AS last_line FROM supplier""",
+)
+def scan_results(spark, sf):
+    """A result tree below a root with odd characters, some of its files missing or broken, read back by folder."""
+    root = scratch_path(spark, "results") + "/all results+100%25 (1)"
+    key = F.col("s_suppkey")
+    sweep = F.when(key % 4 != 0, F.concat(F.lit("/sweep-"), key % 4)).otherwise("")
+    folder = F.concat(F.lit("job "), "s_nationkey", F.lit("/eng-"), key % 3, F.lit("/data-"), key, sweep)
+    lines = F.array_join(F.transform(F.sequence(F.lit(0), (key % 9).cast("int")), lambda i: F.concat(F.lit("line "), i, F.lit(" of "), "s_name")), "\n")
+    files = {
+        "test_run.json": F.when(key % 7 != 0, F.concat(F.lit('{"supplier": '), key, F.lit("}"))).otherwise("{broken"),
+        "workload-params.json": F.when(key % 5 != 0, F.concat(F.lit('{"name": "'), "s_name", F.lit('"}'))),
+        "benchmark.log": lines, "notes.txt": F.lit("not an artifact"),
+    }
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), body.alias("body")) for n, body in files.items()])).alias("file")
+    rows = table(spark, sf, "supplier").select(folder.alias("folder"), each).filter("file.body is not null")
+    _write_files(rows.select(F.concat("folder", F.lit("/"), "file.name").alias("path"), F.col("file.body").alias("body")), root)
+    found = trees.scan_results(spark, root)
+    return found.select(
+        "job", "engine", "step", "sweep_name", "test_run", "workload_params", F.array_join("bad_artifacts", ",").alias("bad"),
+        F.element_at(F.split("benchmark_log", "\n"), -1).alias("last_line"),
+    )

@@ -349,7 +349,6 @@ def file_inventory(spark, sf):
     )
 
 
-
 def _record_files(spark, sf):
     """The corpus as a folder of fvec files, in order of the id."""
     path = scratch_path(spark, "fvec")

@@ -116,7 +116,9 @@ def stream_stability_deadline(spark, sf):
     "stream_windowed_usage",
     with_views("cores_mib", body="""
         WITH w AS (SELECT node, time_bucket(INTERVAL 600 SECOND, ts) AS start, cores, mib FROM cores_mib)
-        SELECT node, epoch_us(start) AS start_us, round(sum(cores), 6) AS cpu_total, round(max(mib), 4) AS memory_max, count(*) AS samples
+        SELECT node, epoch_us(start) AS start_us, round(sum(cores), 6) AS cpu_total, round(max(cores), 6) AS cpu_max,
+               round(min(cores), 6) AS cpu_min, round(sum(mib), 2) AS memory_total, round(max(mib), 4) AS memory_max,
+               round(min(mib), 4) AS memory_min, count(*) AS samples
         FROM w GROUP BY node, start
         HAVING epoch_us(start) + 600000000 <= (SELECT epoch_us(max(ts)) - 60000000 FROM events)"""),
 )
@@ -133,7 +135,9 @@ def stream_windowed_usage(spark, sf):
     found = spark.read.parquet(sink)
     return found.select(
         "node", F.unix_micros("start").alias("start_us"), F.round(F.col("cpu_avg") * F.col("samples"), 6).alias("cpu_total"),
-        F.round("memory_max", 4).alias("memory_max"), "samples",
+        F.round("cpu_max", 6).alias("cpu_max"), F.round("cpu_min", 6).alias("cpu_min"),
+        F.round(F.col("memory_avg") * F.col("samples"), 2).alias("memory_total"), F.round("memory_max", 4).alias("memory_max"),
+        F.round("memory_min", 4).alias("memory_min"), "samples",
     )
 
 

@@ -33,7 +33,10 @@ KINDS = {"float": ("<f4", pa.float32()), "int": ("<i4", pa.int32())}
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """The store that a path names, and the path within it. A local path is taken as it stands, odd characters included."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return (fs.LocalFileSystem(), path.rstrip("/")) if "://" not in path else fs.FileSystem.from_uri(path)
 
 
 def data_files(path: str) -> list[tuple[str, int]]:
