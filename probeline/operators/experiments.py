@@ -100,12 +100,13 @@ def expand_sweeps(steps: DataFrame) -> DataFrame:
     one_pass = F.array(empty)
     out = steps.select("*", F.posexplode(F.coalesce("suite_sweeps", one_pass)).alias("suite_sweep", "_sp"))
     per_step = F.when(F.size(F.coalesce("step_sweeps", one_pass)) > 0, F.coalesce("step_sweeps", one_pass)).otherwise(one_pass)
-    out = out.select("*", F.posexplode(per_step).alias("step_sweep", "_ssp"))
-    merged = merge_maps(merge_maps(merge_maps(F.col("suite_params"), F.col("_sp")), F.col("params")), F.col("_ssp"))
+    weak = merge_maps(merge_maps(F.col("suite_params"), F.col("_sp")), F.col("params"))  # once per step, not per step sweep
+    out = out.withColumn("_weak", weak).select("*", F.posexplode(per_step).alias("step_sweep", "_ssp"))
+    merged = merge_maps(F.col("_weak"), F.col("_ssp"))
     wide = lambda c, shift: F.col(c).cast("decimal(12,0)").cast("decimal(38,0)") * F.lit("1" + "0" * shift).cast("decimal(38,0)")
     place = (wide("suite_sweep", 24) + wide("step_ord", 12) + wide("step_sweep", 0)).cast("decimal(38,0)")
     return out.withColumn("params", merged).withColumn("ord", place).drop(
-        "_sp", "_ssp", "suite_params", "suite_sweeps", "step_sweeps"
+        "_sp", "_ssp", "_weak", "suite_params", "suite_sweeps", "step_sweeps"
     )
 
 
