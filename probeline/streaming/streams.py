@@ -2,7 +2,7 @@
 
 Windows and de-duplication use the built-in streaming operators. Deltas, watchdog and stability keep state per key with
 timers (``keyed``). The ledger appends one folder per micro-batch, named by its id, so a replay after a failure overwrites
-the same folder with the same rows.
+the same folder with the same rows; folders of committed micro-batches are merged in tiers.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from probeline.streaming import keyed
 
 SAMPLE_INTERVAL = "10 seconds"
 NO_DELAY = "0 seconds"
+FAN = 10  # writes of a tier that become one of the next
 KEEP_S = 7 * 86400  # silence after which an ended key is forgotten
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -121,19 +122,63 @@ def stream_newly_terminal(events: DataFrame, keys: Sequence[str] = ("run_id", "s
     return events.filter(F.col("status").isin(*TERMINAL)).dropDuplicates(list(keys))
 
 
-def stream_ledger(events: DataFrame, keys: Sequence[str], seq: str, folder: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def stream_ledger(
+    events: DataFrame, keys: Sequence[str], seq: str, folder: str, checkpoint: str, every: str | None = None,
+    heartbeat: str | None = None, fan: int = FAN,
+) -> StreamingQuery:
     """ST7: ledger writes from events. Each micro-batch is cut to its last write per key and appended.
 
-    ``read_ledger`` gives the current rows; nothing that is already stored is rewritten.
+    ``read_ledger`` gives the current rows. Writes are merged in tiers as the stream goes on: ``fan`` neighbouring ones of a
+    size become one, so there are fewer than ``fan`` per tier to read, and a row is rewritten once per tier. ``heartbeat``
+    names the column whose latest time per key is kept as well.
     """
     folder = folder.rstrip("/")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         latest_by_key(batch, keys, seq).write.mode("overwrite").parquet(f"{folder}/writes/batch={batch_id}")
+        if batch_id % fan == fan - 1:
+            compact_writes(batch.sparkSession, folder, keys, seq, batch_id, heartbeat, fan)
 
     return start(events.writeStream.foreachBatch(step), checkpoint, every)
 
 
+def compact_writes(
+    spark: SparkSession, folder: str, keys: Sequence[str], seq: str, below: int, heartbeat: str | None = None, fan: int = FAN
+) -> None:
+    """Merge the writes of micro-batches before ``below`` (all committed) tier by tier, and remove those merged earlier.
+
+    A merged write is complete before it gets its name, and what it stands for goes only at the next call, so a reader that
+    has listed either finds its files. Reading both gives the same ledger, because a key's last write counts once.
+    """
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    base = files.Path(f"{folder.rstrip('/')}/writes")
+    store = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    spans = {}
+    for found in store.listStatus(base):
+        name = found.getPath().getName()
+        if name.startswith("batch="):
+            low, _, high = name.removeprefix("batch=").partition("-")
+            spans[int(low), int(high or low)] = name
+    inner = {x for x in spans if any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in spans)}
+    for x in inner:
+        store.delete(files.Path(base, spans.pop(x)), True)
+    size = 1
+    while size <= below:
+        for low in range(0, below - fan * size + 1, fan * size):
+            mine = [spans.get((x, x + size - 1)) for x in range(low, low + fan * size, size)]
+            if None in mine:
+                continue
+            rows = spark.read.parquet(*[f"{base.toString()}/{name}" for name in mine])
+            merged = latest_by_key(rows, keys, seq)
+            if heartbeat is not None:
+                merged = merged.unionByName(latest_by_key(rows.filter(F.col(heartbeat).isNotNull()), keys, heartbeat))
+            high = low + fan * size - 1
+            merged.write.mode("overwrite").parquet(f"{base.toString()}/_merge-{low}-{high}")
+            store.rename(files.Path(base, f"_merge-{low}-{high}"), files.Path(base, f"batch={low}-{high}"))
+            spans[low, high] = f"batch={low}-{high}"
+        size *= fan
+
+
 def read_ledger(spark: SparkSession, folder: str, keys: Sequence[str], seq: str, heartbeat: str | None = None) -> DataFrame:
     """The ledger: the last write per key, with the latest ``heartbeat`` time of all writes as ``last_heartbeat_at``."""
     writes = spark.read.parquet(f"{folder.rstrip('/')}/writes").drop("batch")

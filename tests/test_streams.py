@@ -108,3 +108,21 @@ def test_ledger_reads_the_last_write(spark, feed):
     push([(1, 1, at(0)), (2, 5, at(9))])
     found = push([(1, 2, at(3)), (2, 4, at(10))])
     assert sorted((r["run"], r["seq"], (r["last_heartbeat_at"] - T0).total_seconds()) for r in found.select("run", "seq", F.col("last_heartbeat_at")).collect()) == [(1, 2, 3), (2, 5, 10)]
+
+
+def test_ledger_writes_are_merged_in_tiers(spark, feed, tmp_path):
+    kind = "run long, seq long, beat timestamp"
+    rows = [(i % 5, i, at(100 - i if i % 2 else i)) for i in range(29)]
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], kind).coalesce(1).write.mode("append").parquet(feed.source)
+    folder = str(tmp_path / "ledger")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(feed.source)
+    streams.stream_ledger(stream, ["run"], "seq", folder, folder + "-checkpoint", heartbeat="beat", fan=3).awaitTermination()
+    names = sorted(x.name for x in (tmp_path / "ledger" / "writes").glob("batch=*"))
+    assert "batch=0-8" in names and "batch=9-17" in names and "batch=0" not in names and "batch=0-2" not in names and len(names) <= 12
+    found = streams.read_ledger(spark, folder, ["run"], "seq", "beat").collect()
+    wanted = {k: (max(s for r, s, _ in rows if r == k), max(b for r, _, b in rows if r == k)) for k in range(5)}
+    assert {r["run"]: (r["seq"], r["last_heartbeat_at"]) for r in found} == wanted
+    streams.compact_writes(spark, folder, ["run"], "seq", 27, "beat", 3)  # again: nothing is lost
+    found = streams.read_ledger(spark, folder, ["run"], "seq", "beat").collect()
+    assert {r["run"]: (r["seq"], r["last_heartbeat_at"]) for r in found} == wanted
