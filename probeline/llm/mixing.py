@@ -197,7 +197,8 @@ def mix(
     """One row per input row: the id, ``size``, ``source_size``, ``target`` (of its source) and ``taken`` (words, with repeats).
 
     A null or empty text has no words and is not taken. Null sources are one source. Rows that repeat an id and a text
-    are documents of their own. An empty table gives an empty result. The driver holds the sources, one number each.
+    are documents of their own. An empty table gives an empty result. The driver holds the sources, one number each. A very
+    long text is counted in one pass and spans as many blocks as it has; columns other than the three are not read.
     """
     where, sizes, goal, filled = plan(docs, id_col, text_col, source_col, weights, seed)
     times = filled.groupBy("source", "block").agg(F.count("*").alias("times"))

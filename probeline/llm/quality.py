@@ -111,6 +111,7 @@ def judge(
 
     The holdout is every labelled document whose labels are all 1 and that passes the base rules; a null stratum is one
     of its own. An id that occurs more than once counts with each of its rows. Without labels only the base rules hold.
+    A very long text is one array of its words; an empty table gives no rows; columns other than the three are not read.
     """
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum")
     counted = written(features(docs.select(id_col, text_col, stratum), id_col, text_col, ["stratum"]), "quality")

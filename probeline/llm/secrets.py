@@ -190,7 +190,8 @@ def scan(
     """One row per input row: the id, the columns ``keep`` and ``out``, an array of structs ``start, rank, end, kind``
     ordered by start and then by the order of the rules. A null or empty text has none.
 
-    Repeated ids share the candidates of all their rows and are verified each by itself. A null id works like others.
+    Repeated ids share the candidates of all their rows and are verified each by itself. A null id works like others. Whole
+    texts are searched, however long; an empty table gives no rows.
     """
     searched = [r for r in rules if trigram_query(r.pattern)]
     text = F.col("_text")

@@ -244,7 +244,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A byte goes if it is under a 200-byte string that also starts elsewhere, in the same text, another one or a repeated
     row; matches do not cross texts. A null text is empty and shorter texts lose nothing. Rows with equal texts of 200
-    bytes or more lose all; one of them stands for all in what follows. Null ids are ids like others.
+    bytes or more lose all; one of them stands for all in what follows. Null ids are ids like others. A text of any length is one block of bytes in its
+    task; an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text"))

@@ -120,3 +120,21 @@ def test_query(spark):
         assert (mine["size"], mine["source_size"], mine["target"]) == (len(words(r["text"])), sizes[r["source"]], pytest.approx(goal[r["source"]]))
         assert mine["taken"] <= 3 * mine["size"]
     assert sum(r["taken"] for r in found.values()) == pytest.approx(sum(goal.values()), rel=0.01)
+
+
+def test_taken_against_a_plain_walk(spark, monkeypatch):
+    """Every slot lays its block's words out one by one; the counts of a document's words are what the query returns."""
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    docs, _ = corpus(spark)
+    where, sizes, goal, filled = mixing.plan(docs, "doc_id", "text", "source", (1, 2, 3), 0)
+    times = {x: np.zeros(n, np.int64) for x, n in sizes.items()}
+    rounds = {}
+    for r in filled.collect():
+        width = mixing.width_of(sizes[r["source"]])
+        times[r["source"]][r["block"] * width : (r["block"] + 1) * width] += 1
+        rounds.setdefault((r["source"], r["round"]), []).append(r["block"])
+    for (source, turn), blocks in rounds.items():
+        many = -(-sizes[source] // mixing.width_of(sizes[source]))
+        assert len(set(blocks)) == len(blocks) and (turn == 0 or len(rounds[source, turn - 1]) == many)
+    wanted = {r["_id"]: int(times[r["source"]][r["start"] : r["start"] + r["size"]].sum()) for r in where.collect()}
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()} == wanted
