@@ -39,3 +39,13 @@ def test_no_samples_or_sweeps(spark):
     sweeps = spark.createDataFrame([(1, T0, None)], "run long, started_at timestamp, completed_at timestamp")
     assert telemetry.samples_in_sweeps(samples, sweeps).count() == 0
     assert telemetry.samples_in_sweeps(spark.createDataFrame([(1, T0)], "id long, ts timestamp"), sweeps.limit(0)).count() == 0
+
+
+def test_many_ranges_are_not_broadcast(spark):
+    samples = spark.range(3000).select(F.col("id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("ts"), F.lit("n").alias("node"))
+    start = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 600)
+    sweeps = spark.range(300).select(F.col("id").alias("run"), F.lit("n").alias("node"), start.alias("started_at"), (start + F.expr("interval 1 hour")).alias("completed_at"))
+    found = telemetry.samples_in_sweeps(samples, sweeps, ["node"], listed=0)
+    assert found.count() == sum(61 if r * 10 + 60 < 3000 else max(0, 3000 - r * 10) for r in range(300))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "SortMergeJoin" in found._jdf.queryExecution().sparkPlan().toString() and plan.count("strategy=merge") >= 1
