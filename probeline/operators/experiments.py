@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from probeline.functions.text import COUNTED_PROCEDURES, step_label
 from probeline.functions.units import corpus_to_count, count_to_corpus, range_bytes
 from probeline.operators.timeline import Timeline, numbered
+from probeline.session import parallelism
 
 # The parameter layers from weakest to strongest, template variables in the order they are applied,
 # internal and secret keys, the source files with their capacities, and the defaults of a run.
@@ -184,12 +185,12 @@ def resolve_layers(params: DataFrame, run: str = "run_id", legacy: bool = False)
     sweeps and per-engine procedure parameters.
     """
     rank = F.col("layer").cast("double")
-    if legacy:
-        copies = F.when(F.col("layer") == 3, F.array(rank, F.lit(5.5))).otherwise(F.array(rank))
-        params = params.withColumn("_rank", F.explode(copies))
-    else:
-        params = params.withColumn("_rank", rank)
-    return params.groupBy(run, "key").agg(F.max_by("value", "_rank").alias("value"))
+    if legacy:  # the copy outranks its original
+        rank = F.when(F.col("layer") == 3, F.lit(5.5)).otherwise(rank)
+    params = params.select(run, "key", "value", rank.alias("_rank"))
+    # Values are text, so picking one sorts rows: as few as a key has layers go without being picked from first, in even parts.
+    spread = params.repartition(parallelism(params.sparkSession), run, "key")
+    return spread.groupBy(run, "key").agg(F.max_by("value", "_rank").alias("value"))
 
 
 def resolve_templates(value: Column, variables: Mapping[str, Column]) -> Column:

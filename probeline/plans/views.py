@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from probeline.operators.timeline import Timeline, numbered
 from probeline.plans.registry import table
+from probeline.session import parallelism
 
 ENGINES = ("graph", "disk", "flat")
 JOB_STATES = ("queued", "running", "completed", "error", "cancelled", "failed", "partial", "partial_failure")
@@ -245,6 +246,7 @@ def size_requests(spark: SparkSession, sf: str) -> DataFrame:
 def param_layers(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     keys = F.array(*[F.lit(k) for k in ("engine", "query_k", "corpus_name", "password", "num_vectors")])
+    c = c.select("c_custkey", "c_nationkey", "c_acctbal").repartition(parallelism(spark), "c_custkey")  # one file, many rows of each
     rows = c.select(
         F.col("c_custkey").alias("run_id"), "c_nationkey", "c_acctbal", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("layer")
     ).select("*", F.explode(keys).alias("key"))

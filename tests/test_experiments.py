@@ -161,3 +161,15 @@ def test_discover_prefers_current_engines(spark):
     procedures = spark.createDataFrame([("d", "p", 3), ("d", "q", None)], "dataset string, procedure string, sweep_count int")
     got = ex.discover(datasets, engines, procedures).select("dataset", "procedure", "engines", "has_sweeps", "sweep_count")
     assert rows(got) == [("d", "p", ["a"], True, 3), ("d", "q", ["a"], False, 0), ("l", None, ["z"], False, 0), ("n", None, [], False, 0)]
+
+
+def test_layers_are_spread_before_they_are_sorted(spark):
+    params = spark.range(40).select((F.col("id") % 4).alias("run_id"), (F.col("id") % 6 + 1).cast("int").alias("layer"), F.lit("k").alias("key"), F.col("id").cast("string").alias("value")).coalesce(1)
+    for legacy in (False, True):
+        found = ex.resolve_layers(params, legacy=legacy)
+        steps = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Aggregate" in x or "Exchange" in x]
+        assert "partial_max_by" in steps[-2] and "Exchange hashpartitioning" in steps[-1]
+    tied = spark.createDataFrame([(1, x, "k", f"v{x}") for x in (2, 3, 5, 6)] + [(2, x, "k", f"v{x}") for x in (3, 4, 5)] + [(3, None, "k", "v"), (None, 1, None, None)], "run_id long, layer int, key string, value string")
+    plain = {r["run_id"]: r["value"] for r in ex.resolve_layers(tied).collect()}
+    assert plain == {1: "v6", 2: "v5", 3: None, None: None}
+    assert {r["run_id"]: r["value"] for r in ex.resolve_layers(tied, legacy=True).collect()} == {1: "v6", 2: "v3", 3: None, None: None}
