@@ -5,8 +5,8 @@ have gone silent; an ended key is remembered until it has been silent for ``keep
 are taken in order within a micro-batch; a row that is not after the last one taken of its key is late and changes nothing.
 A micro-batch that is replayed after a failure starts from the state before it.
 
-What a key sends within one micro-batch is held by one task, so keys are things that are polled or sampled at a rate (nodes,
-steps), and a micro-batch is limited by its files.
+What a key sends within one micro-batch is sorted by one task, on disk beyond ``SORT_MB``, so keys are things that are polled
+or sampled at a rate (nodes, steps), and a micro-batch is limited by its files.
 """
 
 from __future__ import annotations
@@ -14,12 +14,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+from pyspark.shuffle import ExternalSorter
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MICROS = 1_000_000
+SORT_MB = 384  # memory of a worker beyond which the rows it sorts go to disk
 
 
 def places(order: Sequence[str]) -> list[Column]:
@@ -28,12 +30,19 @@ def places(order: Sequence[str]) -> list[Column]:
     return [F.unix_micros(F.col(first).cast("timestamp")).alias("_o0"), *[F.col(c).cast("bigint").alias(f"_o{i}") for i, c in enumerate(rest, 1)]]
 
 
-def _after(row: Row, last: tuple | None, n: int) -> bool:
-    return last is None or tuple(row[f"_o{i}"] for i in range(n)) > last
+def _place(row: Sequence, n: int) -> tuple:
+    """The first ``n`` values, a missing one before all others."""
+    return tuple((x is not None, x or 0) for x in row[:n])
 
 
-def _sorted(rows: Iterator[Row], n: int) -> list[Row]:
-    return sorted(rows, key=lambda r: tuple(r[f"_o{i}"] for i in range(n)))
+def _after(row: Sequence, last: tuple | None, n: int) -> bool:
+    return last is None or _place(row, n) > _place(last, n)
+
+
+def _sorted(rows: Iterator[Row], n: int, columns: Sequence[str]) -> Iterator[tuple]:
+    """Order columns and ``columns`` of the rows, in order. Rows that go beyond the memory limit of the worker wait on disk."""
+    names = [*(f"_o{i}" for i in range(n)), *columns]
+    return iter(ExternalSorter(SORT_MB).sorted((tuple([row[c] for c in names]) for row in rows), key=lambda r: _place(r, n)))
 
 
 class Deltas(StatefulProcessor):
@@ -52,14 +61,15 @@ class Deltas(StatefulProcessor):
         held = self.last.get() if self.last.exists() else None
         place = tuple(held[: self.n]) if held is not None else None
         before = list(held[self.n :]) if held is not None else None
-        for row in _sorted(rows, self.n):
-            now = [row[c] for c in self.counters]
+        counted = [self.n + self.columns.index(c) for c in self.counters]
+        for row in _sorted(rows, self.n, self.columns):
+            now = [row[c] for c in counted]
             if _after(row, place, self.n):
                 found = [(x or 0) - (y or 0) for x, y in zip(now, before if before is not None else now, strict=True)]
-                place, before = tuple(row[f"_o{i}"] for i in range(self.n)), now
+                place, before = row[: self.n], now
             else:
                 found = [None] * len(now)
-            yield Row(*self.names)(*[row[c] for c in self.columns], *found)
+            yield Row(*self.names)(*row[self.n :], *found)
         if place is not None:
             self.last.update((*place, *before))
 
@@ -71,6 +81,7 @@ class _Ending(StatefulProcessor):
     """A watch per key that ends once: by its rows, or by a timer ``limit`` microseconds after its first row."""
 
     state_kind = ""
+    read = ""
     told: tuple[str, ...] = ()
 
     def __init__(self, keys: Sequence[str], n_order: int, limit: int, keep_s: float):
@@ -94,14 +105,14 @@ class _Ending(StatefulProcessor):
         place = held[2 : 2 + self.n] if held else None
         own = held[2 + self.n :] if held else self.fresh()
         taken = False
-        for row in _sorted(rows, self.n):
+        for row in _sorted(rows, self.n, [self.read]):
             if not _after(row, place, self.n):
                 continue
-            at, taken = row["_o0"], True
-            place = tuple(row[f"_o{i}"] for i in range(self.n))
+            at, taken = row[0], True
+            place = row[: self.n]
             t0 = at if t0 is None else t0
             if not done:
-                own, found = self.step(own, row, at, t0)
+                own, found = self.step(own, row[self.n], at, t0)
                 if found is not None:
                     done = True
                     yield Row(*self.names)(*key, *found)
@@ -126,7 +137,7 @@ class _Ending(StatefulProcessor):
     def fresh(self) -> tuple:
         raise NotImplementedError
 
-    def step(self, own: tuple, row: Row, at: int, t0: int) -> tuple[tuple, tuple | None]:
+    def step(self, own: tuple, value: Any, at: int, t0: int) -> tuple[tuple, tuple | None]:
         raise NotImplementedError
 
     def over(self, own: tuple, deadline: int) -> tuple:
@@ -140,6 +151,7 @@ class Watchdog(_Ending):
     """Ends at the ``red``-th hard failure or the ``busy``-th timeout in a row, or at the limit."""
 
     state_kind = "kind string, run long"
+    read = "_kind"
     told = ("reason",)
 
     def __init__(self, keys: Sequence[str], n_order: int, limit: int, keep_s: float, red: int, busy: int):
@@ -149,10 +161,9 @@ class Watchdog(_Ending):
     def fresh(self) -> tuple:
         return None, 0
 
-    def step(self, own, row, at, t0):
+    def step(self, own, value, at, t0):
         kind, run = own
-        run = run + 1 if row["_kind"] == kind else 1
-        kind = row["_kind"]
+        kind, run = value, run + 1 if value == kind else 1
         if at - t0 >= self.limit:
             return (kind, run), (at, "limit")
         return (kind, run), (at, kind) if kind in self.most and run >= self.most[kind] else None
@@ -165,6 +176,7 @@ class Stability(_Ending):
     """Ends at a count of ``expected``, at one that has come ``stable_for`` times again, or at the deadline."""
 
     state_kind = "count long, run long"
+    read = "_count"
     told = ("count", "outcome")
 
     def __init__(self, keys: Sequence[str], n_order: int, limit: int, keep_s: float, expected: int, stable_for: int):
@@ -174,14 +186,13 @@ class Stability(_Ending):
     def fresh(self) -> tuple:
         return None, 0
 
-    def step(self, own, row, at, t0):
+    def step(self, own, value, at, t0):
         count, run = own
         if at >= t0 + self.limit:
             return own, self.over(own, t0 + self.limit)
-        if row["_count"] is None:
+        if value is None:
             return own, None
-        run = run + 1 if row["_count"] == count else 1
-        count = row["_count"]
+        count, run = value, run + 1 if value == count else 1
         if count >= self.expected:
             return (count, run), (at, count, "reached")
         return (count, run), (at, count, "stable") if run > self.stable_for else None

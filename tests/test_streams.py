@@ -4,7 +4,7 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
-from probeline.streaming import streams
+from probeline.streaming import keyed, streams
 
 T0 = dt.datetime(2024, 5, 1, 12, 0, 0)
 
@@ -126,3 +126,29 @@ def test_ledger_writes_are_merged_in_tiers(spark, feed, tmp_path):
     streams.compact_writes(spark, folder, ["run"], "seq", 27, "beat", 3)  # again: nothing is lost
     found = streams.read_ledger(spark, folder, ["run"], "seq", "beat").collect()
     assert {r["run"]: (r["seq"], r["last_heartbeat_at"]) for r in found} == wanted
+
+
+def test_rows_of_a_key_beyond_memory_are_sorted_on_disk():
+    from pyspark.sql import Row
+
+    made = Row("node", "_o0", "_o1", "_kind")
+    seen = []
+
+    def rows(n):
+        for i in range(n):
+            if i % 50_000 == 0:
+                seen.append(keyed_memory())
+            yield made("a", i * 7919 % n, None if i % 3 else i, "ready" if i % 2 else "down")
+
+    from pyspark.shuffle import get_used_memory as keyed_memory
+
+    before, n = keyed_memory(), 600_000
+    keyed.SORT_MB, kept = before + 40, keyed.SORT_MB
+    try:
+        found = keyed._sorted(rows(n), 2, ["_kind"])
+        assert [x[0] for x in found] == list(range(n))
+    finally:
+        keyed.SORT_MB = kept
+    assert max(seen) - before < 120
+    tied = [made("a", 1, 5, "x"), made("a", 1, None, "y"), made("a", 0, 9, "z")]
+    assert [x[2] for x in keyed._sorted(iter(tied), 2, ["_kind"])] == ["z", "y", "x"]
