@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probeline.operators.reports import tail_text
 from probeline.operators.timeline import chunked_lists
+from probeline.session import kept, parallelism
+from probeline.sources.vecfiles import located
 
 # The artifact names, the sample columns and the sink families.
 ARTIFACTS = {
@@ -20,6 +24,7 @@ ARTIFACTS = {
 LOG_NAME = "benchmark.log"
 RESULT_TAIL = 100
 LIVE_TAIL = 200
+READ_BYTES = 8 << 20  # of files that are handed on at once, the last one whole
 NODE_SAMPLE = """
 ts TIMESTAMP, node STRING, heap_used_pct DOUBLE, heap_used_mb BIGINT, heap_max_mb BIGINT, gc_young_count BIGINT,
 gc_young_ms BIGINT, gc_old_count BIGINT, gc_old_ms BIGINT, cpu_pct DOUBLE, load_1m DOUBLE, mem_used_pct DOUBLE,
@@ -32,43 +37,99 @@ FAMILIES = ("results", "telemetry", "metrics")
 _PLACE = r"([^/]+)/([^/]+)/([^/]+?)(?:/(sweep-[^/]+))?/([^/]+)$"
 
 
-def _with_place(df: DataFrame, root: str) -> DataFrame:
-    """Split the part of ``path`` below ``root`` into job, engine, step, sweep_name and artifact."""
-    plain = F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B")))  # file paths come URL-encoded
-    df = df.withColumn("path", plain)
-    start = F.length(F.lit(root.rstrip("/"))) + F.locate(root.rstrip("/"), F.col("path")) + 1
-    below = F.substring(F.col("path"), start, F.length("path"))
-    part = lambda i: F.nullif(F.regexp_extract(below, "^" + _PLACE, i), F.lit(""))
-    names = ("job", "engine", "step", "sweep_name", "artifact")
-    return df.select("*", *[part(i + 1).alias(n) for i, n in enumerate(names)]).filter(F.col("job").isNotNull())
-
-
 def scan_results(spark: SparkSession, root: str, tail_lines: int = RESULT_TAIL) -> DataFrame:
     """One row per result folder with its three JSON artifacts and the end of its log.
 
-    A missing file is null; a file that is not JSON is null and named in ``bad_artifacts``.
+    A missing or empty file is null; a file that is not JSON is null and named in ``bad_artifacts``. Tasks list the folders
+    and read the files, so the driver sees none of them. The root is one folder, of a store that Arrow opens.
     """
-    names = "{" + ",".join(ARTIFACTS) + "}"
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).text(root)
-    texts = _with_place(texts.select(F.col("_metadata.file_path").alias("path"), "value"), root)
-    texts = texts.filter(F.col("artifact").isin(*ARTIFACTS)).withColumn("_ok", F.try_parse_json("value").isNotNull())
-    of = lambda name: F.col("artifact") == name
-    place = ["job", "engine", "step", "sweep_name"]
-    documents = texts.groupBy(*place).agg(
-        *[F.max(F.when(of(name) & F.col("_ok"), F.col("value"))).alias(column) for name, column in ARTIFACTS.items()],
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    below = spark.createDataFrame([("",)], "path string")
+    for _ in range(3):  # jobs, engines, steps
+        below = _spread(_listed(below, root).filter("folder"))
+    inside = kept(_listed(below, root).filter(F.col("folder") | F.col("name").isin(*ARTIFACTS, LOG_NAME)), "tree")
+    deeper = _listed(_spread(inside.filter(F.col("folder") & F.col("name").startswith("sweep-"))), root)
+    files = inside.unionByName(deeper).filter(~F.col("folder") & F.col("name").isin(*ARTIFACTS, LOG_NAME) & (F.col("bytes") > 0))
+    texts = _read(_spread(files), root, tail_lines)
+    part = lambda i: F.nullif(F.regexp_extract("path", "^/" + _PLACE, i), F.lit(""))
+    place = ("job", "engine", "step", "sweep_name")
+    texts = texts.select("value", *[part(i).alias(n) for i, n in enumerate((*place, "artifact"), 1)]).filter(F.col("job").isNotNull())
+    is_log = F.col("artifact") == LOG_NAME
+    texts = texts.withColumn("_ok", is_log | F.try_parse_json("value").isNotNull())
+    log = F.replace(F.make_valid_utf8("value"), F.lit("�"), F.lit(""))
+    return texts.groupBy(*place).agg(
+        *[F.max(F.when((F.col("artifact") == name) & F.col("_ok"), F.col("value"))).alias(column) for name, column in ARTIFACTS.items()],
         F.array_sort(F.collect_set(F.when(~F.col("_ok"), F.col("artifact")))).alias("bad_artifacts"),
+        F.max(F.when(is_log, log)).alias("benchmark_log"),
     )
-    logs = _with_place(log_tail(spark, root, tail_lines, LOG_NAME), root)
-    logs = logs.select(*place, F.col("tail").alias("benchmark_log"))
-    match = [documents[c].eqNullSafe(logs[c]) for c in place]
-    joined = documents.join(logs, match, "full_outer")
-    none = F.array().cast("array<string>")
-    return joined.select(
-        *[F.coalesce(documents[c], logs[c]).alias(c) for c in place],
-        *ARTIFACTS.values(),
-        F.coalesce("bad_artifacts", none).alias("bad_artifacts"),
-        "benchmark_log",
-    )
+
+
+def _spread(paths: DataFrame) -> DataFrame:
+    return paths.repartition(parallelism(paths.sparkSession), "path")
+
+
+def _listed(folders: DataFrame, root: str) -> DataFrame:
+    """What is in the folders (``path`` below ``root``), hidden names left out as Spark does."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = located(root)
+        kind = pa.schema([("path", pa.string()), ("name", pa.string()), ("folder", pa.bool_()), ("bytes", pa.int64())])
+        for batch in batches:
+            for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
+                found = [x for x in store.get_file_info(fs.FileSelector(top + path)) if not _hidden(x.base_name)]
+                rows = [(f"{path}/{x.base_name}", x.base_name, x.type == fs.FileType.Directory, x.size or 0) for x in found]
+                for begin in range(0, len(rows), 10_000):
+                    columns = zip(*rows[begin : begin + 10_000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kind.types, strict=True)], schema=kind)
+
+    return folders.select("path").mapInArrow(work, "path string, name string, folder boolean, bytes long")
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name)
+
+
+def _read(files: DataFrame, root: str, tail_lines: int) -> DataFrame:
+    """``(path, value)``: whole files, of logs the last ``tail_lines`` lines."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = located(root)
+        for batch in batches:
+            rows, size = [], 0
+            for path in batch.column(0).to_pylist():
+                with store.open_input_file(top + path) as file:
+                    body = last_lines(file, tail_lines) if path.endswith(f"/{LOG_NAME}") else file.read()
+                if body is not None:
+                    rows.append((path, body))
+                    size += len(body)
+                if size > READ_BYTES:
+                    yield _pairs(rows)
+                    rows, size = [], 0
+            yield _pairs(rows)
+
+    read = files.select("path").mapInArrow(work, "path string, body binary")
+    return read.select("path", F.col("body").cast("string").alias("value"))
+
+
+def _pairs(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["path", "body"])
+
+
+def last_lines(file: pa.NativeFile, n: int, block: int = 1 << 16) -> bytes | None:
+    """The last ``n`` lines of a file, read from its end; lines end as Spark's text reader has it. None if there is no line."""
+    at = size = file.size()
+    lines: list[bytes] = []
+    while at > 0 and len(lines) < n + 2:  # the first may be a part
+        at = max(0, at - block)
+        file.seek(at)
+        lines = file.read(size - at).splitlines()
+        block *= 4
+    if at == 0 and lines:
+        lines[0] = lines[0].removeprefix(b"\xef\xbb\xbf")
+    lines = lines[max(0, len(lines) - n) :]
+    return b"\n".join(lines) if lines else None
 
 
 def read_log_lines(spark: SparkSession, root: str, glob: str = "*.log") -> DataFrame:

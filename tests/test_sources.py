@@ -214,3 +214,23 @@ def test_vector_table(spark):
     tables.drop_vector_table(spark, name)
     gone = tables.snapshot_table(spark, name, "graph").first()
     assert "error" in json.loads(gone["stats"])
+
+
+def test_result_tree_is_listed_by_tasks(spark, tmp_path):
+    root = tmp_path / "a b+%25"
+    for path, body in {
+        "j/e/s/test_run.json": b"", "j/e/s/benchmark.log": b"\xef\xbb\xbfone\r\ntwo\rthree", "j/e/s/sweep-1/test_run.json": b'{"x": 1}', "j/e/s/other-1/test_run.json": b"{}",
+        "j/e/s/sweep-1/deep/test_run.json": b"{}", "j/_e/s/test_run.json": b"{}", ".j/e/s/test_run.json": b"{}", "j/test_run.json": b"{}", "j/e/_s=1/test_run.json": b"{}", "j/e/t/benchmark.log": b"",
+    }.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(body)
+    found = trees.scan_results(spark, f"file:{root}/")
+    assert rows(found.select("job", "engine", "step", "sweep_name", "test_run", "benchmark_log")) == [
+        ("j", "e", "_s=1", None, "{}", None), ("j", "e", "s", "sweep-1", '{"x": 1}', None), ("j", "e", "s", None, None, "one\ntwo\nthree")]
+    assert "FileScan text" not in found._jdf.queryExecution().sparkPlan().toString()
+    (tmp_path / "long.log").write_bytes(b"".join(b"%d\r\n" % i for i in range(5000)))
+    from pyarrow import fs
+
+    for block in (1, 2, 7, 1 << 16):
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "long.log")) as file:
+            assert trees.last_lines(file, 3, block) == b"4997\n4998\n4999"
