@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeline.llm import textbytes as tb
-from probeline.llm.tables import partitions, text_of, written
+from probeline.llm.tables import partitions, text_of, tidy, written
 
 SIZE = 200  # bytes of a repeated string
 GRAM = 32  # bytes an anchor is chosen by
 SPREAD = 128  # positions an anchor is chosen from
 LEAD = SIZE - SPREAD + 1  # bytes from its anchor on that every string has
-BUCKET = 30_000  # suffixes per bucket
+BUCKET = 20_000  # suffixes per bucket; a task holds all strings of one
 LISTED = 1 << 20  # ids that are broadcast at most
 SMALL = 48  # suffixes that are sorted without further splitting
 
@@ -77,7 +77,7 @@ def _anchor_keys(texts: DataFrame) -> DataFrame:
                 columns = [tb.stretch(total, anchor, LEAD).astype(np.int64), name[begin + row], anchor - at[row]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc", "at"])
 
-    return texts.mapInArrow(work, "key long, doc long, at long")
+    return texts.mapInArrow(tidy(work), "key long, doc long, at long")
 
 
 def _suffixes(texts: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _suffixes(texts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x, k) for x, k in zip((lead, back, name, place), kinds, strict=True)], ["lead", "back", "name", "at"])
 
-    return texts.select("name", "places", "text").mapInArrow(work, "lead binary, back binary, name binary, at long")
+    return texts.select("name", "places", "text").mapInArrow(tidy(work), "lead binary, back binary, name binary, at long")
 
 
 def multikey_order(texts: list[bytes]) -> np.ndarray:
@@ -205,7 +205,7 @@ def _buckets(suffixes: DataFrame) -> DataFrame:
             columns = zip(*whole[begin : begin + 100_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    return suffixes.mapInArrow(work, "name binary, first long, last long, hash long")
+    return suffixes.mapInArrow(tidy(work), "name binary, first long, last long, hash long")
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +236,7 @@ def _removed(texts: DataFrame) -> DataFrame:
             kinds = (pa.binary(), pa.int64(), pairs, pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["name", "n_removed", "spans", "kept"])
 
-    return texts.mapInArrow(work, kind)
+    return texts.mapInArrow(tidy(work), kind)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,3 +86,15 @@ def test_query(spark):
     found = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op9_suffixes"](spark, sf_dir).collect()}
     wanted = brute([r["text"] for r in rows])
     assert found == {r["doc_id"]: (n, gone, len(spans), kept) for r, (n, gone, spans, kept) in zip(rows, wanted, strict=True)}
+
+
+def test_tasks_hand_memory_back():
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, work, kind):
+            return work
+
+    for step in (suffixes._anchor_keys, suffixes._suffixes, suffixes._buckets, suffixes._removed):
+        assert step(Rows()).__qualname__.startswith("tidy")
