@@ -233,3 +233,56 @@ def test_held_out_language(spark):
 
 def test_letters_that_become_several():
     assert language.letter(ord("İ")) == ord("i") and language.letter(ord("1")) == language.BLANK and language.letter(ord("É")) == ord("é")
+
+
+def test_all_labelled_texts_are_learned_in_parts(spark):
+    rows = [(i, None if i == 7 else f"{text} zeldzaam{i % 200}", lang if i % 11 else None, toxic) for i, text, lang, toxic in corpus(600)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, rows=40)  # 600 texts go to 4 parts
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows]), pa.array([r[3] for r in rows]), pa.array([r[2] for r in rows])], ["text", "mark", "lang"])
+    known = toxicity.sample(iter([batch]), 1 << 30)
+    assert model.buckets.tolist() == toxicity.known_buckets(known.kinds, known.texts, list(zip(known.langs, known.toxic.tolist()))).tolist()
+    whole = toxicity.Model(model.buckets, model.table, model.filters, model.weights, model.bias)
+    toxicity._languages(whole, known)
+    assert np.allclose(model.languages, whole.languages, atol=1e-5) and len(model.limits) == len(whole.limits)
+    fresh = corpus(seed=77)
+    found = model.scores(pa.array([r[1] for r in fresh]), model.prepared()) >= 0.5
+    assert np.mean(found == np.array([r[3] for r in fresh])) > 0.95
+
+
+def test_parts_without_both_labels(spark):
+    docs = spark.createDataFrame([(i, f"a{i} b c", "en") for i in range(80)], "doc_id long, text string, lang string")
+    for mark in (0, 1):
+        labels = docs.selectExpr("doc_id", f"{mark} toxic")
+        model = toxicity.learn(docs, labels, rows=32)
+        assert {r["predicted"] for r in toxicity.score(docs, model).collect()} == {mark}
+
+
+def test_more_bytes_than_one_task_learns_from_are_dealt(spark):
+    rows = corpus(60)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, most=4000)
+    words = {w for r in rows if r[3] for w in r[1].split() if not w.islower()}
+    held = [toxicity.Model.rows.func(model)[b] for _, x, _ in toxicity.padded(pa.array(sorted(words))) for b in x[x[:, 0] >= 0, 0]]
+    assert len(held) == len(words) and all(held)
+
+
+def test_counted_logits_have_the_limits_of_single_ones():
+    rng = np.random.default_rng(4)
+    logit, toxic = np.round(rng.normal(0, 2, 500), 1), (rng.random(500) < 0.3).astype(float)
+    toxic[logit > 1] = 1
+    kinds, which = np.unique(logit, return_inverse=True)
+    single = toxicity._best_limit(logit, toxic, 1 - toxic)
+    assert toxicity._best_limit(kinds, np.bincount(which, toxic), np.bincount(which, 1 - toxic)) == single
+
+
+def test_weights_move_by_changes_side_by_side():
+    model = toxicity._begun(np.arange(5), 10, 4, np.random.default_rng(1))
+    seen = toxicity._unmoved(model)
+    was = toxicity._flat(model, seen)
+    toxicity._move(model, seen, np.ones_like(was))
+    n = 6 * toxicity.SIZE + sum(x.size for x in model.filters) + len(model.weights) + 1  # what follows fills the last row
+    assert np.allclose(toxicity._flat(model, seen)[:, : toxicity.SIZE].ravel()[:n], was[:, : toxicity.SIZE].ravel()[:n] + 1)
+    assert np.isclose(model.bias, 1) and np.allclose(seen.weights, 1) and [x.shape for x in model.filters] == [x.shape for x in seen.filters]
